@@ -148,7 +148,7 @@ def recommend_thresholds(table: DataFrame, group_cols: Sequence[str] = ()) -> Da
         src = table if where is None else table.where(where)
         g = src.groupBy(*group_cols) if group_cols else src.groupBy()
         return g.agg(F.max_by(row, F.struct(F.col(metric), -F.col("threshold"))).alias("r")) \
-            .select(*group_cols, F.lit(key).alias("strategy"), "r.*")
+            .where(F.col("r").isNotNull()).select(*group_cols, F.lit(key).alias("strategy"), "r.*")
 
     k1, k2, k3 = config.RECOMMENDATION_KEYS
     return (best("f1", None, k1)

@@ -44,8 +44,8 @@ def _stage(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str |
     keys = _as_cols(group_cols) + _as_cols(order_cols)
     staged = (df.repartitionByRange(_n_parts(df, n_parts), *keys)
               .sortWithinPartitions(*keys)
-              .withColumn("__pid", F.spark_partition_id())
-              .withColumn("__pos", F.monotonically_increasing_id()))
+              .withColumn("__sy_pid", F.spark_partition_id())
+              .withColumn("__sy_pos", F.monotonically_increasing_id()))
     return cut_lineage(staged)
 
 
@@ -54,14 +54,14 @@ def ordinal_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: S
     """1-based row number of every row inside its group, in ``order_cols`` order."""
     group_cols = list(group_cols)
     staged = _stage(df, group_cols, order_cols, n_parts)
-    blocks = staged.groupBy("__pid", *group_cols).agg(
-        F.min("__pos").alias("__start"), F.count(F.lit(1)).alias("__cnt"))
-    w = Window.partitionBy(*group_cols).orderBy("__pid") if group_cols else Window.orderBy("__pid")
-    blocks = blocks.withColumn("__offset", F.sum("__cnt").over(w) - F.col("__cnt")).drop("__cnt")
-    joined = staged.join(blocks, ["__pid", *group_cols], "inner")
+    blocks = staged.groupBy("__sy_pid", *group_cols).agg(
+        F.min("__sy_pos").alias("__sy_start"), F.count(F.lit(1)).alias("__sy_cnt"))
+    w = Window.partitionBy(*group_cols).orderBy("__sy_pid") if group_cols else Window.orderBy("__sy_pid")
+    blocks = blocks.withColumn("__sy_offset", F.sum("__sy_cnt").over(w) - F.col("__sy_cnt")).drop("__sy_cnt")
+    joined = staged.join(blocks, ["__sy_pid", *group_cols], "inner")
     return joined.withColumn(
-        out_col, (F.col("__offset") + F.col("__pos") - F.col("__start") + 1).cast("bigint")
-    ).drop("__pid", "__pos", "__start", "__offset")
+        out_col, (F.col("__sy_offset") + F.col("__sy_pos") - F.col("__sy_start") + 1).cast("bigint")
+    ).drop("__sy_pid", "__sy_pos", "__sy_start", "__sy_offset")
 
 
 def cumulative_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
@@ -74,17 +74,17 @@ def cumulative_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     """
     group_cols = list(group_cols)
     staged = _stage(df, group_cols, order_cols, n_parts)
-    local_w = (Window.partitionBy("__pid", *group_cols).orderBy("__pos")
+    local_w = (Window.partitionBy("__sy_pid", *group_cols).orderBy("__sy_pos")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = staged
     for c in sum_cols:
         local = local.withColumn(f"__l_{c}", F.sum(c).over(local_w))
-    blocks = staged.groupBy("__pid", *group_cols).agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
-    w = Window.partitionBy(*group_cols).orderBy("__pid") if group_cols else Window.orderBy("__pid")
+    blocks = staged.groupBy("__sy_pid", *group_cols).agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
+    w = Window.partitionBy(*group_cols).orderBy("__sy_pid") if group_cols else Window.orderBy("__sy_pid")
     for c in sum_cols:
         blocks = blocks.withColumn(f"__o_{c}", F.sum(f"__t_{c}").over(w) - F.col(f"__t_{c}"))
     blocks = blocks.drop(*[f"__t_{c}" for c in sum_cols])
-    joined = local.join(blocks, ["__pid", *group_cols], "inner")
+    joined = local.join(blocks, ["__sy_pid", *group_cols], "inner")
     for c in sum_cols:
         joined = joined.withColumn(f"{prefix}{c}", F.col(f"__o_{c}") + F.col(f"__l_{c}"))
-    return joined.drop("__pid", "__pos", *[f"__l_{c}" for c in sum_cols], *[f"__o_{c}" for c in sum_cols])
+    return joined.drop("__sy_pid", "__sy_pos", *[f"__l_{c}" for c in sum_cols], *[f"__o_{c}" for c in sum_cols])
