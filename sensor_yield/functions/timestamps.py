@@ -33,7 +33,11 @@ def parse_time_column(df: DataFrame, col: str, out_col: str | None = None) -> Da
         if share is not None and share > config.TIME_FORMAT_WIN_SHARE:
             chosen = fmt
             break
-    return df.withColumn(out_col, _try_parse(raw, chosen))
+    if chosen is not None:
+        return df.withColumn(out_col, _try_parse(raw, chosen))
+    # general inference: per value, any known format, else Spark's default parser
+    return df.withColumn(out_col, F.coalesce(*[_try_parse(raw, f) for f in config.TIME_FORMATS],
+                                             _try_parse(raw, None)))
 
 
 def year_month(ts: Column) -> Column:
