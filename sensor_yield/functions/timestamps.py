@@ -18,8 +18,9 @@ def parse_time_column(df: DataFrame, col: str, out_col: str | None = None) -> Da
 
     Each known format is scored by its parsed share over the whole column in ONE
     aggregate job (all formats at once); the first format whose share is strictly
-    above 0.9 wins for every row. Otherwise general inference (Spark's default
-    parser) is used. Unparseable values become NULL, never an error.
+    above 0.9 wins for every row. Otherwise each value is parsed on its own (any
+    known format, else Spark's default parser). Unparseable values become NULL,
+    never an error.
     """
     out_col = out_col or col
     raw = F.trim(F.col(col).cast("string"))
