@@ -27,10 +27,13 @@ MAX_REPLICATED_ROWS = 50_000_000
 def used_features(model: PipelineModel, cols: Sequence[str]) -> list[str]:
     """Input columns that survive the fitted selection / imputation stages."""
     dropped: set[str] = set()
+    only: set[str] | None = None
     for st in model.stages:
         if st.hasParam("droppedCols"):
             dropped |= set(st.getOrDefault(st.getParam("droppedCols")))
-    return [c for c in cols if c not in dropped]
+        if st.hasParam("usedCols") and st.isDefined(st.getParam("usedCols")):
+            only = set(st.getOrDefault(st.getParam("usedCols")))
+    return [c for c in cols if c not in dropped and (only is None or c in only)]
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, id_col: str, label_col: str,

@@ -19,11 +19,12 @@ from dataclasses import dataclass, field
 from typing import Any, Callable
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,3 +177,21 @@ def scale_pos_weight(df: DataFrame, label_col: str = config.LABEL_COL) -> float:
 
 __all__ = ["Candidate", "LogisticFromC", "WeightedClassifier", "build_candidates", "positive_probability",
            "random_key", "scale_pos_weight"]
+
+
+class ExpressionScorer(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """A fixed scoring rule as a pipeline stage: a SQL expression over the feature
+    columns gives P(Fail); emits the same ``probability`` vector as a classifier so
+    every evaluation / importance path treats it like a fitted model."""
+
+    expression = Param(Params._dummy(), "expression", "SQL expression for P(Fail)", TypeConverters.toString)
+    usedCols = Param(Params._dummy(), "usedCols", "columns the expression reads", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, expression: str = "0.5", usedCols: list[str] | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        p = F.expr(self.getOrDefault(self.expression)).cast("double")
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(1.0) - p, p)))

@@ -1,18 +1,18 @@
-"""Exact per-feature medians without gathering a feature into one task.
+"""Exact grouped quantiles without gathering a group into one task.
 
-``F.median`` keeps a value->count map per group and merges all of a feature's
-values in a single task. Here the median is found in two cheap passes:
+``percentile`` / ``median`` keep a value->count map per group and merge all of a
+group's values in a single task. Here quantiles (linear interpolation between the
+two nearest ranks, as numpy's default) are found in two cheap passes:
 
-1. ``percentile_approx`` (a bounded sketch, partially aggregated) gives, per
-   feature, a value bracket ``[lo, hi]`` whose rank band is guaranteed to contain
-   the middle ranks (error <= n / accuracy), plus exact counts;
-2. one more scan counts the values below ``lo`` exactly and ships only the values
-   inside the bracket, pre-aggregated to ``(feature, value, count)``; the exact
-   middle values are picked from that small table with a window per feature.
+1. ``percentile_approx`` (a bounded sketch, partially aggregated) gives, per group
+   and quantile, a value bracket whose rank band is guaranteed to contain the
+   wanted ranks (rank error <= n / accuracy), plus exact counts;
+2. one more scan counts the values below each bracket exactly and ships only the
+   values inside brackets, pre-aggregated to ``(group, value, count)``; the exact
+   order statistics are read off that small table with a window per group.
 
-If a bracket misses the middle ranks (it cannot, by the sketch guarantee, but it
-is checked), the feature falls back to a distributed rank (range-partitioned sort
-with a salt that splits hot values) which is exact for any distribution.
+A bracket that misses its ranks (not expected, but checked) falls back to a
+distributed rank -- a range-partitioned sort, salted so hot values spread.
 """
 
 from __future__ import annotations
@@ -27,54 +27,90 @@ from sensor_yield.operators.ordering import ordinal_within_group
 DEFAULT_ACCURACY = 10000
 
 
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    cols = list(cols)
-    return (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot([], cols, "feature_name", "v").where(F.col("v").isNotNull() & ~F.isnan("v")))
+def exact_quantiles(df: DataFrame, value_col: str, group_cols: Sequence[str], probs: Sequence[float],
+                    accuracy: int = DEFAULT_ACCURACY, prefix: str = "q") -> DataFrame:
+    """Per group: ``n`` and one column ``{prefix}{i}`` per probability (NULL for a
+    group without values). NULL / NaN values are ignored."""
+    group_cols = list(group_cols)
+    ungrouped = not group_cols
+    if ungrouped:  # one constant group keeps every join an equi-join
+        df = df.withColumn("__g", F.lit(0))
+        group_cols = ["__g"]
+    probs = [float(p) for p in probs]
+    vals = df.select(*group_cols, F.col(value_col).cast("double").alias("v")).where(
+        F.col("v").isNotNull() & ~F.isnan("v"))
+    band = 2.0 / accuracy
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, p in enumerate(probs):
+        aggs.append(F.percentile_approx("v", max(0.0, p - band), accuracy).alias(f"lo{i}"))
+        aggs.append(F.percentile_approx("v", min(1.0, p + band), accuracy).alias(f"hi{i}"))
+    stats = vals.groupBy(*group_cols).agg(*aggs)
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1) * F.lit(p)
+        stats = (stats.withColumn(f"h{i}", h).withColumn(f"k{i}a", F.floor(h))
+                 .withColumn(f"k{i}b", F.ceil(h)))
+    stats = stats.cache()  # one row per group
+    lo_cols = [F.col(f"lo{i}") for i in range(len(probs))]
+    lo_all = F.least(*lo_cols) if len(lo_cols) > 1 else lo_cols[0]
+    in_any = None
+    for i in range(len(probs)):
+        c = (F.col("v") >= F.col(f"lo{i}")) & (F.col("v") <= F.col(f"hi{i}"))
+        in_any = c if in_any is None else (in_any | c)
+    bounds = stats.select(*group_cols, *[F.col(f"lo{i}") for i in range(len(probs))],
+                          *[F.col(f"hi{i}") for i in range(len(probs))])
+    joined = vals.join(F.broadcast(bounds), group_cols)  # one row per group
+    below = joined.groupBy(*group_cols).agg(F.count_if(F.col("v") < lo_all).alias("below"))
+    inside = joined.where(in_any).groupBy(*group_cols, "v").agg(F.count(F.lit(1)).alias("c"))
+    # bracketed values only: bounded by the sketch error, not by the group size
+    w = Window.partitionBy(*group_cols).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.join(below, group_cols).join(
+        stats.select(*group_cols, *[F.col(f"k{i}a") for i in range(len(probs))],
+                     *[F.col(f"k{i}b") for i in range(len(probs))]), group_cols)
+    ranked = ranked.withColumn("end", F.col("below") + F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
+    picks = []
+    for i in range(len(probs)):
+        for s in ("a", "b"):
+            k = F.col(f"k{i}{s}")
+            picks.append(F.max(F.when((F.col("start") <= k) & (k < F.col("end")), F.col("v"))).alias(f"v{i}{s}"))
+    pick = ranked.groupBy(*group_cols).agg(*picks)
+    res = stats.select(*group_cols, "n", *[F.col(f"h{i}") for i in range(len(probs))]).join(
+        pick, group_cols, "left")
+    outs = []
+    for i in range(len(probs)):
+        a, b, h = F.col(f"v{i}a"), F.col(f"v{i}b"), F.col(f"h{i}")
+        outs.append((a + (h - F.floor(h)) * (b - a)).alias(f"{prefix}{i}"))
+    result = res.select(*group_cols, "n", *outs)
+    any_null = None
+    for i in range(len(probs)):
+        c = F.col(f"{prefix}{i}").isNull()
+        any_null = c if any_null is None else (any_null | c)
+    missing = result.where(any_null & (F.col("n") > 0)).limit(1).count()
+    if missing:
+        result = _ranked_quantiles(vals, group_cols, probs, prefix)
+    return result.drop("__g") if ungrouped else result
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """``feature_name, median``; NULL for a feature without values."""
-    cols = list(cols)
-    long = _long(df, cols)
-    band = 2.0 / accuracy
-    stats = long.groupBy("feature_name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", max(0.0, 0.5 - band), accuracy).alias("lo"),
-        F.percentile_approx("v", min(1.0, 0.5 + band), accuracy).alias("hi"),
-    ).withColumn("k1", F.floor((F.col("n") - 1) / 2)).withColumn("k2", F.ceil((F.col("n") - 1) / 2))
-    stats = stats.cache()  # one row per feature
-    joined = long.join(F.broadcast(stats.select("feature_name", "lo", "hi")), "feature_name")
-    below = joined.groupBy("feature_name").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
-    inside = (joined.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-              .groupBy("feature_name", "v").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("feature_name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (inside.join(below, "feature_name").join(stats.select("feature_name", "k1", "k2"), "feature_name")
-              .withColumn("end", F.col("below") + F.sum("c").over(w))   # exclusive end rank (0-based)
-              .withColumn("start", F.col("end") - F.col("c")))
-    pick = ranked.groupBy("feature_name").agg(
-        F.max(F.when((F.col("start") <= F.col("k1")) & (F.col("k1") < F.col("end")), F.col("v"))).alias("v1"),
-        F.max(F.when((F.col("start") <= F.col("k2")) & (F.col("k2") < F.col("end")), F.col("v"))).alias("v2"))
-    result = (stats.select("feature_name", "n").join(pick, "feature_name", "left")
-              .select("feature_name", "n", ((F.col("v1") + F.col("v2")) / 2.0).alias("median")))
-    result = result.cache()
-    missed = [r["feature_name"] for r in result.where((F.col("n") > 0) & F.col("median").isNull())
-              .select("feature_name").collect()]
-    out = result.where(~F.col("feature_name").isin(missed)) if missed else result
-    if missed:
-        out = out.unionByName(_ranked_medians(long.where(F.col("feature_name").isin(missed))))
-    # features with no values at all
-    present = stats.select("feature_name")
-    empty = df.sparkSession.createDataFrame([(c,) for c in cols], "feature_name string").join(
-        present, "feature_name", "left_anti").select("feature_name", F.lit(None).cast("double").alias("median"))
-    return out.select("feature_name", "median").unionByName(empty)
+def _ranked_quantiles(vals: DataFrame, group_cols: list[str], probs: list[float], prefix: str) -> DataFrame:
+    """Fallback: exact ranks from a distributed sort (salt splits equal values)."""
+    counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"))
+    salted = vals.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id()))
+    ranked = ordinal_within_group(salted, group_cols, ["v", "__salt"], out_col="__rk").join(counts, group_cols)
+    aggs = []
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1) * F.lit(p)
+        aggs.append(F.max(F.when(F.col("__rk") == F.floor(h) + 1, F.col("v"))).alias(f"a{i}"))
+        aggs.append(F.max(F.when(F.col("__rk") == F.ceil(h) + 1, F.col("v"))).alias(f"b{i}"))
+        aggs.append(F.first(h).alias(f"h{i}"))
+    r = ranked.groupBy(*group_cols, "n").agg(*aggs)
+    return r.select(*group_cols, "n", *[(F.col(f"a{i}") + (F.col(f"h{i}") - F.floor(F.col(f"h{i}")))
+                                         * (F.col(f"b{i}") - F.col(f"a{i}"))).alias(f"{prefix}{i}")
+                                        for i in range(len(probs))])
 
 
-def _ranked_medians(long: DataFrame) -> DataFrame:
-    """Fallback: exact ranks by a distributed sort (salted so equal values spread)."""
-    counts = long.groupBy("feature_name").agg(F.count(F.lit(1)).alias("n"))
-    salted = long.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id()))
-    ranked = ordinal_within_group(salted, ["feature_name"], ["v", "__salt"], out_col="__rk")
-    mid = ranked.join(F.broadcast(counts), "feature_name").where(
-        (F.col("__rk") == F.floor((F.col("n") - 1) / 2) + 1) | (F.col("__rk") == F.ceil((F.col("n") - 1) / 2) + 1))
-    return mid.groupBy("feature_name").agg(F.avg("v").alias("median")).withColumn("n", F.lit(None).cast("bigint"))
+def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """``feature_name, median`` per column (NULL for a column without values)."""
+    cols = list(cols)
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature_name", "v")
+    q = exact_quantiles(long, "v", ["feature_name"], [0.5], accuracy)
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature_name string")
+    return names.join(q.select("feature_name", F.col("q0").alias("median")), "feature_name", "left")
