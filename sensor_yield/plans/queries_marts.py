@@ -299,8 +299,8 @@ def q_threshold_curve_long(spark, sf_dir):
 
 
 @register("distribution_rows", _base(_MASTER) + f"""
-, lg AS (UNPIVOT INCLUDE NULLS (SELECT row_id, Pass_Fail_Label, fail_probability, {', '.join(EV)} FROM master)
-         ON {', '.join(EV)} INTO NAME feature_name VALUE value)
+, mm AS (SELECT row_id, Pass_Fail_Label, fail_probability, {', '.join(EV)} FROM master),
+lg AS (SELECT * FROM mm UNPIVOT INCLUDE NULLS (value FOR feature_name IN ({', '.join(EV)})))
 SELECT row_id, Pass_Fail_Label, {R('fail_probability')} AS fail_probability, feature_name, {R('value')} AS value
 FROM lg""")
 def q_distribution_rows(spark, sf_dir):
