@@ -48,9 +48,10 @@ def build_master(base: DataFrame, scores: DataFrame, model_name: str, top_featur
     ).orderBy(id_col)
 
 
-def error_type(actual_text: Column = F.col(config.LABEL_TEXT_COL),
-               predicted_text: Column = F.col("model_prediction")) -> Column:
+def error_type(actual_text: Column | None = None, predicted_text: Column | None = None) -> Column:
     """TP / TN / FP / FN, anything else 'NA'."""
+    actual_text = F.col(config.LABEL_TEXT_COL) if actual_text is None else actual_text
+    predicted_text = F.col("model_prediction") if predicted_text is None else predicted_text
     f, p = F.lit(config.FAIL_TEXT), F.lit(config.PASS_TEXT)
     return (F.when((actual_text == f) & (predicted_text == f), "TP")
             .when((actual_text == p) & (predicted_text == p), "TN")
