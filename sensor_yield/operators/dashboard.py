@@ -247,3 +247,32 @@ def feature_summary(df: DataFrame, feature_cols: Sequence[str], importance: Data
 def model_prediction_text(pred: Column) -> Column:
     """F11 for predictions."""
     return label_text(pred)
+
+
+def threshold_kpi_text(table: DataFrame) -> DataFrame:
+    """B14 + F10: one KPI line per threshold of a sweep (values half-even rounded
+    before formatting so the text never depends on binary ties)."""
+    r3 = lambda c: F.bround(F.col(c), 3)
+    text = F.format_string("Threshold=%.2f  |  Recall=%.3f  |  Precision=%.3f  |  F1=%.3f  |  FP=%d  |  FN=%d",
+                           F.bround(F.col("threshold"), 2), r3("recall"), r3("precision"), r3("f1"),
+                           F.col("false_positives").cast("int"), F.col("false_negatives").cast("int"))
+    return table.select("threshold", text.alias("kpi_text"))
+
+
+def kpi_cards(k: DataFrame) -> DataFrame:
+    """B04 + F10: the KPI row as display text (``1,234``, ``6.64%``, ``0.619``)."""
+    return k.select(
+        F.format_number(F.col("total_samples").cast("double"), 0).alias("total_samples_text"),
+        F.format_number(F.col("fail_count").cast("double"), 0).alias("fail_count_text"),
+        F.format_string("%.2f%%", F.bround(F.col("fail_rate") * 100, 2)).alias("fail_rate_text"),
+        F.format_string("%.3f", F.bround(F.col("recall"), 3)).alias("recall_text"),
+        F.format_string("%.3f", F.bround(F.col("precision"), 3)).alias("precision_text"),
+        F.format_string("%.3f", F.bround(F.col("pr_auc"), 3)).alias("pr_auc_text"),
+        F.format_string("%.2f", F.bround(F.col("selected_threshold"), 2)).alias("threshold_text"))
+
+
+def cv_text(summary: DataFrame) -> DataFrame:
+    """``mean ± std`` text per (group, metric) of a CV summary."""
+    keys = [c for c in summary.columns if c not in ("mean", "std")]
+    return summary.select(*keys, F.format_string("%.3f ± %.3f", F.bround("mean", 3), F.bround("std", 3))
+                          .alias("text"))

@@ -388,3 +388,38 @@ def q_scorer_comparison(spark, sf_dir):
 def q_best_scorer(spark, sf_dir):
     """Best by held-out PR-AUC, first name wins ties."""
     return ev.best_row(_scorer_comparison(spark, sf_dir), "PR_AUC", "Model")
+
+
+_TT_FULL = _TT_TEST.replace("coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM tt0)",
+                            "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, fp, fn FROM tt0)")
+
+
+@register("threshold_kpi_text", _base(_MASTER, _TT_FULL) + """
+SELECT threshold, printf('Threshold=%.2f  |  Recall=%.3f  |  Precision=%.3f  |  F1=%.3f  |  FP=%d  |  FN=%d',
+                         round_even(threshold, 2), round_even(recall, 3), round_even(precision, 3), round_even(f1, 3),
+                         CAST(fp AS INTEGER), CAST(fn AS INTEGER)) AS kpi_text
+FROM tt""")
+def q_threshold_kpi_text(spark, sf_dir):
+    """B14 + F10: KPI text line per threshold of the held-out sweep."""
+    m = event_master(spark, sf_dir).where(F.col("dataset_split") == "test")
+    return db.threshold_kpi_text(ev.threshold_table(m, config.LABEL_COL, "fail_probability"))
+
+
+@register("kpi_cards", _base(_MASTER, "t AS (SELECT *, fail_probability AS score FROM master "
+                                      "WHERE dataset_split = 'test')", _lv("rk", "t")) + """
+, k AS (SELECT count(*) AS total, count(*) FILTER (WHERE Pass_Fail = 1) AS fails,
+               arg_min(prediction_threshold, row_id) AS thr,
+               coalesce(count(*) FILTER (WHERE Pass_Fail = 1) / nullif(count(*), 0), 0) AS rate,
+               coalesce(count(*) FILTER (WHERE error_type = 'TP') / nullif(count(*) FILTER (WHERE Pass_Fail = 1), 0), 0)
+                 AS recall,
+               coalesce(count(*) FILTER (WHERE error_type = 'TP') / nullif(count(*) FILTER (WHERE predicted_class = 1), 0), 0)
+                 AS precision,
+               (SELECT ap FROM rk) AS ap FROM t)
+SELECT format('{:,}', total) AS total_samples_text, format('{:,}', fails) AS fail_count_text,
+       printf('%.2f%%', round_even(rate * 100, 2)) AS fail_rate_text, printf('%.3f', round_even(recall, 3)) AS recall_text,
+       printf('%.3f', round_even(precision, 3)) AS precision_text, printf('%.3f', round_even(ap, 3)) AS pr_auc_text,
+       printf('%.2f', round_even(thr, 2)) AS threshold_text
+FROM k""")
+def q_kpi_cards(spark, sf_dir):
+    """B04 + F10: KPI cards as display text."""
+    return db.kpi_cards(db.kpis(event_master(spark, sf_dir), split="test"))

@@ -184,6 +184,24 @@ def q_correlation_pairs(spark, sf_dir):
     return rounded(corr.pairwise_correlation(D.lineitem_sensors(spark, sf_dir), LI))
 
 
+@register("top_correlation_pairs", f"""
+WITH long AS (
+  SELECT vec_id, i AS k, CAST(embedding[i] AS DOUBLE) AS v
+  FROM embeddings, range(1, {EMB_DIM} + 1) t(i)),
+pairs AS (
+  SELECT a.k AS ka, b.k AS kb, corr(a.v, b.v) AS r
+  FROM long a JOIN long b ON a.vec_id = b.vec_id AND a.k < b.k
+  GROUP BY a.k, b.k)
+SELECT 'feature_' || lpad(CAST(ka - 1 AS VARCHAR), 3, '0') AS feature_1,
+       'feature_' || lpad(CAST(kb - 1 AS VARCHAR), 3, '0') AS feature_2,
+       {R('r')} AS correlation
+FROM pairs WHERE r IS NOT NULL AND NOT isnan(r)
+ORDER BY abs(r) DESC, feature_1, feature_2 LIMIT 20""")
+def q_top_correlation_pairs(spark, sf_dir):
+    """The first 20 pairs of the abs-sorted correlation list (embeddings)."""
+    return rounded(corr.high_correlation_pairs(D.embedding_sensors(spark, sf_dir, EMB_DIM), EMB, 0.0).limit(20))
+
+
 @register("embedding_correlation_pairs", f"""
 WITH long AS (
   SELECT vec_id, i AS k, CAST(embedding[i] AS DOUBLE) AS v
