@@ -23,24 +23,20 @@ from sensor_yield.operators.splits import stratified_sample
 ERROR_TYPES = ("TP", "TN", "FP", "FN")
 
 
-def build_master(base: DataFrame, scores: DataFrame, model_name: str, top_features: Sequence[str],
+def build_master(scored: DataFrame, model_name: str, top_features: Sequence[str],
                  threshold: float = config.DEFAULT_DECISION_THRESHOLD, id_col: str = config.ROW_ID_COL) -> DataFrame:
-    """Base columns + split + model + probability + threshold + decision +
-    text + the top features, per row, train and test together (U01), by row_id.
-
-    ``base`` holds ``row_id, Time, Pass_Fail, Pass_Fail_Label, dataset_split`` and
-    the feature columns; ``scores`` holds ``row_id, fail_probability``. The join is
-    on the row key (J02): sort-merge on both sides or broadcast, as Catalyst sees fit.
+    """B01 (+ J02, P09, P11, L09, U01): one row per scored row, train and test
+    together, sorted by row_id.
+
+    ``scored`` holds ``row_id, Time, Pass_Fail, Pass_Fail_Label, dataset_split,
+    fail_probability`` and the feature columns -- i.e. the model has scored the
+    rows in place (``model.transform`` keeps every input column), so the
+    reference's index-aligned lookup of base columns and its train/test
+    concatenation need neither a join nor a union: the split is a column.
     """
     p = F.col("fail_probability")
     pred = ev.decision(p, threshold)
-    frames = []
-    for split in ("train", "test"):
-        part = base.where(F.col("dataset_split") == split)
-        frames.append(part)
-    both = frames[0].unionByName(frames[1])
-    joined = both.join(scores.select(id_col, "fail_probability"), id_col, "inner")
-    return joined.select(
+    return scored.select(
         id_col, config.TIME_COL, config.LABEL_COL, config.LABEL_TEXT_COL, "dataset_split",
         F.lit(model_name).alias("model_used"), p.alias("fail_probability"),
         F.lit(float(threshold)).alias("prediction_threshold"), pred.alias("predicted_class"),

@@ -105,31 +105,26 @@ def metrics_at_threshold(df: DataFrame, label_col: str, score_col: str,
 def threshold_table(df: DataFrame, label_col: str, score_col: str,
                     grid: Sequence[float] = config.THRESHOLD_GRID,
                     group_cols: Sequence[str] = ()) -> DataFrame:
-    """One row per grid threshold (per group) with rates and counts.
+    """E02 + J06: one row per grid threshold (per group) with rates and counts.
 
-    Each row is bucketed by how many grid points are ``<= score`` (a JVM-side sum
-    of comparisons), counted per (group, bucket, label) -- at most 20 buckets per
-    group -- and each threshold's counts are read off reverse-cumulative sums of
-    that tiny table.
+    One partial aggregate computes, for every grid point, the positives and
+    negatives scoring at or above it (2 x 19 conditional counts inside codegen,
+    one state per group per task); a ``stack`` generator then turns the single
+    row per group into the 19 threshold rows. No join with the grid is needed.
     """
-    grid = sorted(grid)
-    s = F.col(score_col)
-    bucket = sum((s >= F.lit(t)).cast("int") for t in grid)
-    y = F.col(label_col)
-    counts = df.groupBy(*group_cols, bucket.alias("bucket")).agg(
-        F.count_if(y == 1).cast("bigint").alias("pos"), F.count_if(y == 0).cast("bigint").alias("neg"))
-    grid_df = df.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(grid)],
-                                              "gi int, threshold double")
-    # pair every (group, bucket) row with the grid points it clears: bucket >= gi
-    paired = counts.join(F.broadcast(grid_df), F.col("bucket") >= F.col("gi"), "inner")
-    pos_ge = paired.groupBy(*group_cols, "gi", "threshold").agg(
-        F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    totals = counts.groupBy(*group_cols).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    full = (totals.select(*group_cols, "n_pos", "n_neg", F.lit(1).alias("__one"))
-            .join(F.broadcast(grid_df.select("*", F.lit(1).alias("__one"))), "__one").drop("__one"))
-    t = full.join(pos_ge, [*group_cols, "gi", "threshold"], "left").fillna(0, ["tp", "fp"])
+    grid = sorted(float(t) for t in grid)
+    s, y = F.col(score_col), F.col(label_col)
+    aggs = [F.count_if(y == 1).alias("__np"), F.count_if(y == 0).alias("__nn")]
+    for i, t in enumerate(grid):
+        aggs.append(F.count_if((y == 1) & (s >= F.lit(t))).alias(f"__tp{i}"))
+        aggs.append(F.count_if((y == 0) & (s >= F.lit(t))).alias(f"__fp{i}"))
+    g = df.groupBy(*group_cols) if group_cols else df.groupBy()
+    wide = g.agg(*aggs)
+    parts = ", ".join(f"CAST({t!r} AS DOUBLE), __tp{i}, __fp{i}" for i, t in enumerate(grid))
+    t = wide.selectExpr(*[f"`{c}`" for c in group_cols], "__np", "__nn",
+                        f"stack({len(grid)}, {parts}) AS (threshold, tp, fp)")
     tp, fp = F.col("tp"), F.col("fp")
-    fn, tn = F.col("n_pos") - tp, F.col("n_neg") - fp
+    fn, tn = F.col("__np") - tp, F.col("__nn") - fp
     return t.select(
         *group_cols, "threshold", *rate_columns(tp, fp, fn),
         fp.cast("int").alias("false_positives"), fn.cast("int").alias("false_negatives"),

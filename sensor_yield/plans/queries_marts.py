@@ -35,16 +35,14 @@ def event_model() -> PipelineModel:
 
 
 def event_split(spark, sf_dir):
-    base = D.event_scores(spark, sf_dir)
-    split = stratified_split(base.select(config.ROW_ID_COL, config.LABEL_COL), config.ROW_ID_COL)
-    return base.join(split.select(config.ROW_ID_COL, "dataset_split"), config.ROW_ID_COL)
+    """The scored events with an exact stratified ``dataset_split`` column (the
+    split carries every column through its checkpoint: no join back)."""
+    return stratified_split(D.event_scores(spark, sf_dir), config.ROW_ID_COL)
 
 
 def event_master(spark, sf_dir):
     """B01 over the events: both splits, the rule's probability, 0.5 cut, features."""
-    b = event_split(spark, sf_dir)
-    scores = b.select(config.ROW_ID_COL, "fail_probability")
-    return db.build_master(b.drop("fail_probability"), scores, MODEL, EV)
+    return db.build_master(event_split(spark, sf_dir), MODEL, EV)
 
 
 def event_importance(spark, sf_dir):

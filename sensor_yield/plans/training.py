@@ -42,6 +42,14 @@ def _score(model, df: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return model.transform(df).select(id_col, label_col, positive_probability().alias(SCORE))
 
 
+def score_rows(model, df: DataFrame, id_col: str = config.ROW_ID_COL) -> DataFrame:
+    """Raw rows plus the model's ``fail_probability``. The fitted stages
+    rewrite feature columns (imputed, scaled, dropped), so the probability is
+    joined back to the untouched rows on the row key."""
+    probs = model.transform(df).select(id_col, positive_probability().alias(SCORE))
+    return df.join(probs, id_col, "inner")
+
+
 def random_search(cand: Candidate, train: DataFrame, id_col: str, label_col: str = config.LABEL_COL,
                   n_iter: int = config.N_RANDOM_SEARCH_ITER, k: int = config.CV_FOLDS,
                   seed: int = config.SEED, parallelism: int = 4) -> SearchResult:
@@ -92,8 +100,13 @@ def random_search(cand: Candidate, train: DataFrame, id_col: str, label_col: str
 def run_training(df: DataFrame, id_col: str = config.ROW_ID_COL, label_col: str = config.LABEL_COL,
                  feature_cols: list[str] | None = None, candidates: list[Candidate] | None = None,
                  n_iter: int = config.N_RANDOM_SEARCH_ITER, k: int = config.CV_FOLDS, seed: int = config.SEED,
-                 importance_repeats: int = config.PERMUTATION_REPEATS, parallelism: int = 4) -> dict[str, Any]:
-    """Entry 1 as Spark jobs. Returns DataFrames and the final report dict."""
+                 importance_repeats: int = config.PERMUTATION_REPEATS, parallelism: int = 4,
+                 select_on: str = "test") -> dict[str, Any]:
+    """Entry 1 as Spark jobs. Returns DataFrames and the final report dict.
+
+    ``select_on='test'`` picks the final model by held-out PR-AUC (the
+    reference's rule, which also tunes on the test split); ``'cv'`` picks by the
+    mean cross-validated PR-AUC and leaves the test split untouched by selection."""
     feature_cols = feature_cols or [c for c in df.columns if c.startswith(config.FEATURE_PREFIX)]
     split = cut_lineage(stratified_split(df, id_col, label_col, config.TEST_SIZE, seed))
     train = split.where(F.col("dataset_split") == "train").drop("dataset_split")
@@ -109,7 +122,8 @@ def run_training(df: DataFrame, id_col: str = config.ROW_ID_COL, label_col: str
     metrics = ev.metrics_at_threshold(test_scores, label_col, SCORE, config.DEFAULT_DECISION_THRESHOLD, ["model"])
     thresholds = ev.threshold_table(test_scores, label_col, SCORE, config.THRESHOLD_GRID, ["model"])
     comparison = model_comparison(metrics, results, candidates)
-    best_name = ev.best_row(comparison, "PR_AUC", "Model").first()["Model"]
+    sel_metric = "PR_AUC" if select_on == "test" else "CV_PR_AUC_mean"
+    best_name = ev.best_row(comparison, sel_metric, "Model").first()["Model"]
     best = {r.name: r for r in results}[best_name]
     recs = ev.recommend_thresholds(thresholds.where(F.col("model") == best_name).drop("model"))
     imp = rank_features(permutation_importance(best.model, test, id_col, label_col, feature_cols,
@@ -122,7 +136,7 @@ def run_training(df: DataFrame, id_col: str = config.ROW_ID_COL, label_col: str
         "best_model": best_name,
         "best_model_preprocessing": best_candidate(candidates, best_name).preprocessing,
         "best_model_sampling": best_candidate(candidates, best_name).sampling,
-        "selection_criterion": "held-out test PR-AUC",
+        "selection_criterion": "held-out test PR-AUC" if select_on == "test" else "mean CV PR-AUC",
         "test_metrics_threshold_0.5": best_metrics,
         "cross_validation_summary": best.cv_summary,
         "threshold_recommendations": {r["strategy"]: {k2: v for k2, v in r.asDict().items() if k2 != "strategy"}

@@ -10,10 +10,10 @@ from conftest import make_sensor_matrix, write_two_file_layout
 
 from sensor_yield import config
 from sensor_yield.operators import dashboard as db
-from sensor_yield.operators.models import build_candidates, positive_probability
+from sensor_yield.operators.models import build_candidates
 from sensor_yield.plans import exports
 from sensor_yield.plans.eda import eda_summary
-from sensor_yield.plans.training import run_training
+from sensor_yield.plans.training import run_training, score_rows
 from sensor_yield.sources import marts
 from sensor_yield.sources.raw_files import load_raw
 
@@ -63,9 +63,7 @@ def test_training_marts_dashboard(spark, loaded, tmp_path):
     best_model = {r.name: r.model for r in out["results"]}[best]
     feats = [c for c in loaded.columns if c.startswith("feature_")]
     top = imp.sort_values("rank")["feature_name"].head(config.TOP_N_FEATURES).tolist()
-    base = loaded.join(out["split"].select("row_id", "dataset_split"), "row_id")
-    scores = best_model.transform(loaded).select("row_id", positive_probability().alias("fail_probability"))
-    master = db.build_master(base, scores, best, top)
+    master = db.build_master(score_rows(best_model, out["split"]), best, top)
     root = str(tmp_path / "marts")
     exports.write_master(master, root)
     exports.write_feature_summary(db.feature_summary(loaded, feats, out["importance"]), root)
