@@ -11,8 +11,10 @@ two nearest ranks, as numpy's default) are found in two cheap passes:
    values inside brackets, pre-aggregated to ``(group, value, count)``; the exact
    order statistics are read off that small table with a window per group.
 
-A bracket that misses its ranks (not expected, but checked) falls back to a
-distributed rank -- a range-partitioned sort, salted so hot values spread.
+When the first pass proves every group small (``SMALL_GROUP_VALUES``), Spark's
+exact ``percentile`` runs directly instead. A bracket that misses its ranks (not
+expected, but checked) falls back to a distributed rank -- a range-partitioned
+sort, salted so hot values spread.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 from sensor_yield.operators.ordering import ordinal_within_group
 
 DEFAULT_ACCURACY = 10000
+# A group with at most this many values fits one task's memory comfortably (an
+# 8 MB value map); when the counts prove every group is that small, Spark's exact
+# ``percentile`` runs directly.
+SMALL_GROUP_VALUES = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, value_col: str, group_cols: Sequence[str], probs: Sequence[float],
@@ -50,6 +56,11 @@ def exact_quantiles(df: DataFrame, value_col: str, group_cols: Sequence[str], pr
         stats = (stats.withColumn(f"h{i}", h).withColumn(f"k{i}a", F.floor(h))
                  .withColumn(f"k{i}b", F.ceil(h)))
     stats = stats.cache()  # one row per group
+    largest = stats.agg(F.max("n").alias("m")).first()["m"] or 0
+    if largest <= SMALL_GROUP_VALUES:
+        direct = vals.groupBy(*group_cols).agg(
+            F.count(F.lit(1)).alias("n"), *[F.percentile("v", p).alias(f"{prefix}{i}") for i, p in enumerate(probs)])
+        return direct.drop("__g") if ungrouped else direct
     lo_cols = [F.col(f"lo{i}") for i in range(len(probs))]
     lo_all = F.least(*lo_cols) if len(lo_cols) > 1 else lo_cols[0]
     in_any = None

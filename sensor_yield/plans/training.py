@@ -108,12 +108,17 @@ def run_training(df: DataFrame, id_col: str = config.ROW_ID_COL, label_col: str
     reference's rule, which also tunes on the test split); ``'cv'`` picks by the
     mean cross-validated PR-AUC and leaves the test split untouched by selection."""
     feature_cols = feature_cols or [c for c in df.columns if c.startswith(config.FEATURE_PREFIX)]
-    split = cut_lineage(stratified_split(df, id_col, label_col, config.TEST_SIZE, seed))
+    # the split's staged rows are already checkpointed inside the distributed
+    # ordinal; the offset join on top is a broadcast, so caching suffices here
+    split = stratified_split(df, id_col, label_col, config.TEST_SIZE, seed).cache()
     train = split.where(F.col("dataset_split") == "train").drop("dataset_split")
     test = split.where(F.col("dataset_split") == "test").drop("dataset_split")
     candidates = candidates or build_candidates(seed)
 
-    results = [random_search(c, train, id_col, label_col, n_iter, k, seed, parallelism) for c in candidates]
+    # candidates are independent: their searches run as concurrent Spark jobs
+    with ThreadPoolExecutor(max_workers=max(1, min(len(candidates), parallelism))) as pool:
+        results = list(pool.map(lambda c: random_search(c, train, id_col, label_col, n_iter, k, seed, parallelism),
+                                candidates))
     test_scores = None
     for r in results:
         s = _score(r.model, test, id_col, label_col).withColumn("model", F.lit(r.name))
