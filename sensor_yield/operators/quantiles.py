@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from sensor_yield.operators.ordering import ordinal_within_group
 
 DEFAULT_ACCURACY = 10000
-# A group with at most this many values fits one task's memory comfortably (an
-# 8 MB value map); when the counts prove every group is that small, Spark's exact
+# A group with at most this many values is cheap to hold in one task (an
+# 0.8 MB value map); when the counts prove every group is that small, Spark's exact
 # ``percentile`` runs directly.
-SMALL_GROUP_VALUES = 1_000_000
+SMALL_GROUP_VALUES = 100_000
 
 
 def exact_quantiles(df: DataFrame, value_col: str, group_cols: Sequence[str], probs: Sequence[float],

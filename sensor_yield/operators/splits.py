@@ -25,12 +25,16 @@ def split_allocation(df: DataFrame, label_col: str, test_size: float = config.TE
     """
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
     w_all = Window.partitionBy()
+    # n_train * n_class can pass 2^63 on very large tables: exact DECIMAL(38, 0)
+    # arithmetic, remainder first, then an exact division.
+    dec = "decimal(38,0)"
+    prod = F.col("__n_train").cast(dec) * F.col("n_class").cast(dec)
     alloc = (counts
              .withColumn("__n", F.sum("n_class").over(w_all))
              .withColumn("__n_test", F.ceil(F.lit(test_size) * F.col("__n")).cast("bigint"))
              .withColumn("__n_train", F.col("__n") - F.col("__n_test"))
-             .withColumn("__base", F.floor(F.col("__n_train") * F.col("n_class") / F.col("__n")).cast("bigint"))
-             .withColumn("__rem", F.pmod(F.col("__n_train") * F.col("n_class"), F.col("__n")))
+             .withColumn("__rem", F.pmod(prod, F.col("__n").cast(dec)))
+             .withColumn("__base", ((prod - F.col("__rem")) / F.col("__n").cast(dec)).cast("bigint"))
              .withColumn("__short", F.col("__n_train") - F.sum("__base").over(w_all))
              .withColumn("__rk", F.row_number().over(Window.orderBy(F.desc("__rem"), F.asc(label_col)))))
     return alloc.select(
