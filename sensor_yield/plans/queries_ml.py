@@ -148,3 +148,18 @@ def q_model_comparison(spark, sf_dir):
     df = D.embedding_sensors(spark, sf_dir)
     out = run_training(df, candidates=build_candidates(grids=SEARCH_GRIDS), importance_repeats=1)
     return out["comparison"]
+
+
+@register("attribution_importance")
+def q_attribution_importance(spark, sf_dir):
+    """E11 (re-aimed): Monte-Carlo Shapley mean |contribution| per model input of
+    the logistic baseline, on a 200-row seeded sample of the embedding test split."""
+    from sensor_yield.operators.importance import attribution_importance, rank_features
+
+    df = D.embedding_sensors(spark, sf_dir)
+    split = stratified_split(df, config.ROW_ID_COL)
+    train = split.where(F.col("dataset_split") == "train").drop("dataset_split")
+    test = split.where(F.col("dataset_split") == "test").drop("dataset_split")
+    cand = {c.name: c for c in build_candidates()}[config.MODEL_LOGISTIC]
+    model = cand.build({"C": 0.1}).fit(train)
+    return rank_features(attribution_importance(model, test, config.ROW_ID_COL))

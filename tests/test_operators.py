@@ -280,4 +280,7 @@ def test_planted_signal_models_and_importance(spark):
     imp = rank_features(permutation_importance(model, test, "row_id", "Pass_Fail", cols, repeats=3))
     top = [r["feature_name"] for r in imp.orderBy("rank").limit(2).collect()]
     assert set(top) == {"feature_000", "feature_001"}
+    from sensor_yield.operators.importance import attribution_importance
+    att = rank_features(attribution_importance(model, test, "row_id", n_rows=60, draws=6))
+    assert {r["feature_name"] for r in att.orderBy("rank").limit(2).collect()} == {"feature_000", "feature_001"}
     assert train.select("Pass_Fail").distinct().count() == 2
