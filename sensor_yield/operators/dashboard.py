@@ -75,17 +75,22 @@ def detail_filter(master: DataFrame, actual: str = "ALL", predicted: str = "ALL"
 
 
 def kpis(master: DataFrame, split: str = "test", threshold_col: str = "prediction_threshold") -> DataFrame:
-    """Total, fail count, fail rate (0 when empty), the model's recall,
-    precision and PR-AUC on the same rows, and the threshold of the first row."""
+    """Total, fail count, fail rate (0 when empty), recall and precision
+    of the stored decisions, PR-AUC of the stored probabilities on the same rows,
+    and the threshold of the first row."""
     rows = master if split == "all" else master.where(F.col("dataset_split") == split)
-    y = F.col(config.LABEL_COL)
+    y, p = F.col(config.LABEL_COL), F.col("predicted_class")
     base = rows.agg(F.count(F.lit(1)).cast("bigint").alias("total_samples"),
                     F.count_if(y == 1).cast("bigint").alias("fail_count"),
-                    F.min_by(F.col(threshold_col), F.col(config.ROW_ID_COL)).alias("selected_threshold"))
-    base = base.withColumn("fail_rate", F.coalesce(F.try_divide(F.col("fail_count"),
-                                                                F.col("total_samples").cast("double")), F.lit(0.0)))
-    m = ev.metrics_at_threshold(rows.withColumn("__t", F.col(threshold_col)), config.LABEL_COL,
-                                "fail_probability").select("recall", "precision", "pr_auc")
+                    F.min_by(F.col(threshold_col), F.col(config.ROW_ID_COL)).alias("selected_threshold"),
+                    F.count_if((y == 1) & (p == 1)).alias("__tp"), F.count_if((y == 0) & (p == 1)).alias("__fp"),
+                    F.count_if((y == 1) & (p == 0)).alias("__fn"))
+    tp, fp, fn = F.col("__tp"), F.col("__fp"), F.col("__fn")
+    base = base.select(
+        "total_samples", "fail_count", "selected_threshold",
+        F.coalesce(F.try_divide(F.col("fail_count"), F.col("total_samples").cast("double")), F.lit(0.0))
+        .alias("fail_rate"), *ev.rate_columns(tp, fp, fn)[:2])  # recall, precision
+    m = ev.ranking_metrics(rows, config.LABEL_COL, "fail_probability").select("pr_auc")
     one = F.lit(1).alias("__one")  # two one-row frames side by side
     return base.select("*", one).join(m.select("*", one), "__one").drop("__one")
 

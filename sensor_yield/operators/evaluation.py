@@ -60,7 +60,8 @@ def score_levels(df: DataFrame, label_col: str, score_col: str, group_cols: Sequ
         F.count_if(y == 1).cast("bigint").alias("pos"),
         F.count_if(y == 0).cast("bigint").alias("neg"))
     cum = cumulative_sums(levels, list(group_cols), [F.desc("score")], ["pos", "neg"])
-    totals = levels.groupBy(*group_cols).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    # totals from the (checkpointed) levels, not from another scan of the rows
+    totals = cum.groupBy(*group_cols).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return cum.join(totals, list(group_cols), "inner") if group_cols else _join_one(cum, totals)
 
 
@@ -90,16 +91,29 @@ def ranking_metrics(df: DataFrame, label_col: str, score_col: str, group_cols: S
 def metrics_at_threshold(df: DataFrame, label_col: str, score_col: str,
                          threshold: float = config.DEFAULT_DECISION_THRESHOLD,
                          group_cols: Sequence[str] = ()) -> DataFrame:
-    """Recall, precision, F1, PR-AUC, ROC-AUC, accuracy and the 2x2 counts."""
-    scored = df.withColumn("__pred", decision(F.col(score_col), threshold))
-    cm = confusion_counts(scored, label_col, "__pred", group_cols)
-    tp, fp, fn, tn = (F.col("true_positives"), F.col("false_positives"),
-                      F.col("false_negatives"), F.col("true_negatives"))
-    cm = cm.select(*group_cols, *rate_columns(tp, fp, fn),
-                   _safe_ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
-                   "true_negatives", "false_positives", "false_negatives", "true_positives")
-    rk = ranking_metrics(df, label_col, score_col, group_cols)
-    return cm.join(rk, list(group_cols), "inner") if group_cols else _join_one(cm, rk)
+    """Recall, precision, F1, PR-AUC, ROC-AUC, accuracy and the 2x2 counts.
+
+    The rows are scanned once, into the distinct score levels; the confusion counts
+    at the cut and both ranking metrics are aggregates of that (small) table."""
+    lv = score_levels(df, label_col, score_col, group_cols)
+    above = F.col("score") >= F.lit(threshold)
+    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    below = F.col("n_neg") - F.col("cum_neg")
+    g = lv.groupBy(*group_cols) if group_cols else lv.groupBy()
+    agg = g.agg(
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
+        F.first("n_pos").alias("__np"), F.first("n_neg").alias("__nn"),
+        F.try_divide(F.sum(F.col("pos") * prec), F.first("n_pos").cast("double")).alias("pr_auc"),
+        F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)),
+                     (F.first("n_pos") * F.first("n_neg")).cast("double")).alias("roc_auc"))
+    tp, fp = F.col("tp"), F.col("fp")
+    fn, tn = F.col("__np") - tp, F.col("__nn") - fp
+    return agg.select(*group_cols, *rate_columns(tp, fp, fn),
+                      _safe_ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
+                      tn.cast("bigint").alias("true_negatives"), fp.cast("bigint").alias("false_positives"),
+                      fn.cast("bigint").alias("false_negatives"), tp.cast("bigint").alias("true_positives"),
+                      "pr_auc", "roc_auc")
 
 
 def threshold_table(df: DataFrame, label_col: str, score_col: str,
