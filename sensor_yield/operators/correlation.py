@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensor_yield import config
+from sensor_yield.operators.profile import column_stats
 
 GRAM_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
@@ -66,8 +67,8 @@ def pairwise_correlation(df: DataFrame, cols: Sequence[str], threshold: float |
         return df.sparkSession.createDataFrame([], "feature_1 string, feature_2 string, correlation double")
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     # Column means (one aggregate, d values) make the sums numerically stable.
-    mrow = data.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    means = np.array([0.0 if mrow[c] is None else float(mrow[c]) for c in cols])
+    mst = column_stats(data, cols, {"mean": "avg"})
+    means = np.array([0.0 if mst[c]["mean"] is None else float(mst[c]["mean"]) for c in cols])
     if data.rdd.getNumPartitions() > max_map_tasks:
         data = data.coalesce(max_map_tasks)
     parts = data.mapInPandas(_gram_partition(means), GRAM_SCHEMA)
@@ -101,7 +102,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     upper = pairwise_correlation(df, cols)
     lower = upper.select(F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"),
                          "correlation")
-    prof = df.agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    diag_rows = [(c, c, 1.0) for c in cols if prof[c] is not None and prof[c] > 0]
+    var = column_stats(df, cols, {"var": "var_samp"})
+    diag_rows = [(c, c, 1.0) for c in cols if var[c]["var"] is not None and var[c]["var"] > 0]
     diag = df.sparkSession.createDataFrame(diag_rows, "feature_1 string, feature_2 string, correlation double")
     return upper.unionByName(lower).unionByName(diag)

@@ -263,3 +263,25 @@ def is_monotonic(df: DataFrame, order_col: str, value_col: str) -> DataFrame:
         "edge_ok", F.col("prev_last").isNull() | (F.col("first_v") >= F.col("prev_last")))
     return checked.agg(F.coalesce(F.bool_and(F.col("ok") & ~F.col("any_null") & F.col("edge_ok")),
                                   F.lit(True)).alias("is_monotonic_time"))
+
+
+def column_stats(df: DataFrame, cols: Sequence[str], stats: dict[str, str]) -> dict[str, dict[str, float | None]]:
+    """Per-column statistics collected to the driver (bounded by columns x stats).
+
+    ``stats`` maps an output name to an aggregate function name of
+    ``pyspark.sql.functions`` (``avg``, ``stddev_pop``, ``min``, ``var_samp``...).
+    Narrow tables use one wide aggregate; wide ones go long (``unpivot`` +
+    ``groupBy(feature)``) so the aggregate stays within codegen's field budget.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    if len(cols) <= WIDE_AGG_LIMIT:
+        aggs = [getattr(F, fn)(F.col(c).cast("double")).alias(f"{k}__{i}")
+                for i, c in enumerate(cols) for k, fn in stats.items()]
+        row = df.agg(*aggs).first()
+        return {c: {k: row[f"{k}__{i}"] for k in stats} for i, c in enumerate(cols)}
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature_name", "v")
+    rows = long.groupBy("feature_name").agg(*[getattr(F, fn)("v").alias(k) for k, fn in stats.items()]).collect()
+    out = {r["feature_name"]: {k: r[k] for k in stats} for r in rows}
+    return {c: out.get(c, {k: None for k in stats}) for c in cols}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensor_yield import config
-from sensor_yield.operators.profile import feature_profile
+from sensor_yield.operators.profile import column_stats, feature_profile
 from sensor_yield.operators.quantiles import exact_medians
 
 
@@ -165,9 +165,9 @@ class MissingIndicatorFiller(Estimator, _FeatureStage, DefaultParamsReadable, De
 
     def _fit(self, df: DataFrame) -> FillModel:
         cols = self._inputs(df)
-        row = df.agg(*[F.min(c).alias(c) for c in cols]).first()
-        have = [c for c in cols if row[c] is not None]
-        return FillModel(cols=have, values=[float(row[c]) - 1.0 for c in have],
+        mins = column_stats(df, cols, {"min": "min"})
+        have = [c for c in cols if mins[c]["min"] is not None]
+        return FillModel(cols=have, values=[float(mins[c]["min"]) - 1.0 for c in have],
                          droppedCols=[c for c in cols if c not in have], indicator=True)
 
 
@@ -198,13 +198,10 @@ class StandardScaler(Estimator, _FeatureStage, DefaultParamsReadable, DefaultPar
 
     def _fit(self, df: DataFrame) -> ScalerModel:
         cols = self._inputs(df)
-        aggs = []
-        for i, c in enumerate(cols):
-            aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
-        row = df.agg(*aggs).first() if cols else None
+        st = column_stats(df, cols, {"mean": "avg", "std": "stddev_pop"})
         means, scales = [], []
-        for i, _ in enumerate(cols):
-            m, s = row[f"m{i}"], row[f"s{i}"]
+        for c in cols:
+            m, s = st[c]["mean"], st[c]["std"]
             means.append(0.0 if m is None else float(m))
             scales.append(1.0 if (s is None or s == 0.0) else float(s))
         return ScalerModel(cols=cols, means=means, scales=scales)
