@@ -30,9 +30,12 @@ from sensor_yield.session import cut_lineage
 
 
 def _n_parts(df: DataFrame, n_parts: int | None) -> int:
+    """Range partitions: at least the shuffle setting, and at least as many as the
+    input has splits (so partition size follows the data, not a constant)."""
     if n_parts:
         return n_parts
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, conf, df.rdd.getNumPartitions())
 
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:

@@ -101,3 +101,20 @@ def test_training_marts_dashboard(spark, loaded, tmp_path):
     with pytest.raises(marts.DashboardDataError):
         marts.load_master_table(spark, str(tmp_path / "nothing"))
     assert np.isfinite(comp["PR_AUC"]).all()
+
+
+def test_command_line_entries(spark, tmp_path):
+    from sensor_yield.plans.run import main, run_train
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    x, y = make_sensor_matrix(150, 8, seed=3)
+    write_two_file_layout(str(raw), x, y)
+    out = str(tmp_path / "out")
+    main(["eda", "--raw-dir", str(raw), "--out", out])
+    assert exports.load_json(spark, os.path.join(out, "eda_summary.json"))["n_rows"] == 150
+    rep = run_train(spark, str(raw), out, n_iter=1, folds=2, grids=SMALL, importance_repeats=1)
+    assert rep["n_test"] == 30
+    assert marts.data_is_available(spark, out)
+    assert marts.load_master_table(spark, out).count() == 150
+    assert marts.load_feature_summary(spark, out).count() == 8
+    assert marts.load_model_performance(spark, out).count() == 4
