@@ -59,23 +59,25 @@ def random_search(cand: Candidate, train: DataFrame, id_col: str, label_col: str
     CV PR-AUC (first setting wins ties) is refitted on the whole training set."""
     settings = cand.settings(n_iter, seed)
     folded = stratified_folds(train, id_col, label_col, k, seed)
-    scored_parts = []
     cached = []
-    for f in range(k):
+
+    def run_fold(f: int) -> list[DataFrame]:
         fit_rows = folded.where(F.col("fold") != f).drop("fold")
         val_rows = folded.where(F.col("fold") == f).drop("fold")
         pre = Pipeline(stages=cand.pre()).fit(fit_rows)
         tr = pre.transform(fit_rows).cache()
         va = pre.transform(val_rows).cache()
-        cached += [tr, va]
-
-        def fit_one(i_p, tr=tr, va=va, f=f):
-            i, p = i_p
+        cached.extend([tr, va])
+        parts = []
+        for i, p in enumerate(settings):
             m = cand.clf(p).fit(tr)
-            return _score(m, va, id_col, label_col).withColumn("setting", F.lit(i)).withColumn("fold", F.lit(f))
+            parts.append(_score(m, va, id_col, label_col).withColumn("setting", F.lit(i))
+                         .withColumn("fold", F.lit(f)))
+        return parts
 
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            scored_parts += list(pool.map(fit_one, list(enumerate(settings))))
+    # folds are independent: their fits run as concurrent Spark jobs
+    with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism))) as pool:
+        scored_parts = [p for parts in pool.map(run_fold, range(k)) for p in parts]
     scores = scored_parts[0]
     for s in scored_parts[1:]:
         scores = scores.unionByName(s)
