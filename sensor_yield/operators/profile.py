@@ -228,8 +228,12 @@ def is_monotonic(df: DataFrame, order_col: str, value_col: str) -> DataFrame:
                .repartitionByRange(n_parts, "k").sortWithinPartitions("k"))
     # Timestamps go through as epoch microseconds so the pandas side stays numeric.
     vt = df.schema[value_col].dataType
-    if isinstance(vt, (T.TimestampType, T.TimestampNTZType)):
-        ordered = ordered.withColumn("v", F.unix_micros(F.col("v").cast("timestamp")).cast("double"))
+    if isinstance(vt, T.TimestampNTZType):
+        # wall-clock microseconds, independent of the session time zone
+        ordered = ordered.withColumn("v", F.expr(
+            "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', v)").cast("double"))
+    elif isinstance(vt, T.TimestampType):
+        ordered = ordered.withColumn("v", F.unix_micros(F.col("v")).cast("double"))
     elif isinstance(vt, T.DateType):
         ordered = ordered.withColumn("v", F.unix_date(F.col("v")).cast("double"))
     else:

@@ -46,11 +46,13 @@ def exact_quantiles(df: DataFrame, value_col: str, group_cols: Sequence[str], pr
     vals = df.select(*group_cols, F.col(value_col).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
     band = 2.0 / accuracy
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, p in enumerate(probs):
-        aggs.append(F.percentile_approx("v", max(0.0, p - band), accuracy).alias(f"lo{i}"))
-        aggs.append(F.percentile_approx("v", min(1.0, p + band), accuracy).alias(f"hi{i}"))
-    stats = vals.groupBy(*group_cols).agg(*aggs)
+    # one sketch per group answers every bracket end
+    ends = [x for p in probs for x in (max(0.0, p - band), min(1.0, p + band))]
+    stats = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"),
+                                          F.percentile_approx("v", ends, accuracy).alias("__ends"))
+    stats = stats.select(*group_cols, "n", *[F.element_at("__ends", 2 * i + 1).alias(f"lo{i}")
+                                             for i in range(len(probs))],
+                         *[F.element_at("__ends", 2 * i + 2).alias(f"hi{i}") for i in range(len(probs))])
     for i, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(p)
         stats = (stats.withColumn(f"h{i}", h).withColumn(f"k{i}a", F.floor(h))
