@@ -6,7 +6,7 @@ into one task. These helpers compute the same results with the classic two-level
 scheme instead:
 
 1. range-partition on ``(group, order)`` and sort inside partitions (one shuffle,
-   balanced by sampled range bounds);
+   balanced by sampled range bounds, partition count left to AQE);
 2. number the rows inside each partition (``monotonically_increasing_id`` keeps
    the in-partition position) and persist that staged table with a reliable
    checkpoint, so positions are stable even if an executor is lost and the
@@ -29,13 +29,11 @@ from pyspark.sql import functions as F
 from sensor_yield.session import cut_lineage
 
 
-def _n_parts(df: DataFrame, n_parts: int | None) -> int:
-    """Range partitions: at least the shuffle setting, and at least as many as the
-    input has splits (so partition size follows the data, not a constant)."""
-    if n_parts:
-        return n_parts
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, conf, df.rdd.getNumPartitions())
+def _n_parts(df: DataFrame, n_parts: int | None) -> int | None:
+    """Explicit range-partition count, or None to let AQE size the partitions
+    (the exchange then starts at ``spark.sql.shuffle.partitions`` and AQE coalesces
+    small ones at runtime, so partition size follows the data)."""
+    return n_parts or None
 
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
@@ -45,7 +43,9 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
 def _stage(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
            n_parts: int | None) -> DataFrame:
     keys = _as_cols(group_cols) + _as_cols(order_cols)
-    staged = (df.repartitionByRange(_n_parts(df, n_parts), *keys)
+    n = _n_parts(df, n_parts)
+    parted = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
+    staged = (parted
               .sortWithinPartitions(*keys)
               .withColumn("__sy_pid", F.spark_partition_id())
               .withColumn("__sy_pos", F.monotonically_increasing_id()))

@@ -222,10 +222,8 @@ def is_monotonic(df: DataFrame, order_col: str, value_col: str) -> DataFrame:
     vectorised pass, then compare neighbouring partitions on that tiny table (one
     row per partition). No single task ever sees more than one partition.
     """
-    spark = df.sparkSession
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     ordered = (df.select(F.col(order_col).alias("k"), F.col(value_col).alias("v"))
-               .repartitionByRange(n_parts, "k").sortWithinPartitions("k"))
+               .repartitionByRange("k").sortWithinPartitions("k"))
     # Timestamps go through as epoch microseconds so the pandas side stays numeric.
     vt = df.schema[value_col].dataType
     if isinstance(vt, T.TimestampNTZType):
