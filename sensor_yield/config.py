@@ -79,6 +79,15 @@ DEFAULT_SELECTED_SENSORS: int = 2
 PERMUTATION_REPEATS: int = 10
 SMOTE_NEIGHBOURS: int = 5
 
+# Dashboard display values.
+ERROR_TYPES: tuple[str, ...] = ("TP", "TN", "FP", "FN")
+ERROR_TYPE_OTHER: str = "NA"
+MATCH_TEXT: str = "Correct"
+MISMATCH_TEXT: str = "Incorrect"
+ALL_SLICE: str = "All"
+THRESHOLD_KPI_FORMAT: str = "Threshold=%.2f  |  Recall=%.3f  |  Precision=%.3f  |  F1=%.3f  |  FP=%d  |  FN=%d"
+CV_TEXT_FORMAT: str = "%.3f ± %.3f"
+
 # Candidate model names and their descriptive columns.
 MODEL_LOGISTIC: str = "Baseline_LogisticRegression"
 MODEL_FOREST_SMOTE: str = "RandomForest_SMOTE"

@@ -20,7 +20,7 @@ from sensor_yield.operators.profile import feature_profile
 from sensor_yield.operators.quantiles import exact_quantiles
 from sensor_yield.operators.splits import stratified_sample
 
-ERROR_TYPES = ("TP", "TN", "FP", "FN")
+ERROR_TYPES = config.ERROR_TYPES
 
 
 def build_master(scored: DataFrame, model_name: str, top_features: Sequence[str],
@@ -52,7 +52,7 @@ def error_type(actual_text: Column | None = None, predicted_text: Column | None
     return (F.when((actual_text == f) & (predicted_text == f), "TP")
             .when((actual_text == p) & (predicted_text == p), "TN")
             .when((actual_text == p) & (predicted_text == f), "FP")
-            .when((actual_text == f) & (predicted_text == p), "FN").otherwise("NA"))
+            .when((actual_text == f) & (predicted_text == p), "FN").otherwise(config.ERROR_TYPE_OTHER))
 
 
 def with_error_type(master: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def misclassified(rows: DataFrame, per_type: int = config.MISCLASSIFIED_ROWS_PER
     per = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_type) \
         .select(F.col("error_type").alias("slice"), config.ROW_ID_COL, "fail_probability", "error_type")
     every = rows.orderBy(F.desc("fail_probability"), F.asc(config.ROW_ID_COL)).limit(per_type) \
-        .select(F.lit("All").alias("slice"), config.ROW_ID_COL, "fail_probability", "error_type")
+        .select(F.lit(config.ALL_SLICE).alias("slice"), config.ROW_ID_COL, "fail_probability", "error_type")
     return per.unionByName(every)
 
 
@@ -217,7 +217,8 @@ def distribution_rows(master: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def match_flag() -> Column:
     """P10: Correct when the predicted text equals the actual text."""
-    return F.when(F.col("model_prediction") == F.col(config.LABEL_TEXT_COL), "Correct").otherwise("Incorrect")
+    return F.when(F.col("model_prediction") == F.col(config.LABEL_TEXT_COL), config.MATCH_TEXT) \
+        .otherwise(config.MISMATCH_TEXT)
 
 
 def scatter_matrix_rows(master: DataFrame, features: Sequence[str],
@@ -232,7 +233,7 @@ def scatter_matrix_rows(master: DataFrame, features: Sequence[str],
 
 def error_type_by_split(master: DataFrame) -> DataFrame:
     """Cross table of split x error type (pivot with a fixed value list, zero-filled)."""
-    return master.groupBy("dataset_split").pivot("error_type", list(ERROR_TYPES) + ["NA"]) \
+    return master.groupBy("dataset_split").pivot("error_type", list(ERROR_TYPES) + [config.ERROR_TYPE_OTHER]) \
         .agg(F.count(F.lit(1)).cast("bigint")).fillna(0)
 
 
@@ -254,7 +255,7 @@ def threshold_kpi_text(table: DataFrame) -> DataFrame:
     """B14 + F10: one KPI line per threshold of a sweep (values half-even rounded
     before formatting so the text never depends on binary ties)."""
     r3 = lambda c: F.bround(F.col(c), 3)
-    text = F.format_string("Threshold=%.2f  |  Recall=%.3f  |  Precision=%.3f  |  F1=%.3f  |  FP=%d  |  FN=%d",
+    text = F.format_string(config.THRESHOLD_KPI_FORMAT,
                            F.bround(F.col("threshold"), 2), r3("recall"), r3("precision"), r3("f1"),
                            F.col("false_positives").cast("int"), F.col("false_negatives").cast("int"))
     return table.select("threshold", text.alias("kpi_text"))
@@ -275,5 +276,5 @@ def kpi_cards(k: DataFrame) -> DataFrame:
 def cv_text(summary: DataFrame) -> DataFrame:
     """``mean ± std`` text per (group, metric) of a CV summary."""
     keys = [c for c in summary.columns if c not in ("mean", "std")]
-    return summary.select(*keys, F.format_string("%.3f ± %.3f", F.bround("mean", 3), F.bround("std", 3))
+    return summary.select(*keys, F.format_string(config.CV_TEXT_FORMAT, F.bround("mean", 3), F.bround("std", 3))
                           .alias("text"))
