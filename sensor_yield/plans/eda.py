@@ -30,6 +30,8 @@ def eda_summary(df: DataFrame, order_col: str = config.ROW_ID_COL, feature_cols:
     dups = prof.duplicate_rows(data, feature_cols).first()["n_duplicate_rows"]
     doc: dict[str, Any] = {
         "n_rows": counts["n_rows"], "n_features": len(feature_cols), "n_columns": len(df.columns),
+        "column_type_counts": dict(sorted({t: sum(1 for _, u in df.dtypes if u == t)
+                                           for _, t in df.dtypes}.items())),
         "n_duplicate_feature_rows": dups, "fail_rate": counts["fail_rate"],
         "class_counts": {config.PASS_TEXT: counts["n_pass"], config.FAIL_TEXT: counts["n_fail"]},
         "missing_ratio": {"mean": summary["mean"], "median": summary["median"], "max": summary["max"]},

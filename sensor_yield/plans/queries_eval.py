@@ -81,7 +81,7 @@ def q_metrics_at_threshold(spark, sf_dir):
     return rounded(ev.metrics_at_threshold(D.event_scores(spark, sf_dir), Y, P, 0.5))
 
 
-@register("ranking_metrics_by_hour", with_ctes(S.EVENT_SCORES, "evh AS (SELECT *, hour(\"Time\") AS hr FROM ev)",
+@register("ranking_metrics_by_hour", with_ctes(S.EVENT_SCORES, "evh AS (SELECT *, CAST(hour(\"Time\") AS INTEGER) AS hr FROM ev)",
                                                _levels("evh", "hr")) + f"""
 SELECT hr, {R('sum(pos * cum_pos / (cum_pos + cum_neg)) / max(n_pos)')} AS pr_auc,
        {R('sum(pos * ((n_neg - cum_neg) + neg / 2.0)) / (max(n_pos) * max(n_neg))')} AS roc_auc

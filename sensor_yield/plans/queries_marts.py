@@ -60,7 +60,7 @@ _SPLIT = S.split_cte("ev")
 _MASTER = f"""
 master AS (
   SELECT row_id, "Time", Pass_Fail, Pass_Fail_Label, dataset_split, '{MODEL}' AS model_used,
-         fail_probability, 0.5 AS prediction_threshold,
+         fail_probability, CAST(0.5 AS DOUBLE) AS prediction_threshold,
          CAST(fail_probability >= 0.5 AS INTEGER) AS predicted_class,
          CASE WHEN fail_probability >= 0.5 THEN 'Fail' ELSE 'Pass' END AS model_prediction,
          {', '.join(EV)},

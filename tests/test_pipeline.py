@@ -36,6 +36,7 @@ def loaded(spark, tmp_path_factory):
 def test_eda_summary(loaded):
     doc = eda_summary(loaded)
     assert doc["n_rows"] == 300 and doc["n_features"] == 12 and doc["n_columns"] == 17
+    assert doc["column_type_counts"]["double"] == 12
     assert doc["class_counts"] == {"Pass": 240, "Fail": 60}
     assert doc["n_low_variance_features"] == 1
     assert doc["n_high_correlation_pairs"] >= 1
