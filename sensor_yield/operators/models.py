@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensor_yield import config
-from sensor_yield.functions.keys import random_key
 from sensor_yield.operators.resample import SmoteClassifier
 from sensor_yield.operators.transforms import base_stages, native_missing_stages
 
@@ -175,8 +174,8 @@ def scale_pos_weight(df: DataFrame, label_col: str = config.LABEL_COL) -> float:
     return r["p"] / max(r["f"], 1)
 
 
-__all__ = ["Candidate", "LogisticFromC", "WeightedClassifier", "build_candidates", "positive_probability",
-           "random_key", "scale_pos_weight"]
+__all__ = ["Candidate", "ExpressionScorer", "LogisticFromC", "WeightedClassifier", "build_candidates",
+           "positive_probability", "scale_pos_weight"]
 
 
 class ExpressionScorer(Transformer, DefaultParamsReadable, DefaultParamsWritable):

@@ -8,7 +8,6 @@ from typing import Any
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sensor_yield import config
 from sensor_yield.operators import correlation as corr
@@ -55,5 +54,3 @@ def eda_summary(df: DataFrame, order_col: str = config.ROW_ID_COL, feature_cols:
     data.unpersist()
     return doc
 
-
-__all__ = ["F", "eda_summary"]

@@ -12,7 +12,6 @@ from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 MASTER = "master"
 FEATURE_SUMMARY = "feature_summary"
@@ -86,6 +85,3 @@ def export_filtered(rows: DataFrame, path: str) -> None:
 def describe_path(root: str, name: str) -> str:
     return _path(root, name)
 
-
-__all__ = ["F", "export_filtered", "load_json", "save_models", "write_feature_summary", "write_importance",
-           "write_json", "write_master", "write_model_performance", "write_table", "write_thresholds"]

@@ -14,8 +14,6 @@ from __future__ import annotations
 import argparse
 import time
 
-from pyspark.sql import functions as F
-
 from sensor_yield import config
 from sensor_yield.operators import dashboard as db
 from sensor_yield.operators.models import build_candidates
@@ -79,5 +77,3 @@ def main(argv: list[str] | None = None) -> None:
 if __name__ == "__main__":
     main()
 
-
-__all__ = ["F", "main", "run_eda", "run_train"]
