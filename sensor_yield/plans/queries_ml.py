@@ -94,10 +94,20 @@ def q_pca_explained_variance(spark, sf_dir):
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(ev)], "component int, explained_variance double")
 
 
-@register("smote_training_rows")
+_SMOTE_COUNTS = with_ctes(S.embedding_sensors(64), S.split_cte("emb"), """
+c AS (SELECT Pass_Fail, count(*) AS n FROM split WHERE dataset_split = 'train' GROUP BY Pass_Fail)""", """
+mino AS (SELECT Pass_Fail FROM c ORDER BY n, Pass_Fail LIMIT 1)""") + """
+SELECT Pass_Fail, false AS synthetic, CAST(n AS BIGINT) AS n FROM c
+UNION ALL
+SELECT m.Pass_Fail, true, CAST((SELECT max(n) FROM c) - c.n AS BIGINT)
+FROM mino m JOIN c USING (Pass_Fail) WHERE (SELECT max(n) FROM c) > c.n"""
+
+
+@register("smote_training_rows", _SMOTE_COUNTS)
 def q_smote_training_rows(spark, sf_dir):
     """Class counts of the embedding training split after SMOTE (minority
-    raised to the majority count) on the preprocessed vectors."""
+    raised to the majority count) on the preprocessed vectors; original and
+    synthetic rows counted apart."""
     df = D.embedding_sensors(spark, sf_dir)
     split = stratified_split(df, config.ROW_ID_COL)
     train = split.where(F.col("dataset_split") == "train").drop("dataset_split")
