@@ -50,3 +50,40 @@ def test_logistic_c_maps_to_penalised_sum_of_losses(spark):
         w -= np.linalg.solve(h, g)
     assert np.allclose(m.coefficients.toArray(), w[:-1], atol=1e-3)
     assert abs(m.intercept - w[-1]) < 1e-3
+
+
+def test_class_weight_ratio(spark):
+    from sensor_yield.operators.models import scale_pos_weight
+    from sensor_yield.operators.profile import class_ratio
+    df = spark.createDataFrame([(0,)] * 80 + [(1,)] * 20, "Pass_Fail int")
+    assert scale_pos_weight(df) == 4.0
+    assert class_ratio(df).first()["scale_pos_weight"] == 4.0
+    only_pass = spark.createDataFrame([(0,)] * 5, "Pass_Fail int")
+    assert scale_pos_weight(only_pass) == 5.0  # max(n_fail, 1)
+
+
+def test_missing_indicator_fill(spark):
+    from sensor_yield.operators.transforms import MissingIndicatorFiller
+    df = spark.createDataFrame([(1.0, None), (3.0, 2.0), (None, 5.0)], "feature_000 double, feature_001 double")
+    out = MissingIndicatorFiller().fit(df).transform(df).toPandas()
+    assert list(out["feature_000"]) == [1.0, 3.0, 0.0]
+    assert list(out["feature_001"]) == [1.0, 2.0, 5.0]
+    assert list(out["feature_000_missing"]) == [0.0, 0.0, 1.0]
+    assert list(out["feature_001_missing"]) == [1.0, 0.0, 0.0]
+
+
+def test_minority_knn_matches_numpy(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from sensor_yield.operators.resample import minority_knn
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 3))
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"])
+    pdf["row_id"] = np.arange(40)
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(spark.createDataFrame(pdf))
+    got = minority_knn(df, "row_id", "features", 4).toPandas().sort_values(["qid", "nb_rank"])
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    exp = np.argsort(d, axis=1, kind="stable")[:, :4]
+    for q in range(40):
+        assert list(got[got.qid == q]["nb_id"]) == list(exp[q])
