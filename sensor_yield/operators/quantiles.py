@@ -92,7 +92,7 @@ def exact_quantiles(df: DataFrame, value_col: str, group_cols: Sequence[str], pr
     for i in range(len(probs)):
         a, b, h = F.col(f"v{i}a"), F.col(f"v{i}b"), F.col(f"h{i}")
         outs.append((a + (h - F.floor(h)) * (b - a)).alias(f"{prefix}{i}"))
-    result = res.select(*group_cols, "n", *outs)
+    result = res.select(*group_cols, "n", *outs).cache()  # one row per group, reused by the caller
     any_null = None
     for i in range(len(probs)):
         c = F.col(f"{prefix}{i}").isNull()
