@@ -15,8 +15,8 @@ from sensor_yield.sources.driver_tables import TABLES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
+from sensor_yield.plans.catalog import ORACLE_SQL as ORACLE, QUERIES  # noqa: E402
+
 HEAVY_ROWS_ONLY = {"model_comparison", "attribution_importance"}
 
 
