@@ -39,6 +39,13 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(said.rstrip("kmg")) * unit
 
 
+def arrow_rows(spark: SparkSession, most: int = 500) -> None:
+    """Hold batches that go to Python to ``most`` rows: whole texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str,
                 rows_per_bucket: int = 20_000) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows of the same group that come earlier in
