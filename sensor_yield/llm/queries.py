@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensor_yield.llm import exact_dedup, mixing, token_files, url_filter, warc
+from sensor_yield.llm import decontaminate, exact_dedup, mixing, token_files, url_filter, warc
 from sensor_yield.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @register("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.report(decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark")))
