@@ -46,6 +46,11 @@ def arrow_rows(spark: SparkSession, most: int = 500) -> None:
         spark.conf.set(name, str(most))
 
 
+def task_count(wanted: int, most: int = 20_000) -> int:
+    """A number of tasks: more than ``most`` only make scheduling dearer, so they share."""
+    return max(1, min(wanted, most))
+
+
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str,
                 rows_per_bucket: int = 20_000) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows of the same group that come earlier in

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensor_yield.llm.common import arrow_rows, scratch
+from sensor_yield.llm.common import arrow_rows, scratch, task_count
 from sensor_yield.llm.files import AtomicWriter, RangeReader, resolve, text_bytes
 
 MAGIC = b"IDSZD001"
@@ -108,7 +108,7 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
 
 def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> DataFrame:
     """Encode and write ``docs`` (doc_id, text). Returns the list of files in document order:
-    path, at (position in the order), n_docs, n_tokens."""
+    path, at (position in the order), n_docs, n_tokens, n_bytes."""
     spark = docs.sparkSession
     arrow_rows(spark)
     data = train_dictionary(docs, tokenizer_path, end_id)
@@ -147,9 +147,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int)
         out.write(struct.pack(TRAILER, at, len(ids), sum(counts), MAGIC))
         out.commit()
         yield pa.RecordBatch.from_pydict({"path": [path], "at": [context.partitionId()], "n_docs": [len(ids)],
-                                          "n_tokens": [sum(counts)]})
+                                          "n_tokens": [sum(counts)], "n_bytes": [out.size]})
 
-    schema = "path string, at bigint, n_docs bigint, n_tokens bigint"
+    schema = "path string, at bigint, n_docs bigint, n_tokens bigint, n_bytes bigint"
     ordered = (docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
                .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tie"))
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").drop("tie"))
@@ -238,9 +238,11 @@ def read_files(files: DataFrame, folder: str, with_ids: bool = False) -> DataFra
 
     order = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     placed = files.select("path", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("first"))
-    n = max(1, min(files.count(), 10_000))
-    spans = placed.repartition(n, "path").mapInArrow(locate, "path string, lo bigint, hi bigint, first bigint")
-    return spans.repartition(F.col("path"), F.col("lo")).mapInArrow(read, schema)
+    spans = placed.repartition(task_count(files.count()), "path").mapInArrow(
+        locate, "path string, lo bigint, hi bigint, first bigint")
+    # by bytes: the rows that name the spans are tiny, and Spark would put them all in one task
+    total = files.agg(F.sum("n_bytes")).first()[0] or 0
+    return spans.repartition(task_count(total // SPAN_BYTES + 1), "path", "lo").mapInArrow(read, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id",

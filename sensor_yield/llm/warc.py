@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensor_yield.llm import zip_ranges
-from sensor_yield.llm.common import scratch
+from sensor_yield.llm.common import scratch, task_count
 from sensor_yield.llm.files import AtomicWriter, RangeReader
 
 MIN_SHARED = 100
@@ -121,8 +121,7 @@ def spans(packages: DataFrame) -> DataFrame:
                     "path": [path] * len(rows), "start": [r[0] for r in rows],
                     "lengths": pa.array([r[1] for r in rows], pa.list_(pa.int64()))})
 
-    n = max(1, min(packages.count(), 10_000))
-    return packages.repartition(n).mapInArrow(locate, "path string, start bigint, lengths array<bigint>")
+    return packages.repartition(task_count(packages.count())).mapInArrow(locate, "path string, start bigint, lengths array<bigint>")
 
 
 def _parse(record: bytes) -> tuple:
@@ -159,7 +158,9 @@ def read_packages(packages: DataFrame, with_payload: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], kinds[i]) for i in range(used)], names[:used])
 
-    spread = spans(packages).repartition(F.col("path"), F.col("start"))
+    # by bytes: the rows that name the spans are tiny, and Spark would put them all in one task
+    total = packages.agg(F.sum("bytes")).first()[0] or 0
+    spread = spans(packages).repartition(task_count(total // SPAN_BYTES + 1), "path", "start")
     return spread.mapInArrow(read, schema)
 
 
