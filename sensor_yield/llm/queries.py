@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensor_yield.llm import decontaminate, exact_dedup, mixing, near_dedup, token_files, toxicity, url_filter, warc
+from sensor_yield.llm import decontaminate, exact_dedup, mixing, near_dedup, substring_dedup, token_files, toxicity, url_filter, warc
 from sensor_yield.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc.doc_id", toxicity.held_out("doc.doc_id").alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
