@@ -51,16 +51,15 @@ def task_count(wanted: int, most: int = 20_000) -> int:
     return max(1, min(wanted, most))
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str,
-                rows_per_bucket: int = 20_000) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows of the same group that come earlier in
     ``order`` (whose first column is a BIGINT spread evenly over its range).
 
-    No group meets in one task: rows are windowed inside buckets of the first order column,
-    about ``rows_per_bucket`` rows each, and a table of bucket totals gives the offsets."""
-    n = df.count()
-    bits = max(0, (max(1, n) // rows_per_bucket).bit_length())
-    df = df.withColumn("__bucket", F.shiftright(F.col(order[0]), 63 - bits) if bits else F.lit(0).cast("bigint"))
+    No group meets in one task: rows are windowed inside buckets of the first order column
+    and a table of bucket totals gives the offsets. There are about sqrt(rows) buckets, so that
+    both grow with the square root of a group."""
+    bits = (max(1, df.count()).bit_length() + 1) // 2
+    df = df.withColumn("__bucket", F.shiftright(F.col(order[0]), 63 - bits))
     inside = Window.partitionBy(*group, "__bucket").orderBy(*order)
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (df.groupBy(*group, "__bucket").agg(F.sum(value).alias("__total"))
