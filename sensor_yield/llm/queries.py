@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensor_yield.llm import decontaminate, exact_dedup, mixing, near_dedup, substring_dedup, token_files, toxicity, url_filter, warc
+from sensor_yield.llm import (decontaminate, exact_dedup, license_scan, mixing, near_dedup, substring_dedup, token_files,
+                              toxicity, url_filter, warc)
 from sensor_yield.llm.common import table
+from sensor_yield.llm.license_texts import LICENSES, NOTICES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,3 +107,35 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_substring_dedup")
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_lines(text: str) -> str:
+    """The canonical lines of a text, in DuckDB's words."""
+    line = f"translate(translate(x, '{license_scan.UPPER}', '{license_scan.LOWER}'), " \
+           f"'{license_scan.MARKS}', '{' ' * len(license_scan.MARKS)}')"
+    line = f"trim(regexp_replace({line}, {_sql_text(license_scan.PUNCTUATION)}, ' ', 'g'))"
+    for pattern, by in license_scan.SPELLINGS:
+        by = by.replace("$", chr(92))
+        line = f"regexp_replace({line}, {_sql_text(pattern)}, {_sql_text(by)}, 'g')"
+    return (f"list_filter(list_transform(string_split(coalesce({text}, ''), chr(10)), lambda x: {line}), lambda x: "
+            f"x <> '' AND NOT regexp_matches(x, {_sql_text(license_scan.OWNERSHIP)}) AND x <> 'all rights reserved')")
+
+
+@register("op4_license_scan", f"""
+WITH known AS (SELECT sha256(array_to_string({_sql_lines('t')}, ' ')) AS digest, min(id) AS license
+               FROM (VALUES {', '.join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in [*LICENSES, *NOTICES])}) v(id, t)
+               GROUP BY 1),
+doc AS (SELECT doc_id, {_sql_lines('text')} AS lines FROM documents),
+whole AS (SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest FROM doc),
+line AS (SELECT DISTINCT doc_id, license FROM (SELECT doc_id, unnest(lines) AS x FROM doc) l JOIN known
+         ON known.digest = sha256(l.x)),
+said AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices, count(*) AS n FROM line GROUP BY 1)
+SELECT doc_id, digest, license, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notices
+FROM whole LEFT JOIN known USING (digest) LEFT JOIN said USING (doc_id)
+""")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), LICENSES, NOTICES)
