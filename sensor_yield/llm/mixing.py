@@ -81,7 +81,7 @@ def schedule(targets: DataFrame, block_words: int, n_slots: int) -> DataFrame:
         "source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)))
         .alias("cell"))
     owned = (points.join(cells, "cell").where("point >= lo AND point < hi")
-             .select("source", "slot", (F.col("slot") * ((1 << 62) // max(1, n_slots) * 2)).alias("spread"),
+             .select("source", "slot", (F.col("slot") * (((1 << 63) - 1) // max(1, n_slots))).alias("spread"),
                      F.lit(1).cast("bigint").alias("one")))
     ranked = running_sum(owned, ["source"], ["spread", "slot"], "one", "block")
     blocks = targets.where("words > 0").select("source", F.explode(F.sequence(
