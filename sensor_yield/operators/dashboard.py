@@ -26,7 +26,7 @@ ERROR_TYPES = config.ERROR_TYPES
 def build_master(scored: DataFrame, model_name: str, top_features: Sequence[str],
                  threshold: float = config.DEFAULT_DECISION_THRESHOLD, id_col: str = config.ROW_ID_COL) -> DataFrame:
     """B01 (+ J02, P09, P11, L09, U01): one row per scored row, train and test
-    together, sorted by row_id.
+    together (``plans.exports`` orders it by row_id when it writes the mart).
 
     ``scored`` holds ``row_id, Time, Pass_Fail, Pass_Fail_Label, dataset_split,
     fail_probability`` and the feature columns -- i.e. the model has scored the
@@ -40,8 +40,7 @@ def build_master(scored: DataFrame, model_name: str, top_features: Sequence[str]
         id_col, config.TIME_COL, config.LABEL_COL, config.LABEL_TEXT_COL, "dataset_split",
         F.lit(model_name).alias("model_used"), p.alias("fail_probability"),
         F.lit(float(threshold)).alias("prediction_threshold"), pred.alias("predicted_class"),
-        label_text(pred).alias("model_prediction"), *top_features,
-    ).orderBy(id_col)
+        label_text(pred).alias("model_prediction"), *top_features)
 
 
 def error_type(actual_text: Column | None = None, predicted_text: Column | None = None) -> Column:
@@ -74,25 +73,30 @@ def detail_filter(master: DataFrame, actual: str = "ALL", predicted: str = "ALL"
     return master.where(cond)
 
 
-def kpis(master: DataFrame, split: str = "test", threshold_col: str = "prediction_threshold") -> DataFrame:
-    """Total, fail count, fail rate (0 when empty), recall and precision
-    of the stored decisions, PR-AUC of the stored probabilities on the same rows,
-    and the threshold of the first row."""
+def model_performance(rows: DataFrame, score_col: str = "fail_probability", model_col: str = "model_used",
+                      threshold: float = config.DEFAULT_DECISION_THRESHOLD) -> DataFrame:
+    """E08 shape: one performance row per model over the rows it is judged on."""
+    return ev.metrics_at_threshold(rows, config.LABEL_COL, score_col, threshold, [model_col]).select(
+        F.col(model_col).alias("model"), "recall", "precision", "pr_auc")
+
+
+def kpis(master: DataFrame, split: str = "test", threshold_col: str = "prediction_threshold",
+         performance: DataFrame | None = None) -> DataFrame:
+    """Total, fail count, fail rate (0 when empty) and the threshold of the first
+    row, counted on ``split``; recall, precision and PR-AUC read from the selected model's row of
+    ``performance`` (model, recall, precision, pr_auc); by default that of the test rows."""
+    if performance is None:
+        performance = model_performance(master.where(F.col("dataset_split") == "test"))
     rows = master if split == "all" else master.where(F.col("dataset_split") == split)
-    y, p = F.col(config.LABEL_COL), F.col("predicted_class")
-    base = rows.agg(F.count(F.lit(1)).cast("bigint").alias("total_samples"),
-                    F.count_if(y == 1).cast("bigint").alias("fail_count"),
-                    F.min_by(F.col(threshold_col), F.col(config.ROW_ID_COL)).alias("selected_threshold"),
-                    F.count_if((y == 1) & (p == 1)).alias("__tp"), F.count_if((y == 0) & (p == 1)).alias("__fp"),
-                    F.count_if((y == 1) & (p == 0)).alias("__fn"))
-    tp, fp, fn = F.col("__tp"), F.col("__fp"), F.col("__fn")
-    base = base.select(
-        "total_samples", "fail_count", "selected_threshold",
-        F.coalesce(F.try_divide(F.col("fail_count"), F.col("total_samples").cast("double")), F.lit(0.0))
-        .alias("fail_rate"), *ev.rate_columns(tp, fp, fn)[:2])  # recall, precision
-    m = ev.ranking_metrics(rows, config.LABEL_COL, "fail_probability").select("pr_auc")
-    one = F.lit(1).alias("__one")  # two one-row frames side by side
-    return base.select("*", one).join(m.select("*", one), "__one").drop("__one")
+    y = F.col(config.LABEL_COL)
+    counted = rows.groupBy(F.col("model_used").alias("model")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("total"), F.count_if(y == 1).cast("bigint").alias("fails"),
+        F.min_by(F.col(threshold_col), F.col(config.ROW_ID_COL)).alias("selected_threshold"))
+    total, fails = F.coalesce("total", F.lit(0)), F.coalesce("fails", F.lit(0))
+    return performance.join(counted, "model", "left").select(
+        total.alias("total_samples"), fails.alias("fail_count"), "selected_threshold",
+        F.coalesce(F.try_divide(fails, total.cast("double")), F.lit(0.0)).alias("fail_rate"),
+        "recall", "precision", "pr_auc")
 
 
 def probability_histogram(rows: DataFrame, bins: int = config.PROBABILITY_HIST_BINS,
@@ -113,18 +117,17 @@ def probability_histogram(rows: DataFrame, bins: int = config.PROBABILITY_HIST_B
 
 def value_histogram(values: DataFrame, col: str, bins: int = config.MISSING_HIST_BINS) -> DataFrame:
     """Equal bins over the data range (a constant column spans [v-0.5, v+0.5])."""
-    x = F.col(col)
-    rng = values.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    rng = rng.select(F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-                     F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    one = F.lit(1).alias("__one")
-    j = values.where(x.isNotNull()).select(x.alias("x"), one).join(rng.select("*", one), "__one")
-    b = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
-    counts = j.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    grid = rng.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    x = F.col(col).cast("double")
+    least, most = values.agg(F.min(x), F.max(x)).first()  # one row: the range becomes two constants
+    if least is not None and least == most:
+        least, most = least - 0.5, most + 0.5
+    lo, hi = F.lit(least).cast("double"), F.lit(most).cast("double")
+    b = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    counts = values.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    grid = values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return grid.join(counts, "bin", "left").fillna(0, ["n"]).select(
-        "bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("bin_start"),
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + 1) / bins).alias("bin_end"), "n")
+        "bin", (lo + (hi - lo) * F.col("bin") / bins).alias("bin_start"),
+        (lo + (hi - lo) * (F.col("bin") + 1) / bins).alias("bin_end"), "n")
 
 
 def box_stats(rows: DataFrame, value_col: str, class_col: str = config.LABEL_TEXT_COL) -> DataFrame:
@@ -135,7 +138,7 @@ def box_stats(rows: DataFrame, value_col: str, class_col: str = config.LABEL_TEX
     q = q.select("class", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     j = rows.select(F.col(class_col).alias("class"), F.col(value_col).cast("double").alias("v")) \
-        .where(F.col("v").isNotNull()).join(F.broadcast(q), "class")
+        .where(F.col("v").isNotNull()).join(q, "class")
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
     w = j.groupBy("class").agg(
@@ -246,18 +249,13 @@ def feature_summary(df: DataFrame, feature_cols: Sequence[str], importance: Data
         .orderBy(F.desc_nulls_last("importance"), F.asc("feature_name"))
 
 
-def model_prediction_text(pred: Column) -> Column:
-    """F11 for predictions."""
-    return label_text(pred)
-
-
 def threshold_kpi_text(table: DataFrame) -> DataFrame:
     """B14 + F10: one KPI line per threshold of a sweep (values half-even rounded
     before formatting so the text never depends on binary ties)."""
     r3 = lambda c: F.bround(F.col(c), 3)
     text = F.format_string(config.THRESHOLD_KPI_FORMAT,
                            F.bround(F.col("threshold"), 2), r3("recall"), r3("precision"), r3("f1"),
-                           F.col("false_positives").cast("int"), F.col("false_negatives").cast("int"))
+                           F.col("false_positives"), F.col("false_negatives"))
     return table.select("threshold", text.alias("kpi_text"))
 
 

@@ -60,14 +60,8 @@ def score_levels(df: DataFrame, label_col: str, score_col: str, group_cols: Sequ
         F.count_if(y == 1).cast("bigint").alias("pos"),
         F.count_if(y == 0).cast("bigint").alias("neg"))
     cum = cumulative_sums(levels, list(group_cols), [F.desc("score")], ["pos", "neg"])
-    # totals from the (checkpointed) levels, not from another scan of the rows
-    totals = cum.groupBy(*group_cols).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return cum.join(totals, list(group_cols), "inner") if group_cols else _join_one(cum, totals)
-
-
-def _join_one(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    k = F.lit(1).alias("__one")
-    return df.select("*", k).join(one_row.select("*", k), "__one").drop("__one")
+    # the totals come with the running sums: no second pass, no join with a one-row table
+    return cum.withColumnsRenamed({"total_pos": "n_pos", "total_neg": "n_neg"})
 
 
 def ranking_metrics(df: DataFrame, label_col: str, score_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -84,7 +78,7 @@ def ranking_metrics(df: DataFrame, label_col: str, score_col: str, group_cols: S
     return g.agg(
         F.try_divide(F.sum(F.col("pos") * prec), F.first("n_pos").cast("double")).alias("pr_auc"),
         F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)),
-                     (F.first("n_pos") * F.first("n_neg")).cast("double")).alias("roc_auc"),
+                     F.first("n_pos").cast("double") * F.first("n_neg").cast("double")).alias("roc_auc"),
     )
 
 
@@ -106,7 +100,7 @@ def metrics_at_threshold(df: DataFrame, label_col: str, score_col: str,
         F.first("n_pos").alias("__np"), F.first("n_neg").alias("__nn"),
         F.try_divide(F.sum(F.col("pos") * prec), F.first("n_pos").cast("double")).alias("pr_auc"),
         F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)),
-                     (F.first("n_pos") * F.first("n_neg")).cast("double")).alias("roc_auc"))
+                     F.first("n_pos").cast("double") * F.first("n_neg").cast("double")).alias("roc_auc"))
     tp, fp = F.col("tp"), F.col("fp")
     fn, tn = F.col("__np") - tp, F.col("__nn") - fp
     return agg.select(*group_cols, *rate_columns(tp, fp, fn),
@@ -141,8 +135,8 @@ def threshold_table(df: DataFrame, label_col: str, score_col: str,
     fn, tn = F.col("__np") - tp, F.col("__nn") - fp
     return t.select(
         *group_cols, "threshold", *rate_columns(tp, fp, fn),
-        fp.cast("int").alias("false_positives"), fn.cast("int").alias("false_negatives"),
-        tp.cast("int").alias("true_positives"), tn.cast("int").alias("true_negatives"),
+        fp.cast("bigint").alias("false_positives"), fn.cast("bigint").alias("false_negatives"),
+        tp.cast("bigint").alias("true_positives"), tn.cast("bigint").alias("true_negatives"),
     )
 
 

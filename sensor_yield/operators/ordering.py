@@ -29,13 +29,6 @@ from pyspark.sql import functions as F
 from sensor_yield.session import cut_lineage
 
 
-def _n_parts(df: DataFrame, n_parts: int | None) -> int | None:
-    """Explicit range-partition count, or None to let AQE size the partitions
-    (the exchange then starts at ``spark.sql.shuffle.partitions`` and AQE coalesces
-    small ones at runtime, so partition size follows the data)."""
-    return n_parts or None
-
-
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
@@ -43,8 +36,8 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
 def _stage(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
            n_parts: int | None) -> DataFrame:
     keys = _as_cols(group_cols) + _as_cols(order_cols)
-    n = _n_parts(df, n_parts)
-    parted = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
+    # without a count AQE sizes the range partitions, so they follow the data
+    parted = df.repartitionByRange(n_parts, *keys) if n_parts else df.repartitionByRange(*keys)
     staged = (parted
               .sortWithinPartitions(*keys)
               .withColumn("__sy_pid", F.spark_partition_id())
@@ -52,6 +45,29 @@ def _stage(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str |
     return cut_lineage(staged)
 
 
+def _with_blocks(rows: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Null-safe join with the per-block table: a NULL group is a group."""
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    extra = [F.col(f"b.{c}") for c in blocks.columns if c not in keys]
+    return rows.alias("r").join(blocks.alias("b"), on, "inner").select("r.*", *extra)
+
+
+def key_rank(df: DataFrame, group_cols: Sequence[str], key_col: str, id_col: str, out_col: str) -> DataFrame:
+    """1-based row number of every row inside its group by an md5 hex key (ties: id).
+
+    The first four digits of an evenly spread key cut a group into 65,536 buckets; a count
+    per bucket gives the offsets, a window inside buckets the rest. One hash shuffle, nothing
+    sampled or checkpointed, and no group in one task. Groups must not be NULL."""
+    cut = df.withColumn("__sy_cut", F.substring(key_col, 1, 4))
+    keys = [*group_cols, "__sy_cut"]
+    counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__sy_n"))
+    before = Window.partitionBy(*group_cols).orderBy("__sy_cut")
+    offsets = counts.withColumn("__sy_off", F.sum("__sy_n").over(before) - F.col("__sy_n")).drop("__sy_n")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(key_col, id_col))
+    return (cut.withColumn("__sy_in", inside).join(offsets, keys)
+            .withColumn(out_col, F.col("__sy_off") + F.col("__sy_in")).drop("__sy_cut", "__sy_in", "__sy_off"))
+
+
 def ordinal_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
                          out_col: str = "ordinal", n_parts: int | None = None) -> DataFrame:
     """1-based row number of every row inside its group, in ``order_cols`` order."""
@@ -61,7 +77,7 @@ def ordinal_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: S
         F.min("__sy_pos").alias("__sy_start"), F.count(F.lit(1)).alias("__sy_cnt"))
     w = Window.partitionBy(*group_cols).orderBy("__sy_pid") if group_cols else Window.orderBy("__sy_pid")
     blocks = blocks.withColumn("__sy_offset", F.sum("__sy_cnt").over(w) - F.col("__sy_cnt")).drop("__sy_cnt")
-    joined = staged.join(blocks, ["__sy_pid", *group_cols], "inner")
+    joined = _with_blocks(staged, blocks, ["__sy_pid", *group_cols])
     return joined.withColumn(
         out_col, (F.col("__sy_offset") + F.col("__sy_pos") - F.col("__sy_start") + 1).cast("bigint")
     ).drop("__sy_pid", "__sy_pos", "__sy_start", "__sy_offset")
@@ -69,7 +85,8 @@ def ordinal_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: S
 
 def cumulative_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
                     sum_cols: Sequence[str], prefix: str = "cum_", n_parts: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` inside each group in ``order_cols`` order.
+    """Inclusive running sums of ``sum_cols`` inside each group in ``order_cols`` order, and
+    the group's totals as ``total_<col>`` (both from the table of block sums).
 
     Rows must be unique on ``group + order`` (aggregate ties first). The local
     running sum is a window over (partition, group), i.e. bounded by one range
@@ -84,10 +101,12 @@ def cumulative_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
         local = local.withColumn(f"__l_{c}", F.sum(c).over(local_w))
     blocks = staged.groupBy("__sy_pid", *group_cols).agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
     w = Window.partitionBy(*group_cols).orderBy("__sy_pid") if group_cols else Window.orderBy("__sy_pid")
+    whole = Window.partitionBy(*group_cols)
     for c in sum_cols:
-        blocks = blocks.withColumn(f"__o_{c}", F.sum(f"__t_{c}").over(w) - F.col(f"__t_{c}"))
+        blocks = (blocks.withColumn(f"__o_{c}", F.sum(f"__t_{c}").over(w) - F.col(f"__t_{c}"))
+                  .withColumn(f"total_{c}", F.sum(f"__t_{c}").over(whole)))
     blocks = blocks.drop(*[f"__t_{c}" for c in sum_cols])
-    joined = local.join(blocks, ["__sy_pid", *group_cols], "inner")
+    joined = _with_blocks(local, blocks, ["__sy_pid", *group_cols])
     for c in sum_cols:
         joined = joined.withColumn(f"{prefix}{c}", F.col(f"__o_{c}") + F.col(f"__l_{c}"))
     return joined.drop("__sy_pid", "__sy_pos", *[f"__l_{c}" for c in sum_cols], *[f"__o_{c}" for c in sum_cols])

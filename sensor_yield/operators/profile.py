@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,11 +101,6 @@ def flagged_profile(df: DataFrame, cols: Sequence[str],
             .withColumn("low_variance", is_low_variance(F.col("variance"), var_threshold))
 
 
-def features_above_missing_threshold(profile: DataFrame, threshold: float) -> DataFrame:
-    """P03 as a filter on a profile."""
-    return profile.where(above_missing_threshold(F.col("missing_ratio"), threshold))
-
-
 def low_variance_features(profile: DataFrame, threshold: float = config.LOW_VARIANCE_THRESHOLD) -> DataFrame:
     """P04 as a filter on a profile."""
     return profile.where(is_low_variance(F.col("variance"), threshold))
@@ -209,21 +204,20 @@ def time_structure(df: DataFrame, order_col: str, time_col: str = config.TIME_CO
         F.count(F.lit(1)).cast("bigint").alias("n_months"),
         F.coalesce(F.stddev_pop("fail_rate"), F.lit(0.0)).alias("fail_rate_std_across_months"))
     mono = is_monotonic(df, order_col, time_col)
-    one = F.lit(1).alias("__one")  # three one-row frames side by side
-    return (bounds.select("*", one).join(months.select("*", one), "__one")
-            .join(mono.select("*", one), "__one").drop("__one"))
+    # one row each: stacked, every column is set in one of them
+    rows = (bounds.unionByName(months, allowMissingColumns=True).unionByName(mono, allowMissingColumns=True))
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def is_monotonic(df: DataFrame, order_col: str, value_col: str) -> DataFrame:
     """Non-decreasing ``value_col`` in ``order_col`` order; any NULL gives false.
 
-    Distributed form of a lag check: range-partition by the order key, let every
-    partition report (first key, first value, last value, internal ok) with one
-    vectorised pass, then compare neighbouring partitions on that tiny table (one
-    row per partition). No single task ever sees more than one partition.
+    Rows that share a key are taken together (least and greatest value), so ties have one
+    answer; keys may be of any ordered type, NULL first. Distributed form of a lag check:
+    range-partition by key, let every partition report (first value, last value, internal ok)
+    in one vectorised pass, then compare neighbouring partitions on that tiny table.
     """
-    ordered = (df.select(F.col(order_col).alias("k"), F.col(value_col).alias("v"))
-               .repartitionByRange("k").sortWithinPartitions("k"))
+    ordered = df.select(F.col(order_col).alias("k"), F.col(value_col).alias("v"))
     # Timestamps go through as epoch microseconds so the pandas side stays numeric.
     vt = df.schema[value_col].dataType
     if isinstance(vt, T.TimestampNTZType):
@@ -237,34 +231,38 @@ def is_monotonic(df: DataFrame, order_col: str, value_col: str) -> DataFrame:
     else:
         ordered = ordered.withColumn("v", F.col("v").cast("double"))
 
+    keyed = ordered.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                     F.count_if(F.col("v").isNull()).alias("nulls"))
+    keyed = keyed.repartitionByRange("k").sortWithinPartitions("k").select(
+        F.spark_partition_id().alias("part"), "lo", "hi", "nulls")
+
     def summarise(batches):
         # Streams the partition batch by batch; only the running edge values are kept.
-        first_k = first_v = last_v = None
-        ok, any_null, seen = True, False, False
+        part = first = last = None
+        ok = True
         for b in batches:
             if b.empty:
                 continue
-            v = b["v"]
-            if v.isna().any():
-                any_null = True
-            if not seen:
-                first_k, first_v, seen = int(b["k"].iloc[0]), v.iloc[0], True
-            elif last_v is not None and not pd.isna(last_v) and not pd.isna(v.iloc[0]) and v.iloc[0] < last_v:
-                ok = False
-            if ok and not bool((v.diff().dropna() >= 0).all()):
+            lo, hi = b["lo"].to_numpy(float), b["hi"].to_numpy(float)
+            if part is None:
+                part, first = int(b["part"].iloc[0]), lo[0]
+            elif lo[0] < last:
                 ok = False
-            last_v = v.iloc[-1]
-        if seen:
-            yield pd.DataFrame({"first_k": [first_k], "first_v": [first_v], "last_v": [last_v],
-                                "ok": [ok], "any_null": [any_null]})
-
-    parts = ordered.mapInPandas(summarise, "first_k long, first_v double, last_v double, ok boolean, any_null boolean")
-    from pyspark.sql import Window as W
-    w = W.orderBy("first_k")  # one row per partition: bounded by the partition count
-    checked = parts.withColumn("prev_last", F.lag("last_v").over(w)).withColumn(
-        "edge_ok", F.col("prev_last").isNull() | (F.col("first_v") >= F.col("prev_last")))
-    return checked.agg(F.coalesce(F.bool_and(F.col("ok") & ~F.col("any_null") & F.col("edge_ok")),
-                                  F.lit(True)).alias("is_monotonic_time"))
+            ok = ok and not (b["nulls"] > 0).any() and bool((lo[1:] >= hi[:-1]).all())
+            last = hi[-1]
+        if part is not None:
+            yield pd.DataFrame({"part": [part], "first_v": [first], "last_v": [last], "ok": [bool(ok)]})
+
+    parts = keyed.mapInPandas(summarise, "part int, first_v double, last_v double, ok boolean")
+    before = F.lag("last_v").over(Window.orderBy("part"))  # one row per partition
+    checked = parts.withColumn("edge_ok", before.isNull() | F.isnan(before) | (F.col("first_v") >= before))
+    return checked.agg(F.coalesce(F.bool_and(F.col("ok") & F.col("edge_ok")), F.lit(True)).alias("is_monotonic_time"))
+
+
+def mean_std(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``feature_name, mean, std`` (population) of each column."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "feature_name", "v")
+    return long.groupBy("feature_name").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
 
 
 def column_stats(df: DataFrame, cols: Sequence[str], stats: dict[str, str]) -> dict[str, dict[str, float | None]]:

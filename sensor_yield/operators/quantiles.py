@@ -2,19 +2,19 @@
 
 ``percentile`` / ``median`` keep a value->count map per group and merge all of a
 group's values in a single task. Here quantiles (linear interpolation between the
-two nearest ranks, as numpy's default) are found in two cheap passes:
+two nearest ranks, as numpy's default) are found in two scans, the same way for
+groups of every size:
 
 1. ``percentile_approx`` (a bounded sketch, partially aggregated) gives, per group
-   and quantile, a value bracket whose rank band is guaranteed to contain the
-   wanted ranks (rank error <= n / accuracy), plus exact counts;
-2. one more scan counts the values below each bracket exactly and ships only the
-   values inside brackets, pre-aggregated to ``(group, value, count)``; the exact
-   order statistics are read off that small table with a window per group.
-
-When the first pass proves every group small (``SMALL_GROUP_VALUES``), Spark's
-exact ``percentile`` runs directly instead. A bracket that misses its ranks (not
-expected, but checked) falls back to a distributed rank -- a range-partitioned
-sort, salted so hot values spread.
+   and probability, a bracket of values around the wanted ranks, plus the count;
+2. one more scan tells for every value and probability whether it lies below,
+   inside or above the bracket; a grouped count keeps one row for all below, one
+   for all above (with their nearest value) and one per distinct value inside.
+
+Running counts over that table are exact ranks, so the order statistics are read
+off it. Inside a bracket lie about ``4 n / accuracy`` values of a group of n. Ranks
+that a bracket misses (beyond its neighbours) are counted, and only then are the
+brackets widened, at last to the whole range.
 """
 
 from __future__ import annotations
@@ -24,100 +24,58 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensor_yield.operators.ordering import ordinal_within_group
+from sensor_yield.session import cut_lineage
 
 DEFAULT_ACCURACY = 10000
-# A group with at most this many values is cheap to hold in one task (an
-# 0.8 MB value map); when the counts prove every group is that small, Spark's exact
-# ``percentile`` runs directly.
-SMALL_GROUP_VALUES = 100_000
+#: Half widths of the brackets tried in turn, in sketch errors; the last is the whole range.
+WIDENINGS = (2.0, 16.0, None)
+BELOW, INSIDE, ABOVE = 0, 1, 2
 
 
 def exact_quantiles(df: DataFrame, value_col: str, group_cols: Sequence[str], probs: Sequence[float],
                     accuracy: int = DEFAULT_ACCURACY, prefix: str = "q") -> DataFrame:
     """Per group: ``n`` and one column ``{prefix}{i}`` per probability (NULL for a
-    group without values). NULL / NaN values are ignored."""
-    group_cols = list(group_cols)
-    ungrouped = not group_cols
-    if ungrouped:  # one constant group keeps every join an equi-join
-        df = df.withColumn("__g", F.lit(0))
-        group_cols = ["__g"]
-    probs = [float(p) for p in probs]
-    vals = df.select(*group_cols, F.col(value_col).cast("double").alias("v")).where(
+    group without values). NULL / NaN values are ignored; a NULL group is a group."""
+    group_cols, probs = list(group_cols), [float(p) for p in probs]
+    key = F.struct(*group_cols) if group_cols else F.struct(F.lit(0).alias("all"))
+    vals = df.select(key.alias("g"), F.col(value_col).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
-    band = 2.0 / accuracy
-    # one sketch per group answers every bracket end
-    ends = [x for p in probs for x in (max(0.0, p - band), min(1.0, p + band))]
-    stats = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"),
-                                          F.percentile_approx("v", ends, accuracy).alias("__ends"))
-    stats = stats.select(*group_cols, "n", *[F.element_at("__ends", 2 * i + 1).alias(f"lo{i}")
-                                             for i in range(len(probs))],
-                         *[F.element_at("__ends", 2 * i + 2).alias(f"hi{i}") for i in range(len(probs))])
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1) * F.lit(p)
-        stats = (stats.withColumn(f"h{i}", h).withColumn(f"k{i}a", F.floor(h))
-                 .withColumn(f"k{i}b", F.ceil(h)))
-    stats = stats.cache()  # one row per group
-    largest = stats.agg(F.max("n").alias("m")).first()["m"] or 0
-    if largest <= SMALL_GROUP_VALUES:
-        direct = vals.groupBy(*group_cols).agg(
-            F.count(F.lit(1)).alias("n"), *[F.percentile("v", p).alias(f"{prefix}{i}") for i, p in enumerate(probs)])
-        return direct.drop("__g") if ungrouped else direct
-    lo_cols = [F.col(f"lo{i}") for i in range(len(probs))]
-    lo_all = F.least(*lo_cols) if len(lo_cols) > 1 else lo_cols[0]
-    in_any = None
-    for i in range(len(probs)):
-        c = (F.col("v") >= F.col(f"lo{i}")) & (F.col("v") <= F.col(f"hi{i}"))
-        in_any = c if in_any is None else (in_any | c)
-    bounds = stats.select(*group_cols, *[F.col(f"lo{i}") for i in range(len(probs))],
-                          *[F.col(f"hi{i}") for i in range(len(probs))])
-    joined = vals.join(F.broadcast(bounds), group_cols)  # one row per group
-    below = joined.groupBy(*group_cols).agg(F.count_if(F.col("v") < lo_all).alias("below"))
-    inside = joined.where(in_any).groupBy(*group_cols, "v").agg(F.count(F.lit(1)).alias("c"))
-    # bracketed values only: bounded by the sketch error, not by the group size
-    w = Window.partitionBy(*group_cols).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.join(below, group_cols).join(
-        stats.select(*group_cols, *[F.col(f"k{i}a") for i in range(len(probs))],
-                     *[F.col(f"k{i}b") for i in range(len(probs))]), group_cols)
-    ranked = ranked.withColumn("end", F.col("below") + F.sum("c").over(w)).withColumn("start", F.col("end") - F.col("c"))
-    picks = []
-    for i in range(len(probs)):
-        for s in ("a", "b"):
-            k = F.col(f"k{i}{s}")
-            picks.append(F.max(F.when((F.col("start") <= k) & (k < F.col("end")), F.col("v"))).alias(f"v{i}{s}"))
-    pick = ranked.groupBy(*group_cols).agg(*picks)
-    res = stats.select(*group_cols, "n", *[F.col(f"h{i}") for i in range(len(probs))]).join(
-        pick, group_cols, "left")
-    outs = []
-    for i in range(len(probs)):
-        a, b, h = F.col(f"v{i}a"), F.col(f"v{i}b"), F.col(f"h{i}")
-        outs.append((a + (h - F.floor(h)) * (b - a)).alias(f"{prefix}{i}"))
-    result = res.select(*group_cols, "n", *outs).cache()  # one row per group, reused by the caller
-    any_null = None
-    for i in range(len(probs)):
-        c = F.col(f"{prefix}{i}").isNull()
-        any_null = c if any_null is None else (any_null | c)
-    missing = result.where(any_null & (F.col("n") > 0)).limit(1).count()
-    if missing:
-        result = _ranked_quantiles(vals, group_cols, probs, prefix)
-    return result.drop("__g") if ungrouped else result
-
-
-def _ranked_quantiles(vals: DataFrame, group_cols: list[str], probs: list[float], prefix: str) -> DataFrame:
-    """Fallback: exact ranks from a distributed sort (salt splits equal values)."""
-    counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"))
-    salted = vals.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id()))
-    ranked = ordinal_within_group(salted, group_cols, ["v", "__salt"], out_col="__rk").join(counts, group_cols)
-    aggs = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1) * F.lit(p)
-        aggs.append(F.max(F.when(F.col("__rk") == F.floor(h) + 1, F.col("v"))).alias(f"a{i}"))
-        aggs.append(F.max(F.when(F.col("__rk") == F.ceil(h) + 1, F.col("v"))).alias(f"b{i}"))
-        aggs.append(F.first(h).alias(f"h{i}"))
-    r = ranked.groupBy(*group_cols, "n").agg(*aggs)
-    return r.select(*group_cols, "n", *[(F.col(f"a{i}") + (F.col(f"h{i}") - F.floor(F.col(f"h{i}")))
-                                         * (F.col(f"b{i}") - F.col(f"a{i}"))).alias(f"{prefix}{i}")
-                                        for i in range(len(probs))])
+    for width in WIDENINGS:
+        found = cut_lineage(_quantiles(vals, probs, accuracy, None if width is None else width / accuracy))
+        if width is None or found.where(F.exists("q", lambda x: x.isNull())).isEmpty():
+            break
+    return found.select(*[F.col(f"g.{c}").alias(c) for c in group_cols], "n",
+                        *[F.element_at("q", i + 1).alias(f"{prefix}{i}") for i in range(len(probs))])
+
+
+def _quantiles(vals: DataFrame, probs: list[float], accuracy: int, band: float | None) -> DataFrame:
+    """g, n, q (array in the order of ``probs``, NULL where a bracket missed a rank)."""
+    ends = [x for p in probs for x in ((0.0, 1.0) if band is None else (max(0.0, p - band), min(1.0, p + band)))]
+    sketch = vals.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ends, accuracy).alias("e"))
+    brackets = sketch.select("g", "n", F.array(*[
+        F.struct(F.lit(i).alias("i"), F.element_at("e", 2 * i + 1).alias("lo"), F.element_at("e", 2 * i + 2).alias("hi"),
+                 ((F.col("n") - 1) * F.lit(p)).alias("h")) for i, p in enumerate(probs)]).alias("b"))
+    placed = vals.join(brackets.select(F.col("g").alias("bg"), "b"), F.col("g").eqNullSafe(F.col("bg")))
+    side = F.when(F.col("v") < F.col("b.lo"), BELOW).when(F.col("v") > F.col("b.hi"), ABOVE).otherwise(INSIDE)
+    table = (placed.select("g", "v", F.explode("b").alias("b"))
+             .select("g", "v", "b.i", side.alias("side"))
+             .groupBy("g", "i", "side", F.when(F.col("side") == INSIDE, F.col("v")).alias("inside"))
+             .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most")))
+    order = Window.partitionBy("g", "i").orderBy("side", "inside").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = table.withColumn("end", F.sum("c").over(order)).withColumn("start", F.col("end") - F.col("c"))
+    wanted = brackets.select(F.col("g").alias("bg"), "n", F.explode("b").alias("b")).select("bg", "n", "b.i", "b.h")
+    joined = ranked.join(wanted.withColumnRenamed("i", "bi"),
+                         F.col("g").eqNullSafe(F.col("bg")) & (F.col("i") == F.col("bi")))
+
+    def at(rank):
+        """The value at a 0-based rank: inside the bracket, or its neighbour on either side."""
+        return F.max(F.when((F.col("side") == INSIDE) & (F.col("start") <= rank) & (rank < F.col("end")), F.col("inside"))
+                     .when((F.col("side") == BELOW) & (rank == F.col("end") - 1), F.col("most"))
+                     .when((F.col("side") == ABOVE) & (rank == F.col("start")), F.col("least")))
+
+    picks = joined.groupBy("g", "i", "n", "h").agg(at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"))
+    q = picks.select("g", "n", "i", (F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a"))).alias("q"))
+    return q.groupBy("g", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
 
 
 def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = DEFAULT_ACCURACY) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sensor_yield import config
 from sensor_yield.functions.keys import random_key
-from sensor_yield.operators.ordering import ordinal_within_group
+from sensor_yield.operators.ordering import key_rank, ordinal_within_group
+from sensor_yield.session import settled
 
 
 def split_allocation(df: DataFrame, label_col: str, test_size: float = config.TEST_SIZE) -> DataFrame:
@@ -43,52 +44,84 @@ def split_allocation(df: DataFrame, label_col: str, test_size: float = config.TE
     ).withColumn("n_test", F.col("n_class") - F.col("n_train"))
 
 
+def _labelled(df: DataFrame, label_col: str) -> DataFrame:
+    """The rows, with a NULL label raising when met: no class, no stratum."""
+    kind = df.schema[label_col].dataType
+    missing = F.raise_error(F.lit(f"NULL in {label_col}: rows need a class to be stratified")).cast(kind)
+    return df.withColumn(label_col, F.coalesce(F.col(label_col), missing))
+
+
+def key_cuts(keyed: DataFrame, quota: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """Per class the (key, id) of its ``quota``-th row in key order; classes without quota are
+    absent. ``keyed`` has the label, ``__key`` (md5 hex) and the id; ``quota`` the label and
+    ``__quota``. Counts per key prefix find the bucket that holds the row; only that bucket, a
+    65,536th of a class, is ordered. No other column is read."""
+    narrow = keyed.select(F.col(label_col).alias("__l"), F.substring("__key", 1, 4).alias("__p"), "__key",
+                          F.col(id_col).alias("__id"))
+    before = Window.partitionBy("__l").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    hist = narrow.groupBy("__l", "__p").agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    edge = (hist.join(quota.select(F.col(label_col).alias("__l"), "__quota"), "__l")
+            .where("__before < __quota AND __quota <= __before + __n")
+            .select("__l", "__p", (F.col("__quota") - F.col("__before")).alias("__need")))
+    order = Window.partitionBy("__l").orderBy("__key", "__id")
+    cuts = (narrow.join(edge, ["__l", "__p"]).withColumn("__rn", F.row_number().over(order))
+            .where("__rn = __need").select(F.col("__l").alias(label_col), F.col("__key").alias("__cut_key"),
+                                           F.col("__id").alias("__cut_id")))
+    return settled(cuts)
+
+
+def _up_to_cut(df: DataFrame, salt: str | None, quota: DataFrame, id_col: str, label_col: str, seed: int) -> DataFrame:
+    """Adds ``__in``: the row is among its class's first ``__quota`` rows in key order. A filter
+    on each row by its own key: rows do not move."""
+    keyed = _labelled(df, label_col).withColumn("__key", random_key(id_col, seed, salt=salt))
+    cuts = key_cuts(keyed, quota, label_col, id_col)
+    inside = (F.col("__key") < F.col("__cut_key")) | (
+        (F.col("__key") == F.col("__cut_key")) & (F.col(id_col) <= F.col("__cut_id")))
+    return (keyed.join(cuts, label_col, "left").withColumn("__in", F.coalesce(inside, F.lit(False)))
+            .select(*df.columns, "__in"))
+
+
 def stratified_split(df: DataFrame, id_col: str, label_col: str = config.LABEL_COL,
                      test_size: float = config.TEST_SIZE, seed: int = config.SEED,
                      out_col: str = "dataset_split") -> DataFrame:
     """Add ``dataset_split`` ('train'/'test'): inside each class the rows with the
-    smallest md5 keys go to test, exactly ``n_test`` of them (R03)."""
-    keyed = df.withColumn("__key", random_key(id_col, seed))
-    ranked = ordinal_within_group(keyed, [label_col], ["__key", id_col], out_col="__ord")
-    alloc = split_allocation(df, label_col, test_size).select(label_col, "n_test")
-    out = ranked.join(F.broadcast(alloc), label_col, "inner")  # one row per class
-    return out.withColumn(out_col, F.when(F.col("__ord") <= F.col("n_test"), F.lit("test"))
-                          .otherwise(F.lit("train"))).drop("__key", "__ord", "n_test")
+    smallest md5 keys go to test, exactly ``n_test`` of them (R03). A NULL label raises."""
+    quota = split_allocation(df, label_col, test_size).select(label_col, F.col("n_test").alias("__quota"))
+    out = _up_to_cut(df, None, quota, id_col, label_col, seed)
+    return out.withColumn(out_col, F.when(F.col("__in"), F.lit("test")).otherwise(F.lit("train"))).drop("__in")
 
 
 def stratified_folds(df: DataFrame, id_col: str, label_col: str = config.LABEL_COL,
                      k: int = config.CV_FOLDS, seed: int = config.SEED, out_col: str = "fold") -> DataFrame:
-    """Add an integer ``fold`` in ``[0, k)``.
+    """Add an integer ``fold`` in ``[0, k)`` (R04). A NULL label raises.
 
     Rows of each class are dealt round-robin in md5-key order; each class starts
     where the previous class (by label value) stopped, so fold sizes differ by at
     most one overall and per class.
     """
-    keyed = df.withColumn("__key", random_key(id_col, seed, salt="fold"))
-    ranked = ordinal_within_group(keyed, [label_col], ["__key", id_col], out_col="__ord")
+    keyed = _labelled(df, label_col).withColumn("__key", random_key(id_col, seed, salt="fold"))
+    ranked = key_rank(keyed, [label_col], "__key", id_col, "__ord")
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("__c"))
     offsets = counts.withColumn(
         "__off", F.coalesce(F.sum("__c").over(Window.orderBy(label_col).rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))).select(label_col, "__off")
-    out = ranked.join(F.broadcast(offsets), label_col, "inner")
+    out = ranked.join(settled(offsets), label_col, "inner")
     return out.withColumn(out_col, F.pmod(F.col("__ord") - 1 + F.col("__off"), F.lit(k)).cast("int")) \
-        .drop("__key", "__ord", "__off")
+        .select(*df.columns, out_col)
 
 
 def stratified_sample(df: DataFrame, id_col: str, label_col: str, max_rows: int = config.SCATTER_SAMPLE_ROWS,
                       seed: int = config.SEED) -> DataFrame:
     """When there are more than ``max_rows`` rows keep, per class, the
     ``round_half_even(max_rows / n * n_class)`` rows with the smallest md5 keys;
-    otherwise keep everything. Class column is kept."""
+    otherwise keep everything. Class column is kept; a NULL label raises."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("__nc"))
     quota = counts.withColumn("__n", F.sum("__nc").over(Window.partitionBy())).withColumn(  # per-class rows
-        "__keep", F.when(F.col("__n") > max_rows,
-                         F.bround(F.lit(float(max_rows)) / F.col("__n") * F.col("__nc"), 0))
-        .otherwise(F.col("__nc")).cast("bigint")).select(label_col, "__keep")
-    keyed = df.withColumn("__key", random_key(id_col, seed, salt="sample"))
-    ranked = ordinal_within_group(keyed, [label_col], ["__key", id_col], out_col="__ord")
-    return ranked.join(F.broadcast(quota), label_col).where(F.col("__ord") <= F.col("__keep")) \
-        .drop("__key", "__ord", "__keep")
+        "__quota", F.when(F.col("__n") > max_rows,
+                          F.bround(F.lit(float(max_rows)) / F.col("__n") * F.col("__nc"), 0))
+        .otherwise(F.col("__nc")).cast("bigint")).select(label_col, "__quota")
+    return _up_to_cut(df, "sample", quota, id_col, label_col, seed).where("__in").drop("__in")
 
 
 def sample_rows(df: DataFrame, id_col: str, n: int = config.ATTRIBUTION_SAMPLE_ROWS,

@@ -24,17 +24,23 @@ def _path(root: str, name: str, fmt: str = "parquet") -> str:
     return f"{root.rstrip('/')}/{name}.{fmt}"
 
 
-def write_table(df: DataFrame, root: str, name: str, csv: bool = True, partition_by: str | None = None) -> None:
-    w = df.write.mode("overwrite")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(_path(root, name))
+def write_table(df: DataFrame, root: str, name: str, csv: bool = True, partition_by: str | None = None,
+                order_by: str | None = None) -> None:
+    """Parquet first; the CSV is written from it, so the plan of ``df`` runs once."""
+    def writer(frame: DataFrame):
+        w = frame.write.mode("overwrite")
+        return w.partitionBy(partition_by) if partition_by else w
+
+    writer(df.orderBy(order_by) if order_by else df).parquet(_path(root, name))
     if csv:
-        w2 = df.write.mode("overwrite").option("header", True)
-        (w2.partitionBy(partition_by) if partition_by else w2).csv(_path(root, name, "csv"))
+        written = df.sparkSession.read.parquet(_path(root, name))
+        # reading packs files by size, so an ordered mart is ordered again (a sort of the mart alone)
+        writer(written.orderBy(order_by) if order_by else written).option("header", True).csv(_path(root, name, "csv"))
 
 
 def write_master(master: DataFrame, root: str) -> None:
     """All rows, both splits, sorted by row_id (range-partitioned sort)."""
-    write_table(master.orderBy("row_id"), root, MASTER)
+    write_table(master, root, MASTER, order_by="row_id")
 
 
 def write_feature_summary(summary: DataFrame, root: str) -> None:

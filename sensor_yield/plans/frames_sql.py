@@ -23,14 +23,18 @@ docs AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-def embedding_sensors(dim: int = 64) -> str:
-    feats = ",\n         ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS feature_{i:03d}" for i in range(dim))
-    return f"""
+#: Row id, class and the first value of each vector (for queries that need no other).
+EMBEDDING_ROWS = """
 emb AS (
-  SELECT vec_id AS row_id, CAST(label = 0 AS INTEGER) AS Pass_Fail,
-         {feats}
+  SELECT vec_id AS row_id, CAST(label = 0 AS INTEGER) AS Pass_Fail, CAST(embedding[1] AS DOUBLE) AS feature_000
   FROM embeddings)"""
 
+#: All values of all vectors in long form.
+EMBEDDING_LONG = """
+long AS (
+  SELECT vec_id, i AS k, 'feature_' || lpad(CAST(i - 1 AS VARCHAR), 3, '0') AS f, CAST(embedding[i] AS DOUBLE) AS v
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
+
 
 EVENT_SCORES = """
 ev AS (

@@ -49,8 +49,8 @@ tt0 AS (SELECT g.threshold,
                count(*) FILTER (WHERE e.Pass_Fail = 0 AND e.fail_probability < g.threshold) AS tn
         FROM ev e, (VALUES {_GRID_VALUES}) g(threshold) GROUP BY g.threshold),
 tt AS (SELECT threshold, {_rates('tp', 'fp', 'fn')},
-              CAST(fp AS INTEGER) AS false_positives, CAST(fn AS INTEGER) AS false_negatives,
-              CAST(tp AS INTEGER) AS true_positives, CAST(tn AS INTEGER) AS true_negatives FROM tt0)"""
+              CAST(fp AS BIGINT) AS false_positives, CAST(fn AS BIGINT) AS false_negatives,
+              CAST(tp AS BIGINT) AS true_positives, CAST(tn AS BIGINT) AS true_negatives FROM tt0)"""
 
 
 @register("confusion_counts", with_ctes(S.EVENT_SCORES) + """

@@ -45,6 +45,13 @@ def event_master(spark, sf_dir):
     return db.build_master(event_split(spark, sf_dir), MODEL, EV)
 
 
+def event_kpis(spark, sf_dir):
+    """KPIs of the held-out events with the performance row of the rule that scored them."""
+    master = event_master(spark, sf_dir)
+    performance = db.model_performance(master.where(F.col("dataset_split") == "test"))
+    return db.kpis(master, split="test", performance=performance)
+
+
 def event_importance(spark, sf_dir):
     b = event_split(spark, sf_dir)
     test = b.where(F.col("dataset_split") == "test")
@@ -167,8 +174,8 @@ SELECT CAST(count(*) AS BIGINT) AS total_samples, CAST(count(*) FILTER (WHERE Pa
        {R('(SELECT ap FROM rk)')} AS pr_auc
 FROM t""")
 def q_dashboard_kpis(spark, sf_dir):
-    """A13 / B04 on the test split."""
-    return rounded(db.kpis(event_master(spark, sf_dir), split="test"))
+    """A13 / B04 on the test split, rates from the model's performance row."""
+    return rounded(event_kpis(spark, sf_dir))
 
 
 @register("probability_histogram", _base(_MASTER) + """
@@ -357,7 +364,7 @@ _COMPARISON = [
               {R('coalesce(tp / nullif(tp + fp, 0), 0)')} AS Precision,
               {R('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)')} AS F1,
               {R('ap')} AS PR_AUC, {R('auc')} AS ROC_AUC,
-              CAST(fp AS INTEGER) AS False_Positives, CAST(fn AS INTEGER) AS False_Negatives
+              CAST(fp AS BIGINT) AS False_Positives, CAST(fn AS BIGINT) AS False_Negatives
        FROM cm JOIN rk USING (Model))""",
 ]
 
@@ -371,8 +378,8 @@ def _scorer_comparison(spark, sf_dir):
     m = ev.metrics_at_threshold(parts, config.LABEL_COL, "score", 0.5, ["Model"])
     return rounded(m.select("Model", F.col("recall").alias("Recall"), F.col("precision").alias("Precision"),
                             F.col("f1").alias("F1"), F.col("pr_auc").alias("PR_AUC"), F.col("roc_auc").alias("ROC_AUC"),
-                            F.col("false_positives").cast("int").alias("False_Positives"),
-                            F.col("false_negatives").cast("int").alias("False_Negatives")))
+                            F.col("false_positives").alias("False_Positives"),
+                            F.col("false_negatives").alias("False_Negatives")))
 
 
 @register("scorer_comparison", _base(*_COMPARISON) + " SELECT * FROM cmp")
@@ -420,4 +427,4 @@ SELECT format('{:,}', total) AS total_samples_text, format('{:,}', fails) AS fai
 FROM k""")
 def q_kpi_cards(spark, sf_dir):
     """B04 + F10: KPI cards as display text."""
-    return db.kpi_cards(db.kpis(event_master(spark, sf_dir), split="test"))
+    return db.kpi_cards(event_kpis(spark, sf_dir))

@@ -94,7 +94,7 @@ def q_pca_explained_variance(spark, sf_dir):
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(ev)], "component int, explained_variance double")
 
 
-_SMOTE_COUNTS = with_ctes(S.embedding_sensors(64), S.split_cte("emb"), """
+_SMOTE_COUNTS = with_ctes(S.EMBEDDING_ROWS, S.split_cte("emb"), """
 c AS (SELECT Pass_Fail, count(*) AS n FROM split WHERE dataset_split = 'train' GROUP BY Pass_Fail)""", """
 mino AS (SELECT Pass_Fail FROM c ORDER BY n, Pass_Fail LIMIT 1)""") + """
 SELECT Pass_Fail, false AS synthetic, CAST(n AS BIGINT) AS n FROM c

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensor_yield import config
+from sensor_yield.functions.columns import feature_columns
 from sensor_yield.functions.labels import unexpected_raw_labels
-from sensor_yield.functions.timestamps import year_month
 from sensor_yield.operators import correlation as corr
 from sensor_yield.operators import profile as prof
 from sensor_yield.operators import splits
@@ -18,15 +18,16 @@ from sensor_yield.sources import driver_tables as D
 
 LI = D.LINEITEM_FEATURES
 EV = D.EVENT_FEATURES
-EMB_DIM = 64
-EMB = [f"feature_{i:03d}" for i in range(EMB_DIM)]
 
 
 def _profile_sql(frame_cte: str, frame: str, cols: list[str]) -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{c}' AS feature_name, count(*) AS n_rows, count({c}) AS n_present, "
         f"var_samp({c}) AS variance FROM {frame}" for c in cols)
-    return with_ctes(frame_cte, f"p AS ({parts})") + f"""
+    return with_ctes(frame_cte, f"p AS ({parts})") + _FLAGS
+
+
+_FLAGS = f"""
 SELECT feature_name, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_present AS BIGINT) AS n_present,
        {R('(n_rows - n_present) / n_rows')} AS missing_ratio, {R('variance')} AS variance,
        (n_rows - n_present) / n_rows > {config.MODELING_MISSING_THRESHOLD} AS above_missing_threshold,
@@ -54,10 +55,15 @@ def q_document_feature_profile(spark, sf_dir):
     return rounded(prof.flagged_profile(D.document_sensors(spark, sf_dir), D.DOCUMENT_FEATURES))
 
 
-@register("embedding_feature_profile", _profile_sql(S.embedding_sensors(EMB_DIM), "emb", EMB))
+_EMBEDDING_PROFILE = ("p AS (SELECT f AS feature_name, count(*) AS n_rows, count(v) AS n_present, "
+                      "var_samp(v) AS variance FROM long GROUP BY f)")
+
+
+@register("embedding_feature_profile", with_ctes(S.EMBEDDING_LONG, _EMBEDDING_PROFILE) + _FLAGS)
 def q_embedding_feature_profile(spark, sf_dir):
-    """A01 + A02 on 64 embedding columns (long / unpivot path)."""
-    return rounded(prof.flagged_profile(D.embedding_sensors(spark, sf_dir, EMB_DIM), EMB))
+    """A01 + A02 on all embedding columns (long / unpivot path)."""
+    df = D.embedding_sensors(spark, sf_dir)
+    return rounded(prof.flagged_profile(df, feature_columns(df)))
 
 
 @register("missing_ratio_summary", with_ctes(*_profile_cte(S.LINEITEM_SENSORS, "li", LI)) + f"""
@@ -93,12 +99,13 @@ def q_low_variance_counts(spark, sf_dir):
     return prof.low_variance_counts(prof.feature_profile(D.lineitem_sensors(spark, sf_dir), LI))
 
 
-@register("top_variance_features", with_ctes(*_profile_cte(S.embedding_sensors(EMB_DIM), "emb", EMB)) + f"""
+@register("top_variance_features", with_ctes(S.EMBEDDING_LONG, _EMBEDDING_PROFILE) + f"""
 SELECT feature_name, {R('variance')} AS variance FROM p WHERE variance IS NOT NULL
 ORDER BY variance DESC, feature_name LIMIT {config.TOP_N_FEATURES}""")
 def q_top_variance_features(spark, sf_dir):
     """Top-30 variance features of the embedding frame."""
-    p = prof.feature_profile(D.embedding_sensors(spark, sf_dir, EMB_DIM), EMB)
+    df = D.embedding_sensors(spark, sf_dir)
+    p = prof.feature_profile(df, feature_columns(df))
     return rounded(prof.top_features(p, "variance", config.TOP_N_FEATURES))
 
 
@@ -185,9 +192,7 @@ def q_correlation_pairs(spark, sf_dir):
 
 
 @register("top_correlation_pairs", f"""
-WITH long AS (
-  SELECT vec_id, i AS k, CAST(embedding[i] AS DOUBLE) AS v
-  FROM embeddings, range(1, {EMB_DIM} + 1) t(i)),
+WITH {S.EMBEDDING_LONG},
 pairs AS (
   SELECT a.k AS ka, b.k AS kb, corr(a.v, b.v) AS r
   FROM long a JOIN long b ON a.vec_id = b.vec_id AND a.k < b.k
@@ -199,13 +204,12 @@ FROM pairs WHERE r IS NOT NULL AND NOT isnan(r)
 ORDER BY abs(r) DESC, feature_1, feature_2 LIMIT 20""")
 def q_top_correlation_pairs(spark, sf_dir):
     """The first 20 pairs of the abs-sorted correlation list (embeddings)."""
-    return rounded(corr.high_correlation_pairs(D.embedding_sensors(spark, sf_dir, EMB_DIM), EMB, 0.0).limit(20))
+    df = D.embedding_sensors(spark, sf_dir)
+    return rounded(corr.high_correlation_pairs(df, feature_columns(df), 0.0).limit(20))
 
 
 @register("embedding_correlation_pairs", f"""
-WITH long AS (
-  SELECT vec_id, i AS k, CAST(embedding[i] AS DOUBLE) AS v
-  FROM embeddings, range(1, {EMB_DIM} + 1) t(i)),
+WITH {S.EMBEDDING_LONG},
 pairs AS (
   SELECT a.k AS ka, b.k AS kb, corr(a.v, b.v) AS r
   FROM long a JOIN long b ON a.vec_id = b.vec_id AND a.k < b.k
@@ -215,14 +219,13 @@ SELECT 'feature_' || lpad(CAST(ka - 1 AS VARCHAR), 3, '0') AS feature_1,
        {R('r')} AS correlation
 FROM pairs WHERE r IS NOT NULL AND NOT isnan(r)""")
 def q_embedding_correlation_pairs(spark, sf_dir):
-    """A09 Gram path at width 64 (2,016 pairs)."""
-    return rounded(corr.pairwise_correlation(D.embedding_sensors(spark, sf_dir, EMB_DIM), EMB))
+    """A09 Gram path over every pair of embedding columns."""
+    df = D.embedding_sensors(spark, sf_dir)
+    return rounded(corr.pairwise_correlation(df, feature_columns(df)))
 
 
 @register("correlation_matrix_top_variance", f"""
-WITH long AS (
-  SELECT vec_id, 'feature_' || lpad(CAST(i - 1 AS VARCHAR), 3, '0') AS f, CAST(embedding[i] AS DOUBLE) AS v
-  FROM embeddings, range(1, {EMB_DIM} + 1) t(i)),
+WITH {S.EMBEDDING_LONG},
 top AS (
   SELECT f FROM long GROUP BY f HAVING var_samp(v) IS NOT NULL
   ORDER BY var_samp(v) DESC, f LIMIT {config.TOP_N_FEATURES}),
@@ -233,9 +236,9 @@ cells AS (
 SELECT feature_1, feature_2, {R('r')} AS correlation FROM cells WHERE r IS NOT NULL AND NOT isnan(r)""")
 def q_correlation_matrix_top_variance(spark, sf_dir):
     """A10 + L01: full correlation matrix of the 30 highest-variance columns."""
-    df = D.embedding_sensors(spark, sf_dir, EMB_DIM)
+    df = D.embedding_sensors(spark, sf_dir)
     top = [r["feature_name"] for r in
-           prof.top_features(prof.feature_profile(df, EMB), "variance", config.TOP_N_FEATURES).collect()]
+           prof.top_features(prof.feature_profile(df, feature_columns(df)), "variance", config.TOP_N_FEATURES).collect()]
     return rounded(corr.correlation_matrix(df, top))
 
 
@@ -294,11 +297,11 @@ def q_event_time_structure(spark, sf_dir):
     return _time_structure_df(D.event_scores(spark, sf_dir), config.ROW_ID_COL)
 
 
-@register("split_assignment", with_ctes(S.embedding_sensors(EMB_DIM), S.split_cte("emb")) + """
+@register("split_assignment", with_ctes(S.EMBEDDING_ROWS, S.split_cte("emb")) + """
 SELECT row_id, Pass_Fail, dataset_split FROM split""")
 def q_split_assignment(spark, sf_dir):
     """Exact stratified 80/20 split of the embedding rows."""
-    df = D.embedding_sensors(spark, sf_dir, EMB_DIM).select(config.ROW_ID_COL, config.LABEL_COL)
+    df = D.embedding_sensors(spark, sf_dir).select(config.ROW_ID_COL, config.LABEL_COL)
     return splits.stratified_split(df, config.ROW_ID_COL).select(config.ROW_ID_COL, config.LABEL_COL,
                                                                  "dataset_split")
 
@@ -359,13 +362,13 @@ def q_sample_rows(spark, sf_dir):
     return splits.sample_rows(df, config.ROW_ID_COL)
 
 
-@register("permuted_column", with_ctes(S.embedding_sensors(EMB_DIM)) + f"""
+@register("permuted_column", with_ctes(S.EMBEDDING_ROWS) + f"""
 , nat AS (SELECT feature_000, row_number() OVER (ORDER BY row_id) AS pos FROM emb),
 shf AS (SELECT row_id, row_number() OVER (ORDER BY {S.md5_key('row_id', salt='perm0')}, row_id) AS pos FROM emb)
 SELECT shf.row_id, {R('nat.feature_000')} AS feature_000 FROM shf JOIN nat USING (pos)""")
 def q_permuted_column(spark, sf_dir):
     """One column permuted across all rows."""
-    df = D.embedding_sensors(spark, sf_dir, EMB_DIM).select(config.ROW_ID_COL, "feature_000")
+    df = D.embedding_sensors(spark, sf_dir).select(config.ROW_ID_COL, "feature_000")
     return rounded(splits.permute_column(df, config.ROW_ID_COL, "feature_000", salt="perm0"))
 
 
@@ -377,14 +380,9 @@ def q_median_by_feature(spark, sf_dir):
     return rounded(exact_medians(D.lineitem_sensors(spark, sf_dir), LI))
 
 
-@register("mean_std_by_feature", with_ctes(S.embedding_sensors(EMB_DIM)) + ", " + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature_name, {R(f'avg({c})')} AS mean, {R(f'stddev_pop({c})')} AS std FROM emb" for c in EMB
-).join(["m AS (", ")"]) + " SELECT * FROM m")
+@register("mean_std_by_feature", with_ctes(S.EMBEDDING_LONG) + f"""
+SELECT f AS feature_name, {R('avg(v)')} AS mean, {R('stddev_pop(v)')} AS std FROM long GROUP BY f""")
 def q_mean_std_by_feature(spark, sf_dir):
     """Mean and population std per feature (scaler fit statistics)."""
-    df = D.embedding_sensors(spark, sf_dir, EMB_DIM)
-    long = df.select(*EMB).unpivot([], EMB, "feature_name", "v")
-    return rounded(long.groupBy("feature_name").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")))
-
-
-_ = year_month  # re-exported helper used by the SQL twin above
+    df = D.embedding_sensors(spark, sf_dir)
+    return rounded(prof.mean_std(df, feature_columns(df)))

@@ -179,8 +179,8 @@ def model_comparison(metrics: DataFrame, results: list[SearchResult], cands: lis
     m = metrics.select(F.col("model").alias("Model"), F.col("recall").alias("Recall"),
                        F.col("precision").alias("Precision"), F.col("f1").alias("F1"),
                        F.col("pr_auc").alias("PR_AUC"), F.col("roc_auc").alias("ROC_AUC"),
-                       F.col("false_positives").cast("int").alias("False_Positives"),
-                       F.col("false_negatives").cast("int").alias("False_Negatives"))
+                       F.col("false_positives").alias("False_Positives"),
+                       F.col("false_negatives").alias("False_Negatives"))
     return side.join(m, "Model").select("Model", "Preprocessing", "Sampling_Weighting", "Recall", "Precision", "F1",
                                         "PR_AUC", "ROC_AUC", "False_Positives", "False_Negatives", "CV_PR_AUC_mean",
                                         "CV_PR_AUC_std", "CV_Recall_mean", "CV_Recall_std")

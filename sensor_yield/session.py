@@ -60,3 +60,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+#: Rows up to which a per-class or per-split table is settled on the driver.
+SETTLED_ROWS = 100_000
+
+
+def settled(df: DataFrame, most: int = SETTLED_ROWS) -> DataFrame:
+    """A small table as a local relation, whose size Spark knows, so joins with it need no
+    shuffle of the other side; beyond ``most`` rows the table itself, joined as any other."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        return df
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema)

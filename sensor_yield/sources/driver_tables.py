@@ -51,13 +51,13 @@ LINEITEM_FEATURES = [f"feature_{i:03d}" for i in range(8)]
 
 def document_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` left join ``labels``: length plus the two label columns, which
-    are missing for unlabelled documents. Fail = toxic."""
+    are missing for unlabelled documents, and so is the class. Fail = toxic."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     j = docs.join(labels, "doc_id", "left")
     return _with_label_text(j.select(
         F.col("doc_id").alias(config.ROW_ID_COL),
-        F.coalesce(F.col("toxic"), F.lit(0)).cast("int").alias(config.LABEL_COL),
+        F.col("toxic").cast("int").alias(config.LABEL_COL),
         F.col("n_chars").cast("double").alias("feature_000"),
         F.col("quality").cast("double").alias("feature_001"),
         F.col("toxic").cast("double").alias("feature_002"),
@@ -68,14 +68,17 @@ DOCUMENT_FEATURES = ["feature_000", "feature_001", "feature_002"]
 
 
 def embedding_dim(spark: SparkSession, sf_dir: str) -> int:
-    """Vector width, read from one row (a limit-1 scan)."""
-    row = load_table(spark, sf_dir, "embeddings").select(F.size("embedding").alias("d")).limit(1).first()
-    return int(row["d"]) if row else 0
+    """Vector width over the whole table; vectors of several widths are an error."""
+    widths = load_table(spark, sf_dir, "embeddings").agg(
+        F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+    if widths["least"] != widths["most"]:
+        raise ValueError(f"embeddings have between {widths['least']} and {widths['most']} values")
+    return int(widths["most"] or 0)
 
 
-def embedding_sensors(spark: SparkSession, sf_dir: str, dim: int | None = None) -> DataFrame:
-    """``embeddings`` unpacked into ``feature_000..`` columns; Fail = class 0."""
-    dim = dim if dim is not None else embedding_dim(spark, sf_dir)
+def embedding_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` unpacked into ``feature_000..`` columns, all values of each; Fail = class 0."""
+    dim = embedding_dim(spark, sf_dir)
     e = load_table(spark, sf_dir, "embeddings")
     width = max(config.FEATURE_NAME_DIGITS, len(str(max(dim - 1, 0))))
     feats = [F.col("embedding").getItem(i).cast("double").alias(f"{config.FEATURE_PREFIX}{i:0{width}d}")

@@ -18,7 +18,7 @@ class DashboardDataError(RuntimeError):
 FEATURE_SUMMARY_SCHEMA = "feature_name string, missing_ratio double, variance double, importance double, rank int"
 MODEL_PERFORMANCE_SCHEMA = (
     "Model string, Preprocessing string, Sampling_Weighting string, Recall double, Precision double, F1 double, "
-    "PR_AUC double, ROC_AUC double, False_Positives int, False_Negatives int, CV_PR_AUC_mean double, "
+    "PR_AUC double, ROC_AUC double, False_Positives bigint, False_Negatives bigint, CV_PR_AUC_mean double, "
     "CV_PR_AUC_std double, CV_Recall_mean double, CV_Recall_std double")
 
 
