@@ -3,6 +3,8 @@ the folder all executors share, and distributed running sums."""
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,11 @@ def arrow_rows(spark: SparkSession, most: int = 500) -> None:
         spark.conf.set(name, str(most))
 
 
+def process_cache() -> dict:
+    """A dictionary that lives as long as the Python process: Spark runs many tasks in one."""
+    return sys.modules.setdefault("sensor_yield_process_cache", types.ModuleType("sensor_yield_process_cache")).__dict__
+
+
 def task_count(wanted: int, most: int = 20_000) -> int:
     """A number of tasks: more than ``most`` only make scheduling dearer, so they share."""
     return max(1, min(wanted, most))

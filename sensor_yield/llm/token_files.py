@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensor_yield.llm.common import arrow_rows, scratch, task_count
+from sensor_yield.llm.common import arrow_rows, process_cache, scratch, task_count
 from sensor_yield.llm.files import AtomicWriter, RangeReader, resolve, text_bytes
 
 MAGIC = b"IDSZD001"
@@ -46,42 +46,68 @@ TRAILER, TRAILER_BYTES = "<QQQ8s", 32
 DICTIONARY_BYTES = 32 << 10
 SAMPLE_CHARS = 8192
 SPAN_BYTES = 4 << 20
-#: Remembered runs per task; beyond it the memory starts anew.
-MEMORY_RUNS = 300_000
+#: Remembered runs per Python process, in each of two generations (some 100 MB).
+MEMORY_RUNS = 400_000
+#: Signs that may follow a word: with a letter or digit before them they are a piece of their own.
+TAIL = ".,;:!?#$%&*"
+#: Letters before this one have one form and simple lower case.
+LATIN = "\u0250"
 
 
 def encoder(tokenizer_path: str) -> tuple[Callable[[list[bytes]], list[bytes]], int]:
     """A function from texts (UTF-8) to serialized ids, and the bytes per id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     with open(tokenizer_path, encoding="utf-8") as f:
         said = json.load(f)
     steps = json.dumps([said["normalizer"], said["pre_tokenizer"]])
     by_run = '"Regex": "\\\\s+"' in steps and "^\\\\s" in steps and '"behavior": "Removed"' in steps
-    tokenizer = Tokenizer.from_file(tokenizer_path)
+    held = process_cache().setdefault(("encoder", tokenizer_path), {})
+    if not held:
+        rename = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        held.update(tokenizer=Tokenizer.from_file(tokenizer_path), runs={}, before={}, cores={},
+                    names={c: rename(chr(c))[0][0] for c in range(128, ord(LATIN))})
+    tokenizer = held["tokenizer"]
     kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    known: dict[bytes, bytes] = {}
 
-    def whole(texts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in encode([t.decode() for t in texts], add_special_tokens=False)]
+    def plain(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
+
+    def of_core(core: str) -> bytes:
+        if core not in held["cores"]:
+            if core.isalpha() and max(core) < LATIN:
+                # lower-case Latin letters are one piece, of which only the bytes are renamed
+                renamed = core if core.isascii() else core.translate(held["names"])
+                held["cores"][core] = np.array([t.id for t in tokenizer.model.tokenize(renamed)], kind).tobytes()
+            else:
+                held["cores"][core] = plain(core)
+        return held["cores"][core]
+
+    def of_run(run: bytes) -> bytes:
+        text = run.decode()
+        if "<" in text:  # special tokens begin so, and are told from their letters' case
+            return plain(text)
+        text = text.lower() if text.isascii() or max(text) < LATIN else text
+        core = text.rstrip(TAIL)
+        if core and core[-1].lower()[-1].isalnum():  # signs after a letter or digit are a piece of their own
+            return of_core(core) + (of_core(text[len(core):]) if len(core) < len(text) else b"")
+        return of_core(text)
 
     def by_runs(texts: list[bytes]) -> list[bytes]:
         out = []
         for text in texts:
             runs = text.split()
-            new = list({r for r in runs if r not in known})
-            if new:
-                if len(known) + len(new) > MEMORY_RUNS:
-                    known.clear()
-                    new = list(set(runs))
-                for at in range(0, len(new), 4096):
-                    known.update(zip(new[at:at + 4096], whole(new[at:at + 4096]), strict=True))
-            out.append(b"".join([known[r] for r in runs]))
+            known, before = held["runs"], held["before"]
+            for run in set(runs).difference(known):
+                known[run] = before[run] if run in before else of_run(run)
+            out.append(b"".join(map(known.__getitem__, runs)))
+            if len(known) > MEMORY_RUNS:  # what came up lately is kept for another turn
+                held.update(runs={}, before=known, cores={})
         return out
 
-    return by_runs if by_run else whole, kind.itemsize
+    return by_runs if by_run else lambda texts: [plain(t.decode()) for t in texts], kind.itemsize
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_docs: int = 512) -> bytes:
