@@ -92,8 +92,12 @@ def kpis(master: DataFrame, split: str = "test", threshold_col: str = "predictio
     counted = rows.groupBy(F.col("model_used").alias("model")).agg(
         F.count(F.lit(1)).cast("bigint").alias("total"), F.count_if(y == 1).cast("bigint").alias("fails"),
         F.min_by(F.col(threshold_col), F.col(config.ROW_ID_COL)).alias("selected_threshold"))
+    # both have at most one row per model: stacked and grouped, so a constant model joins nothing
+    both = (performance.select("model", "recall", "precision", "pr_auc")
+            .unionByName(counted, allowMissingColumns=True).groupBy("model")
+            .agg(*[F.max(c).alias(c) for c in ("recall", "precision", "pr_auc", "total", "fails", "selected_threshold")]))
     total, fails = F.coalesce("total", F.lit(0)), F.coalesce("fails", F.lit(0))
-    return performance.join(counted, "model", "left").select(
+    return both.select(
         total.alias("total_samples"), fails.alias("fail_count"), "selected_threshold",
         F.coalesce(F.try_divide(fails, total.cast("double")), F.lit(0.0)).alias("fail_rate"),
         "recall", "precision", "pr_auc")

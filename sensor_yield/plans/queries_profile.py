@@ -11,7 +11,7 @@ from sensor_yield.functions.labels import unexpected_raw_labels
 from sensor_yield.operators import correlation as corr
 from sensor_yield.operators import profile as prof
 from sensor_yield.operators import splits
-from sensor_yield.operators.quantiles import exact_medians
+from sensor_yield.operators.quantiles import exact_medians, exact_quantiles
 from sensor_yield.plans import frames_sql as S
 from sensor_yield.plans.catalog import R, register, rounded, with_ctes
 from sensor_yield.sources import driver_tables as D
@@ -380,6 +380,20 @@ def q_median_by_feature(spark, sf_dir):
     return rounded(exact_medians(D.lineitem_sensors(spark, sf_dir), LI))
 
 
+CLOSE_PROBS = (0.25, 0.5, 0.5001, 0.5002, 0.75)
+
+
+@register("close_quantiles_by_hour", with_ctes(S.EVENT_SCORES) + f"""
+SELECT CAST(feature_002 AS BIGINT) AS hour, count(*) AS n,
+       {', '.join(f"{R(f'quantile_cont(floor(feature_000), {p})')} AS q{i}" for i, p in enumerate(CLOSE_PROBS))}
+FROM ev WHERE feature_000 IS NOT NULL GROUP BY 1""")
+def q_close_quantiles_by_hour(spark, sf_dir):
+    """A15 + A19: quantiles that lie close together, over whole numbers with many ties."""
+    ev = D.event_scores(spark, sf_dir).select(F.col("feature_002").cast("bigint").alias("hour"),
+                                              F.floor("feature_000").cast("double").alias("v"))
+    return rounded(exact_quantiles(ev, "v", ["hour"], CLOSE_PROBS))
+
+
 @register("mean_std_by_feature", with_ctes(S.EMBEDDING_LONG) + f"""
 SELECT f AS feature_name, {R('avg(v)')} AS mean, {R('stddev_pop(v)')} AS std FROM long GROUP BY f""")
 def q_mean_std_by_feature(spark, sf_dir):

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on: UTC session zone (TIMESTAMP_NTZ arithmetic and
 # oracle parity), ANSI on (bad casts surface instead of silently nulling; we use
@@ -67,9 +68,9 @@ SETTLED_ROWS = 100_000
 
 
 def settled(df: DataFrame, most: int = SETTLED_ROWS) -> DataFrame:
-    """A small table as a local relation, whose size Spark knows, so joins with it need no
-    shuffle of the other side; beyond ``most`` rows the table itself, joined as any other."""
+    """A small table, counted and ready to be broadcast, so a join with it does not move the
+    other side; beyond ``most`` rows the table itself, joined as any other."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         return df
-    return df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema)
+    return F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema))
