@@ -49,4 +49,4 @@ def with_ctes(*ctes: str) -> str:
 
 
 # Importing the query modules fills the registries.
-from sensor_yield.plans import queries_eval, queries_marts, queries_ml, queries_profile  # noqa: E402,F401
+from sensor_yield.plans import queries_eval, queries_load, queries_marts, queries_ml, queries_profile  # noqa: E402,F401

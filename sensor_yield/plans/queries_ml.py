@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sensor_yield import config
@@ -94,6 +95,24 @@ def q_pca_explained_variance(spark, sf_dir):
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(ev)], "component int, explained_variance double")
 
 
+@register("pca_total_variance", with_ctes(S.EMBEDDING_LONG) + """
+, f AS (SELECT f, var_pop(v) AS vp, count(*) AS n FROM long GROUP BY f)
+SELECT CAST(count(*) AS BIGINT) AS n_components, round(sum(CASE WHEN vp > 0 THEN 1 ELSE 0 END) * max(n) / (max(n) - 1.0), 6) + 0.0
+         AS total_variance, CAST(0 AS BIGINT) AS n_unordered FROM f""")
+def q_pca_total_variance(spark, sf_dir):
+    """Over all components, the variances of the projections fall and add up to the trace
+    (one per scaled column, as a sample variance)."""
+    df = D.embedding_sensors(spark, sf_dir)
+    width = sum(c.startswith(config.FEATURE_PREFIX) for c in df.columns)
+    _, out = _pca(spark, sf_dir, width)
+    arr = vector_to_array(F.col("pca"))
+    long = out.select(F.posexplode(arr).alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("v"))
+    before = F.lag("v").over(Window.orderBy("i"))  # one row per component
+    return rounded(long.withColumn("up", (F.col("v") > before + 1e-9).cast("int")).agg(
+        F.count(F.lit(1)).alias("n_components"), F.sum("v").alias("total_variance"),
+        F.coalesce(F.sum("up"), F.lit(0)).cast("bigint").alias("n_unordered")))
+
+
 _SMOTE_COUNTS = with_ctes(S.EMBEDDING_ROWS, S.split_cte("emb"), """
 c AS (SELECT Pass_Fail, count(*) AS n FROM split WHERE dataset_split = 'train' GROUP BY Pass_Fail)""", """
 mino AS (SELECT Pass_Fail FROM c ORDER BY n, Pass_Fail LIMIT 1)""") + """
@@ -140,6 +159,35 @@ def q_boosting_scale_pos_scores(spark, sf_dir):
                              {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.1, "subsample": 0.85})
 
 
+_SCORE_FACTS = with_ctes(S.EMBEDDING_ROWS, S.split_cte("emb")) + """
+SELECT row_id, Pass_Fail, true AS is_probability FROM split WHERE dataset_split = 'test'"""
+
+
+def _score_facts(scored):
+    """What holds of any fitted model's held-out scores: whose they are, and that they are
+    probabilities."""
+    p = F.col("fail_probability")
+    return scored.select(config.ROW_ID_COL, config.LABEL_COL, (p.isNotNull() & p.between(0.0, 1.0)).alias("is_probability"))
+
+
+@register("logistic_score_facts", _SCORE_FACTS)
+def q_logistic_score_facts(spark, sf_dir):
+    """M01 + M08: held-out rows, classes and range of the logistic scores."""
+    return _score_facts(q_logistic_test_scores(spark, sf_dir))
+
+
+@register("forest_score_facts", _SCORE_FACTS)
+def q_forest_score_facts(spark, sf_dir):
+    """Held-out rows, classes and range of the forest scores."""
+    return _score_facts(q_forest_class_weight_scores(spark, sf_dir))
+
+
+@register("boosting_score_facts", _SCORE_FACTS)
+def q_boosting_score_facts(spark, sf_dir):
+    """M04 + M05: held-out rows, classes and range of the boosted scores."""
+    return _score_facts(q_boosting_scale_pos_scores(spark, sf_dir))
+
+
 SEARCH_GRIDS = {
     config.MODEL_LOGISTIC: {"C": [0.1, 1.0]},
     config.MODEL_FOREST_SMOTE: {"n_estimators": [50], "max_depth": [8], "min_samples_leaf": [4]},

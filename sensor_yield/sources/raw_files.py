@@ -174,30 +174,41 @@ def load_combined_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*NORMALISED_ORDER, *names)
 
 
-def load_features(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless whitespace matrix; blank lines skipped; ``NaN`` / ``nan``
+def parse_feature_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
+    """S05 on a DataFrame of lines (other columns stay): blank lines skipped; ``NaN`` / ``nan``
     and non-numeric tokens are missing; the width is the widest row."""
-    lines = spark.read.text(path).where(F.trim(F.col("value")) != "")
-    tokens = lines.select(F.split(F.trim(F.col("value")), r"\s+").alias("t"))
-    width = tokens.agg(F.max(F.size("t")).alias("w")).first()["w"] or 0
+    kept = [c for c in lines.columns if c != value_col]
+    tokens = lines.where(F.trim(F.col(value_col)) != "").select(
+        *kept, F.split(F.trim(F.col(value_col)), r"\s+").alias("__t"))
+    width = tokens.agg(F.max(F.size("__t")).alias("w")).first()["w"] or 0
     names = generate_feature_names(width)
-    df = tokens.select(*[_num(F.get(F.col("t"), i)).alias(n) for i, n in enumerate(names)])
-    return with_file_order(df)
+    return tokens.select(*kept, *[_num(F.get(F.col("__t"), i)).alias(n) for i, n in enumerate(names)])
 
 
-def load_labels(spark: SparkSession, path: str) -> DataFrame:
-    """``<label><ws><timestamp>`` lines; split on the first whitespace run;
-    blank lines skipped; a missing timestamp is NULL; the time column is parsed
-    with the whole-column format rule (F01)."""
-    lines = spark.read.text(path).where(F.trim(F.col("value")) != "")
+def parse_label_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
+    """S06 on a DataFrame of lines (other columns stay): label and the rest of the line, split
+    on the first white space; blank lines skipped; a missing timestamp is NULL; the time
+    column is parsed with the whole-column format rule (F01)."""
+    kept = [c for c in lines.columns if c != value_col]
     pat = r"^\s*(\S+)\s*(.*?)\s*$"
-    df = lines.select(
-        _strict_int(F.regexp_extract("value", pat, 1), "label").alias(config.LABEL_RAW_COL),
-        F.nullif(F.regexp_extract("value", pat, 2), F.lit("")).alias(config.TIME_COL))
-    df = with_file_order(df)
+    df = lines.where(F.trim(F.col(value_col)) != "").select(
+        *kept, _strict_int(F.regexp_extract(value_col, pat, 1), "label").alias(config.LABEL_RAW_COL),
+        F.nullif(F.regexp_extract(value_col, pat, 2), F.lit("")).alias(config.TIME_COL))
     return parse_time_column(df, config.TIME_COL)
 
 
+def load_features(spark: SparkSession, path: str) -> DataFrame:
+    """Headerless whitespace matrix, in file order."""
+    lines = spark.read.text(path).where(F.trim(F.col("value")) != "")
+    return parse_feature_lines(with_file_order(lines))
+
+
+def load_labels(spark: SparkSession, path: str) -> DataFrame:
+    """``<label><ws><timestamp>`` lines, in file order."""
+    lines = spark.read.text(path).where(F.trim(F.col("value")) != "")
+    return parse_label_lines(with_file_order(lines))
+
+
 def load_two_file_layout(spark: SparkSession, features_path: str, labels_path: str) -> DataFrame:
     """S04 + J01: both files scanned, row counts checked, joined by position."""
     feats = load_features(spark, features_path)
