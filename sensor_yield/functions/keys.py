@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sensor_yield import config
 
-TWO_POW_32 = 4294967296.0
+TWO_POW_52 = float(1 << 52)
 
 
 def random_key(id_col: Column | str, seed: int | str = config.SEED, salt: str | None = None) -> Column:
@@ -23,5 +23,6 @@ def random_key(id_col: Column | str, seed: int | str = config.SEED, salt: str |
 
 
 def uniform01(key: Column) -> Column:
-    """Uniform in [0, 1) from the first 8 hex digits of an md5 key."""
-    return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
+    """Uniform in [0, 1) from the first 13 hex digits of an md5 key: 52 bits, all that a
+    double holds, so a pick among any number of rows can fall on each of them."""
+    return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(TWO_POW_52)

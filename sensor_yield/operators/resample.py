@@ -38,29 +38,32 @@ KNN_SCHEMA = "qid long, nb_rank int, nb_id long"
 
 
 def _topk(q_ids, q, r_ids, r, k):
-    """k nearest rows of ``r`` for each row of ``q`` (self excluded), by squared
-    distance then id. Returns (qid, rank, rid) arrays."""
-    out_q, out_r, out_k = [], [], []
+    """k nearest rows of ``r`` for each row of ``q`` (self excluded), by squared distance,
+    then id. Returns (qid, rank, rid, distance) arrays.
+
+    The expanded form of the distance only preselects, with room for its rounding; order and
+    ties are decided by differences, so neither row order nor blocking changes the answer."""
+    outs = []
     rn = (r * r).sum(axis=1)
     for s in range(0, len(q), 1024):
-        qb = q[s:s + 1024]
+        qb, qi = q[s:s + 1024], q_ids[s:s + 1024]
         d = (qb * qb).sum(axis=1)[:, None] + rn[None, :] - 2.0 * qb @ r.T
-        same = q_ids[s:s + 1024][:, None] == r_ids[None, :]
-        d = np.where(same, np.inf, np.maximum(d, 0.0))
-        kk = min(k, max(0, r.shape[0] - 1 if same.any() else r.shape[0]))
-        if kk <= 0:
-            continue
-        part = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(
-            np.arange(d.shape[1]), (d.shape[0], 1))
-        for row in range(d.shape[0]):
-            cand = part[row]
-            cand = cand[np.isfinite(d[row, cand])]
-            order = np.lexsort((r_ids[cand], d[row, cand]))[:kk]
-            for rank, c in enumerate(cand[order]):
-                out_q.append(q_ids[s + row])
-                out_k.append(rank)
-                out_r.append(r_ids[c])
-    return np.array(out_q, dtype=np.int64), np.array(out_k, dtype=np.int32), np.array(out_r, dtype=np.int64)
+        d = np.where(qi[:, None] == r_ids[None, :], np.inf, np.maximum(d, 0.0))
+        kk = min(k, d.shape[1])
+        edge = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+        edge = np.where(np.isfinite(edge), edge, np.where(np.isfinite(d), d, 0.0).max(axis=1))
+        room = 1e-9 * (1.0 + edge + (qb * qb).sum(axis=1))
+        row, col = np.nonzero(np.isfinite(d) & (d <= (edge + room)[:, None]))
+        dist = ((qb[row] - r[col]) ** 2).sum(axis=1)
+        order = np.lexsort((r_ids[col], dist, row))
+        row, col, dist = row[order], col[order], dist[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        near = rank < k
+        outs.append((qi[row[near]], rank[near], r_ids[col[near]], dist[near]))
+    if not outs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)
+    qid, rank, rid, dist = (np.concatenate(c) for c in zip(*outs, strict=True))
+    return qid.astype(np.int64), rank.astype(np.int32), rid.astype(np.int64), dist
 
 
 def minority_knn(points: DataFrame, id_col: str, vec_col: str, k: int,
@@ -81,7 +84,7 @@ def minority_knn(points: DataFrame, id_col: str, vec_col: str, k: int,
                 if b.empty:
                     continue
                 q = np.vstack(b["x"].to_numpy())
-                qi, kr, ri = _topk(b["id"].to_numpy(np.int64), q, r_ids, r, k)
+                qi, kr, ri, _ = _topk(b["id"].to_numpy(np.int64), q, r_ids, r, k)
                 yield pd.DataFrame({"qid": qi, "nb_rank": kr, "nb_id": ri})
 
         return pts.mapInPandas(score, KNN_SCHEMA)
@@ -98,10 +101,7 @@ def minority_knn(points: DataFrame, id_col: str, vec_col: str, k: int,
         q = np.vstack(qpdf["x"].to_numpy())
         r = np.vstack(rpdf["x"].to_numpy())
         q_ids, r_ids = qpdf["id"].to_numpy(np.int64), rpdf["id"].to_numpy(np.int64)
-        qi, _, ri = _topk(q_ids, q, r_ids, r, k)
-        pos = {v: i for i, v in enumerate(r_ids)}
-        qpos = {v: i for i, v in enumerate(q_ids)}
-        dist = np.array([float(((q[qpos[a]] - r[pos[b]]) ** 2).sum()) for a, b in zip(qi, ri)])
+        qi, _, ri, dist = _topk(q_ids, q, r_ids, r, k)
         return pd.DataFrame({"qid": qi, "dist": dist, "nb_id": ri})
 
     cands = queries.groupBy("qb", "rb").cogroup(refs.groupBy("qb", "rb")).applyInPandas(
@@ -167,6 +167,12 @@ class SmoteClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):
 
     def _fit(self, df: DataFrame):
         res = smote(df, self.getOrDefault(self.idCol), self.getLabelCol(), self.getFeaturesCol(),
-                    self.getOrDefault(self.k), self.getSeed())
+                    self.getOrDefault(self.k), self.getSeed()).persist()
+        try:  # one resampling per fit, however often the learner reads its rows
+            return self._fitted(res)
+        finally:
+            res.unpersist()
+
+    def _fitted(self, res: DataFrame):
         return self.classifier.copy().setFeaturesCol(self.getFeaturesCol()).setLabelCol(
             self.getLabelCol()).fit(res)
