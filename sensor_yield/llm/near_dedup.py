@@ -11,9 +11,10 @@ Sets that are equal form classes first, so copies cost one row per task. In a bu
 smallest class is the centre of a star: its members become candidate edges to it, as many as
 the bucket has members. Candidates are confirmed on the full sets. A star can miss a link
 between two members that do not link to its centre; so, while confirmed links leave a bucket of
-three or more with several components, it gets another centre, and at last the pairs across
-components that are still open are confirmed one by one. That is the exact way for the rest:
-no bucket is capped, and pairs inside a component are never listed.
+three or more with several components, it gets another centre, and then the members of such
+buckets are joined exactly, across components, by prefixes of their rarest shingles
+(``prefix_pairs``). No bucket is capped, and neither pairs inside a component nor pairs that
+share only what many documents share are ever listed.
 
 Components come from alternating large-star and small-star steps on the confirmed links.
 
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensor_yield.llm.common import arrow_rows, stored
@@ -41,9 +42,8 @@ ROWS, BANDS = 5, 48
 BINS = ROWS * BANDS
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Further centres a bucket may get before open pairs are listed, and the number of open pairs
-#: per row of the open buckets from which another round of centres is cheaper than the list.
-ROUNDS, OPEN_PAIRS = 6, 4
+#: Further centres for buckets that still hold several components.
+ROUNDS = 1
 NO_ID = (1 << 63) - 1
 
 
@@ -173,6 +173,49 @@ def _with_component(rows: DataFrame, comps: DataFrame, node: str = "node") -> Da
             .withColumn("component", F.coalesce("component", node)))
 
 
+def _open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (bucket, node, component) of the buckets that hold several components."""
+    placed = _with_component(members.select("bucket", "node"), comps)
+    split = (placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi").select("bucket"))
+    return stored(placed.join(split, "bucket"), "near-open")
+
+
+def prefix_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair (a, b) of nodes of different components that can reach the threshold, exactly.
+
+    ``rows``: node, component, text. With shingles ordered from the rarest to the most common,
+    two sets of n shingles at the threshold share one of their first n - ceil(0.75 n) + 1. What
+    many documents share comes last in that order, so a passage or line common to a third of
+    them makes no candidates unless it makes up most of two documents."""
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler()
+        for batch in batches:
+            for node, component, text in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(),
+                                             text_bytes(batch.column("text")), strict=True):
+                found = shingle(text).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), x)) for x in (node, component, len(found))] + [pa.array(found)],
+                    ["node", "component", "n", "shingle"])
+
+    every = stored(rows.mapInArrow(explode, "node bigint, component bigint, n bigint, shingle bigint"), "near-shingles")
+    common = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"),
+                                          F.max("component").alias("hi")).where("df > 1")
+    shared = every.join(common, "shingle")
+    rarest = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))  # one document's shingles
+    held = F.count(F.lit(1)).over(Window.partitionBy("node"))
+    # shingles that occur once come first in the order and are not in ``shared``
+    allowed = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.col("held"))
+    prefix = (shared.withColumn("held", held).withColumn("at", rarest).where((F.col("at") <= allowed) & (F.col("lo") < F.col("hi")))
+              .select("shingle", "node", "component", "n", (F.col("held") - F.col("at") + 1).alias("rest")))
+    prefix = stored(prefix, "near-prefixes")
+    other = prefix.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "rest")])
+    # from their first common shingle on, both sets must hold enough for the threshold
+    enough = (100 + PERCENT) * F.least("rest", "rest_b") >= PERCENT * (F.col("n") + F.col("n_b"))
+    return (prefix.join(other, "shingle").where("node < node_b AND component <> component_b").where(enough)
+            .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, text_key."""
     arrow_rows(docs.sparkSession)
@@ -216,35 +259,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirm(pairs, texts)
     comps = components(links)
 
-    for turn in range(ROUNDS + 1):
-        placed = _with_component(members.select("bucket", "node", "n"), comps)
-        split = (placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                 .where("lo < hi").select("bucket"))
-        open_rows = stored(placed.join(split, "bucket"), "near-open")
-        per = open_rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-        load = per.groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk")).agg(
-            F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.sum("k")).first()
-        if not load[1]:
-            break
-        last = load[0] <= OPEN_PAIRS * load[1] or turn == ROUNDS
-        if last:
-            other = open_rows.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"),
-                                     F.col("n").alias("n_b"))
-            found = (open_rows.join(other, "bucket").where("node < b AND component <> cb")
-                     .where(100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
-                     .select(F.col("node").alias("a"), "b"))
-        else:
-            pick = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "component")).alias("c")
-            centre = open_rows.groupBy("bucket").agg(pick).select(
-                "bucket", F.col("c.node").alias("a"), F.col("c.component").alias("ca"))
-            found = comparable(open_rows.join(centre, "bucket").where("component <> ca").select(
-                F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
-        fresh = stored(found.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    # members that do not link to their centre may link to each other
+    for turn in range(ROUNDS):
+        open_rows = _open_members(members, comps)
+        pick = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "component")).alias("c")
+        centre = open_rows.groupBy("bucket").agg(pick).select(
+            "bucket", F.col("c.node").alias("a"), F.col("c.component").alias("ca"))
+        found = open_rows.join(centre, "bucket").where("component <> ca").select(
+            F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        fresh = stored(comparable(found.distinct()).join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = tested.unionByName(fresh)
         links = links.unionByName(confirm(fresh, texts))
         comps = components(links)
-        if last:
-            break
+
+    open_nodes = _open_members(members, comps).select("node", "component").distinct()
+    found = prefix_pairs(open_nodes.join(texts, "node").select("node", "component", "text"))
+    fresh = stored(found.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    comps = components(links.unionByName(confirm(fresh, texts)))
 
     named = _with_component(classes.select("set_id", "node", "least"), comps)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
