@@ -107,6 +107,19 @@ def test_compact_windows_are_the_cartesian_tree():
                 assert (l == 0 or h[l - 1] < v) and (r == n - 1 or h[r + 1] < v)
 
 
+def test_passages_that_touch_in_one_text_only():
+    p, q, far = ([f"{c}{i}" for i in range(60)] for c in "pqz")
+    shingle = Shingler()
+    a = shingle.shingles(" ".join(p + far + far + q).encode())
+    b = shingle.shingles(" ".join(q + p).encode())
+    found = substring_dedup.passages(a, b, [(0, len(b))])
+    assert [(f[0], f[1], f[4]) for f in sorted(found)] == [(0, 55, 1.0), (60, 115, 1.0)]
+    repeated = shingle.shingles(("w " * 90 + "x " * 90).encode())
+    assert len(substring_dedup.passages(shingle.shingles(("x " * 70 + " ".join(far) + " w" * 70).encode()), repeated,
+                                        [(0, len(repeated))])) == 2
+    assert substring_dedup.passages(a, shingle.shingles(" ".join(far[:40]).encode()), [(0, 99)]) == []
+
+
 def test_signatures_meet_at_the_threshold():
     """Pairs of similarity about 0.75, of any size, share a bucket."""
     rng, shingle, signer = random.Random(3), Shingler(), Signer()
