@@ -55,31 +55,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text; remembers the hashes of words."""
+    """Sorted distinct 64-bit shingle hashes of a text, by whole-array steps over its bytes.
 
-    def __init__(self, memory: int = 500_000):
-        self.memory, self.known = memory, {}
+    A word's hash sums a random 64-bit value per byte times a power of an odd number for its
+    place, then mixed; ``bytes.lower`` knows A-Z only, as is wanted."""
+
+    def __init__(self):
         rng = np.random.default_rng(5)
         self.odd = rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def word_hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.memory:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([known[w] for w in words], np.uint64)
+        self.letter = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+        self.letter[self.blank] = 0
+        self.powers = self._powers(64)
+
+    @staticmethod
+    def _powers(n: int) -> np.ndarray:
+        return np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
+
+    def word_hashes(self, text: bytes) -> np.ndarray:
+        raw = np.frombuffer(text.lower(), np.uint8)
+        blank = self.blank[raw]
+        begins = ~blank
+        begins[1:] &= blank[:-1]
+        first = np.flatnonzero(begins)
+        if not len(first):
+            return np.zeros(0, np.uint64)
+        spans = np.diff(first, append=len(raw))
+        place = np.arange(first[0], len(raw)) - np.repeat(first, spans)
+        if place[-1] >= len(self.powers) or spans.max() > len(self.powers):
+            longest = int(place[~blank[first[0]:]].max()) + 1  # of a word, without the blanks after it
+            if longest > len(self.powers):
+                self.powers = self._powers(2 * longest)
+            place = np.minimum(place, len(self.powers) - 1)
+        terms = self.letter[raw[first[0]:]] * self.powers[place]
+        return mixed(np.add.reduceat(terms, first - first[0]))
 
     def shingles(self, text: bytes) -> np.ndarray:
-        """One hash per position; bytes.lower and bytes.split know ASCII only, as is wanted."""
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = self.word_hashes(words)
+        """One hash per position of the text's words."""
+        h = self.word_hashes(text)
+        if not len(h):
+            return h
         n = min(SHINGLE, len(h))
+        # random word hashes times a fixed odd number for each place, mixed once
         total = np.full(len(h) - n + 1, n, np.uint64)
         for j in range(n):
-            total = total + mixed(h[j:len(h) - n + 1 + j] * self.odd[j])
+            total += h[j:len(h) - n + 1 + j] * self.odd[j]
         return mixed(total)
 
     def __call__(self, text: bytes) -> np.ndarray:

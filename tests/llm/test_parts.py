@@ -135,6 +135,11 @@ def test_shingler_counts_like_sets():
     shingle = Shingler()
     for text in ["", " \x0b\x0c", "a", "a b c d", "a b c d e", "A b c d e a B c d e a b c d e", "é\xa0É x\x1cy \x00"]:
         assert len(shingle(text.encode())) == len(brute.shingles(text))
+    rng = random.Random(8)
+    for _ in range(300):  # words, blanks and lengths of every kind
+        text = "".join(rng.choice([*"ab \t\n\x0b\x0c\r", "é", "ab ", " " * 90, "x" * 200, "anagram nagaram "]) for _ in range(rng.randint(0, 60)))
+        assert len(shingle.word_hashes(text.encode())) == len(brute.words(text))
+        assert len(shingle(text.encode())) == len(brute.shingles(text))
     assert (shingle(b"A b") == shingle(b"a B")).all() and shingle(b"a b")[0] != shingle(b"a b a")[0]
 
 
