@@ -120,6 +120,21 @@ def test_passages_that_touch_in_one_text_only():
     assert substring_dedup.passages(a, shingle.shingles(" ".join(far[:40]).encode()), [(0, 99)]) == []
 
 
+@pytest.mark.parametrize("n, at, out, into", [(60, 28, 3, 3), (50, 25, 0, 3), (54, 24, 3, 0), (80, 30, 4, 4), (80, 60, 5, 2),
+                                              (100, 40, 7, 7), (100, 50, 0, 15), (73, 50, 0, 8)])
+def test_passages_with_a_hole(n, at, out, into):
+    """``out`` words replaced by ``into`` others, in both orders."""
+    words = [f"p{i}" for i in range(n)]
+    other = words[:at] + [f"q{i}" for i in range(into)] + words[at + out:]
+    sets = [brute.shingles(" ".join(w)) for w in (words, other)]
+    similarity = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    assert similarity >= 0.75
+    around = [[f"{c}{i}" for i in range(90)] for c in "stuv"]
+    x, y = (Shingler().shingles(" ".join(around[k] + w + around[k + 1]).encode()) for k, w in ((0, words), (2, other)))
+    for a, b, size in ((x, y, len(other)), (y, x, n)):
+        assert [f[:2] + f[4:] for f in substring_dedup.passages(a, b)] == [(90, 90 + size - 5, pytest.approx(similarity))]
+
+
 def test_signatures_meet_at_the_threshold():
     """Pairs of similarity about 0.75, of any size, share a bucket."""
     rng, shingle, signer = random.Random(3), Shingler(), Signer()
