@@ -135,6 +135,30 @@ def test_passages_with_a_hole(n, at, out, into):
         assert [f[:2] + f[4:] for f in substring_dedup.passages(a, b)] == [(90, 90 + size - 5, pytest.approx(similarity))]
 
 
+@pytest.mark.parametrize("quoted", [(0, 20), (0, 17), (15, 35), (30, 50)])
+@pytest.mark.parametrize("apart", [0, 30, 60, 200])
+def test_passage_of_which_a_part_also_stands_elsewhere(quoted, apart):
+    passage, far = [f"p{i}" for i in range(50)], [f"f{i}" for i in range(apart)]
+    part = passage[slice(*quoted)]
+    shingle = Shingler()
+    y = shingle.shingles(" ".join([f"y{i}" for i in range(9)] + passage + ["z"] * 3).encode())
+    for words in (part + far + passage, passage + far + part, part + far + part + far + passage + far + part):
+        x = shingle.shingles(" ".join(words).encode())
+        place = next(i for i in range(len(words)) if words[i:i + 50] == passage)
+        # where the part stands right before or after, the passage may reach over it
+        assert any(f[0] <= 9 and f[1] >= 54 and f[2] <= place and f[3] >= place + 45 for f in substring_dedup.passages(x, y))
+        assert any(f[0] <= place and f[1] >= place + 45 and f[2] <= 9 and f[3] >= 54 for f in substring_dedup.passages(y, x))
+
+
+def test_passages_of_texts_that_repeat_themselves():
+    line = " ".join(f"r{i}" for i in range(11))
+    shingle = Shingler()
+    for n, m in ((8, 8), (8, 300), (300, 8), (2000, 2000)):
+        a, b = (shingle.shingles(" ".join([c] * 30 + [line] * k).encode()) for c, k in (("a", n), ("b", m)))
+        found = substring_dedup.passages(a, b)
+        assert found and all(f[4] >= 0.75 for f in found)
+
+
 def test_signatures_meet_at_the_threshold():
     """Pairs of similarity about 0.75, of any size, share a bucket."""
     rng, shingle, signer = random.Random(3), Shingler(), Signer()
