@@ -120,6 +120,22 @@ def test_passages_that_touch_in_one_text_only():
     assert substring_dedup.passages(a, shingle.shingles(" ".join(far[:40]).encode()), [(0, 99)]) == []
 
 
+def test_two_functions_agree_on_similar_passages():
+    """400 passages of 60 words, three replaced in the middle: similarity 0.78."""
+    rng, compact, shingle = random.Random(7), CompactWindows(), Shingler()
+
+    def keys(words):
+        value, _, k, first, last = substring_dedup.windows_of(compact, 1, shingle.shingles(" ".join(words).encode()))[:5]
+        x, y = np.nonzero((first[:, None] <= last) & (first <= last[:, None]) & (k[:, None] < k))
+        return set(zip(value[x].tolist(), value[y].tolist(), strict=True))
+
+    for _ in range(400):
+        passage = [f"{rng.random()}" for _ in range(60)]
+        other = passage[:28] + [f"{rng.random()}" for _ in range(3)] + passage[31:]
+        around = [[f"{rng.random()}" for _ in range(60)] for _ in range(4)]
+        assert keys(around[0] + passage + around[1]) & keys(around[2] + other + around[3])
+
+
 @pytest.mark.parametrize("n, at, out, into", [(60, 28, 3, 3), (50, 25, 0, 3), (54, 24, 3, 0), (80, 30, 4, 4), (80, 60, 5, 2),
                                               (100, 40, 7, 7), (100, 50, 0, 15), (73, 50, 0, 8)])
 def test_passages_with_a_hole(n, at, out, into):
