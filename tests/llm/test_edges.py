@@ -13,6 +13,7 @@ import corpus_pipeline
 from sensor_yield.llm import (decontaminate, exact_dedup, license_scan, mixing, near_dedup, substring_dedup,
                               token_files, toxicity, url_filter, warc)
 from sensor_yield.llm.license_texts import LICENSES, NOTICES
+from sensor_yield.llm.near_dedup import Shingler
 
 from . import brute
 
@@ -103,6 +104,45 @@ def test_repeated_passages(docs, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_a_template_family(spark):
+    """Texts of one template, filled differently in pairs: the pair links, the family does not."""
+    rng, rows = random.Random(5), []
+    template = [f"t{i}" for i in range(72)]
+    for pair in range(60):
+        filled = list(template)
+        for at in rng.sample(range(0, 72, 6), 3):
+            filled[at:at + 2] = [f"g{pair}_{at}", f"h{pair}_{at}"]
+        for half in range(2):
+            around = [[f"{c}{pair}_{half}_{i}" for i in range(rng.randint(5, 60))] for c in "uv"]
+            rows.append((2 * pair + half, " ".join(around[0] + filled + around[1])))
+    shingled = {d: Shingler().shingles(t.encode()) for d, t in rows}
+    groups, want = brute.Groups(), set()
+    for a in shingled:
+        for b in range(a):
+            if substring_dedup.passages(shingled[b], shingled[a]):
+                groups.join(a, b)
+                want |= {a, b}
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert want == set(shingled) and len({groups.find(d) for d in want}) > 10
+    assert {r.doc_id: r.class_id for r in got} | {r.match_id: r.class_id for r in got} == {d: groups.find(d) for d in want}
+
+
+def test_exact_pairs_of_passages(spark):
+    """Every pair with a passage is among the pairs, with each text a component of its own."""
+    rng, texts = random.Random(9), {}
+    base = [f"b{i}" for i in range(90)]
+    for d in range(24):
+        n = rng.choice([50, 60, 73, 90])
+        words, at = base[:n], rng.randrange(n - 12)
+        words[at:at + rng.randint(0, 9)] = [f"x{d}_{i}" for i in range(rng.randint(0, 9))]
+        texts[d] = " ".join([f"y{d}_{i}" for i in range(40)] + words)
+    shingled = {d: Shingler().shingles(t.encode()) for d, t in texts.items()}
+    want = {(a, b) for b in texts for a in range(b) if substring_dedup.passages(shingled[a], shingled[b])}
+    holders = spark.createDataFrame([(d, d, 0, len(x) - 1) for d, x in shingled.items()], "text_key bigint, component bigint, l bigint, r bigint")
+    got = substring_dedup.exact_pairs(holders, spark.createDataFrame(list(texts.items()), "text_key bigint, text string")).collect()
+    assert 20 < len(want) and want <= {tuple(r) for r in got}
+
+
 @pytest.mark.parametrize("block", [1 << 24, 40])
 def test_decontaminate(docs, empty, items, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)  # several passes must agree with one
