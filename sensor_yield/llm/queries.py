@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensor_yield.llm import (decontaminate, exact_dedup, license_scan, mixing, near_dedup, sharding, substring_dedup,
-                              token_files, toxicity, url_filter, warc)
+from sensor_yield.llm import (decontaminate, exact_dedup, license_scan, mixing, near_dedup, phrases, sharding,
+                              substring_dedup, token_files, toxicity, url_filter, warc)
 from sensor_yield.llm.common import table
 from sensor_yield.llm.license_texts import LICENSES, NOTICES
 
@@ -144,3 +144,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_feistel_sharding", sharding.oracle(24))
 def op11_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 24).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@register("op12_phrase_mining")
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))

@@ -113,3 +113,34 @@ def edit_distance(a: str, b: str) -> int:
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
     return row[-1]
+
+
+def collocations(rows: list, max_words: int = 3, least: int = 10, top: int = 2000, share: int = 50) -> list:
+    """(lang, rank, phrase, a, l, r, n, score) of (text, lang) rows, by counting every phrase."""
+    langs = defaultdict(list)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            langs["und" if lang is None else lang].append(re.findall(r"[^\x20\x09]+", piece))
+    out = []
+    for lang, pieces in langs.items():
+        f = defaultdict(int)
+        for p in pieces:
+            for k in range(1, max_words + 1):
+                for s in range(len(p) - k + 1):
+                    f[tuple(p[s:s + k])] += 1
+        n = sum(map(len, pieces))
+        cands = {g: a for g, a in f.items() if len(g) > 1 and a >= least}
+        around = defaultdict(int)
+        for g, a in cands.items():
+            for k in range(2, len(g)):
+                for s in range(len(g) - k + 1):
+                    around[g[s:s + k]] = max(around[g[s:s + k]], a)
+        kept = []
+        for g, a in cands.items():
+            if around[g] and 100 * around[g] >= share * a:
+                continue
+            score, k = min((10 ** 6 * a * a // (f[g[:k]] * f[g[k:]]), k) for k in range(1, len(g)))
+            kept.append((-score, -a, " ".join(g).encode(), f[g[:k]], f[g[k:]]))
+        out += [(lang, i, p.decode(), -a, le, r, n, -score) for i, (score, a, p, le, r) in enumerate(sorted(kept)[:top], 1)]
+    return out
