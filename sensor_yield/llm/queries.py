@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensor_yield.llm import (decontaminate, exact_dedup, license_scan, mixing, near_dedup, phrases, sharding,
-                              substring_dedup, token_files, toxicity, url_filter, warc)
+from sensor_yield.llm import (decontaminate, exact_dedup, hard_negatives, license_scan, mixing, near_dedup, phrases,
+                              sharding, substring_dedup, token_files, toxicity, url_filter, warc)
 from sensor_yield.llm.common import table
 from sensor_yield.llm.license_texts import LICENSES, NOTICES
 
@@ -149,3 +149,22 @@ def op11_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_phrase_mining")
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@register("op13_hard_negatives", """
+WITH p AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+             list_dot_product(a.q, r.q)::BIGINT AS score FROM p a JOIN p r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+near AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+         QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, id AS negative_id, positive_score,
+       score AS negative_score FROM near JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=label)

@@ -46,7 +46,13 @@ def test_query_equals_sql(spark, name):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+
+
+def test_op12(spark, docs):
+    got = QUERIES["op12_phrase_mining"](spark, SF).collect()
+    want = brute.collocations([(r["text"], r["lang"]) for r in docs.values()])
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == sorted(want) and want
 
 
 def test_op10(spark, docs):
