@@ -1,4 +1,4 @@
-"""Permutation importance and feature ranking.
+"""Permutation importance, attributions and feature ranking.
 
 importance(f) = AP(baseline) - mean over repeats of AP(scores with column f
 permuted), on held-out rows. All (feature, repeat) pairs of a batch are scored by
@@ -13,13 +13,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensor_yield import config
+from sensor_yield.operators.boosting import HistogramBoostingModel
 from sensor_yield.operators.evaluation import ranking_metrics
 from sensor_yield.operators.models import positive_probability
 from sensor_yield.operators.ordering import ordinal_within_group
+from sensor_yield.operators.splits import sample_rows
+from sensor_yield.operators.trees import attributions, expected_value, spark_trees
 
 MAX_REPLICATED_ROWS = 50_000_000
 
@@ -90,10 +95,55 @@ def rank_features(importance: DataFrame) -> DataFrame:
     return importance.withColumn("rank", F.row_number().over(w).cast("int"))
 
 
+def model_trees(clf) -> tuple[list, str] | None:
+    """The trees of a fitted tree ensemble and what they add up to; None for other classifiers."""
+    if isinstance(clf, HistogramBoostingModel):
+        return clf.tree_list(), "margin"
+    if isinstance(clf, (RandomForestClassificationModel, GBTClassificationModel)):
+        return spark_trees(clf)
+    return None
+
+
+def tree_attributions(model: PipelineModel, df: DataFrame, id_col: str) -> tuple[DataFrame, list[str], float]:
+    """E11, exact: ``id_col, phi`` of every row of ``df`` (path-dependent Shapley values of the classifier's
+    inputs), the inputs' names and the mean value; mean + sum(phi) is the row's probability for a forest and
+    its margin for boosted trees."""
+    prepared = PipelineModel(stages=model.stages[:-1]).transform(df)
+    names = [c for c in prepared.columns if c.startswith(config.FEATURE_PREFIX)]
+    trees, _ = model_trees(model.stages[-1])
+    rows = prepared.select(id_col, vector_to_array("features").alias("x"))
+    return attributions(rows, id_col, trees, len(names)), names, expected_value(trees)
+
+
+def tree_attribution_importance(model: PipelineModel, df: DataFrame, id_col: str,
+                                n_rows: int | None = config.ATTRIBUTION_SAMPLE_ROWS, seed: int = config.SEED) -> DataFrame:
+    """Mean absolute exact attribution per classifier input over a seeded sample of ``n_rows`` rows
+    (None: all): ``feature_name, importance``."""
+    rows = df if n_rows is None else sample_rows(df, id_col, n_rows, seed)
+    phi, names, _ = tree_attributions(model, rows, id_col)
+    means = phi.select(F.posexplode("phi").alias("j", "v")).groupBy("j").agg(F.avg(F.abs("v")).alias("importance"))
+    index = df.sparkSession.createDataFrame(list(enumerate(names)), "j int, feature_name string")
+    return index.join(means, "j", "left").select("feature_name", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
+def feature_importance(model: PipelineModel, df: DataFrame, id_col: str, label_col: str, cols: Sequence[str],
+                       method: str = "permutation_importance", repeats: int = config.PERMUTATION_REPEATS,
+                       seed: int = config.SEED) -> DataFrame:
+    """``feature_name, importance`` by ``method``: ``permutation_importance`` (E10), or ``shap`` (E11): exact for
+    tree ensembles, Monte-Carlo for other classifiers."""
+    if method == "permutation_importance":
+        return permutation_importance(model, df, id_col, label_col, cols, repeats, seed)
+    if method != "shap":
+        raise ValueError(f"unknown importance method {method!r}")
+    exact = model_trees(model.stages[-1]) is not None
+    return tree_attribution_importance(model, df, id_col, seed=seed) if exact else \
+        attribution_importance(model, df, id_col, seed=seed)
+
+
 def attribution_importance(model: PipelineModel, df: DataFrame, id_col: str,
                            n_rows: int = config.ATTRIBUTION_SAMPLE_ROWS, draws: int = 8,
                            seed: int = config.SEED, max_rows: int = 2_000_000) -> DataFrame:
-    """E11 (re-aimed): mean absolute Monte-Carlo Shapley contribution per model
+    """E11 for classifiers without trees: mean absolute Monte-Carlo Shapley contribution per model
     input on a seeded sample of at most ``n_rows`` preprocessed rows
     (permutation sampling, Strumbelj & Kononenko 2014).
 
@@ -105,10 +155,6 @@ def attribution_importance(model: PipelineModel, df: DataFrame, id_col: str,
     classifier ``transform``; batches keep (rows x draws x (inputs + 1)) under
     ``max_rows``. Output: ``feature_name, importance`` over the classifier's inputs.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    from sensor_yield.operators.splits import sample_rows
-
     spark = df.sparkSession
     pre = PipelineModel(stages=model.stages[:-1])
     clf = model.stages[-1]

@@ -8,8 +8,9 @@ lives inside estimators so it only ever sees the rows being fitted:
   with ``n`` counted at fit time;
 * B: SMOTE + random forest (``operators.resample``);
 * C: random forest with balanced class weights ``n / (2 * n_c)``;
-* D: gradient-boosted trees with ``scale_pos_weight`` = n_pass / max(n_fail, 1) as
-  a row weight on positives, on un-imputed data with missing indicators.
+* D: boosted trees with a learned side for missing values per split (``operators.boosting``)
+  and ``scale_pos_weight`` = n_pass / max(n_fail, 1) as a row weight on positives, on
+  un-imputed data.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from typing import Any, Callable
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensor_yield import config
+from sensor_yield.operators.boosting import HistogramBoosting
 from sensor_yield.operators.resample import SmoteClassifier
 from sensor_yield.operators.transforms import base_stages, native_missing_stages
 
@@ -138,10 +140,9 @@ def build_candidates(seed: int = config.SEED, include_boosting: bool = True,
                                       featureSubsetStrategy="sqrt", seed=seed, labelCol=y)
 
     def boosting(p):
-        gbt = GBTClassifier(maxIter=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 3)),
-                            stepSize=float(p.get("learning_rate", 0.1)),
-                            subsamplingRate=float(p.get("subsample", 1.0)), seed=seed, labelCol=y)
-        return WeightedClassifier(classifier=gbt, mode="scale_pos", labelCol=y)
+        return HistogramBoosting(maxIter=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 3)),
+                                 stepSize=float(p.get("learning_rate", 0.1)),
+                                 subsamplingRate=float(p.get("subsample", 1.0)), scalePos=True, labelCol=y, seed=seed)
 
     forest_grid = {"n_estimators": list(config.FOREST_TREES_GRID), "max_depth": list(config.FOREST_DEPTH_GRID),
                    "min_samples_leaf": list(config.FOREST_MIN_LEAF_GRID)}

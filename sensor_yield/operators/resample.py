@@ -4,13 +4,8 @@ Spark's ``Pipeline`` runs every stage at transform time, so resampling must live
 inside ``fit`` to touch training rows only. Steps, all distributed:
 
 1. class counts (one aggregate) fix the minority class and ``n_new = n_major - n_minor``;
-2. exact k nearest minority neighbours of every minority row:
-   * minority matrix within a checked byte budget: it is broadcast once and each
-     task scores its slice of query rows with numpy in chunks;
-   * beyond the budget: minority rows are hashed into B blocks; every (query block,
-     reference block) pair is one co-group that keeps only its k best candidates
-     per query, and a final grouped top-k (at most B*k candidates per query)
-     merges them -- no pair is ever materialised as a row;
+2. exact k nearest minority neighbours of every minority row (``operators.knn``: pruned
+   blocks, one path at every size);
 3. synthetic row s picks a base row and one of its k neighbours and a step
    ``u`` from md5 keys of ``seed:s``: ``x + u * (nn - x)``, computed with
    ``zip_with`` on arrays (JVM side), then unioned with the original rows.
@@ -18,8 +13,6 @@ inside ``fit`` to touch training rows only. Steps, all distributed:
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -30,121 +23,48 @@ from pyspark.sql import functions as F
 
 from sensor_yield import config
 from sensor_yield.functions.keys import random_key, uniform01
+from sensor_yield.operators.knn import neighbours
 from sensor_yield.operators.ordering import ordinal_within_group
 
-# Largest minority matrix (bytes) shipped whole to every task.
-BROADCAST_BUDGET_BYTES = 256 * 1024 * 1024
-KNN_SCHEMA = "qid long, nb_rank int, nb_id long"
 
-
-def _topk(q_ids, q, r_ids, r, k):
-    """k nearest rows of ``r`` for each row of ``q`` (self excluded), by squared distance,
-    then id. Returns (qid, rank, rid, distance) arrays.
-
-    The expanded form of the distance only preselects, with room for its rounding; order and
-    ties are decided by differences, so neither row order nor blocking changes the answer."""
-    outs = []
-    rn = (r * r).sum(axis=1)
-    for s in range(0, len(q), 1024):
-        qb, qi = q[s:s + 1024], q_ids[s:s + 1024]
-        d = (qb * qb).sum(axis=1)[:, None] + rn[None, :] - 2.0 * qb @ r.T
-        d = np.where(qi[:, None] == r_ids[None, :], np.inf, np.maximum(d, 0.0))
-        kk = min(k, d.shape[1])
-        edge = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-        edge = np.where(np.isfinite(edge), edge, np.where(np.isfinite(d), d, 0.0).max(axis=1))
-        room = 1e-9 * (1.0 + edge + (qb * qb).sum(axis=1))
-        row, col = np.nonzero(np.isfinite(d) & (d <= (edge + room)[:, None]))
-        dist = ((qb[row] - r[col]) ** 2).sum(axis=1)
-        order = np.lexsort((r_ids[col], dist, row))
-        row, col, dist = row[order], col[order], dist[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
-        near = rank < k
-        outs.append((qi[row[near]], rank[near], r_ids[col[near]], dist[near]))
-    if not outs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)
-    qid, rank, rid, dist = (np.concatenate(c) for c in zip(*outs, strict=True))
-    return qid.astype(np.int64), rank.astype(np.int32), rid.astype(np.int64), dist
-
-
-def minority_knn(points: DataFrame, id_col: str, vec_col: str, k: int,
-                 budget_bytes: int = BROADCAST_BUDGET_BYTES, n_blocks: int | None = None) -> DataFrame:
-    """Exact kNN within ``points`` (``id, vector``): rows ``qid, nb_rank, nb_id``."""
-    pts = points.select(F.col(id_col).cast("long").alias("id"), vector_to_array(F.col(vec_col)).alias("x"))
-    stats = pts.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    if n * d * 8 <= budget_bytes and n_blocks is None:
-        pdf = pts.toPandas()  # bounded by the budget check above
-        ids = pdf["id"].to_numpy(np.int64)
-        mat = np.vstack(pdf["x"].to_numpy()) if n else np.zeros((0, d))
-        bc = points.sparkSession.sparkContext.broadcast((ids, mat))
-
-        def score(batches):
-            r_ids, r = bc.value
-            for b in batches:
-                if b.empty:
-                    continue
-                q = np.vstack(b["x"].to_numpy())
-                qi, kr, ri, _ = _topk(b["id"].to_numpy(np.int64), q, r_ids, r, k)
-                yield pd.DataFrame({"qid": qi, "nb_rank": kr, "nb_id": ri})
-
-        return pts.mapInPandas(score, KNN_SCHEMA)
-
-    blocks = n_blocks or max(2, int(np.ceil(n * d * 8 / budget_bytes)) * 2)
-    tagged = pts.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    fan = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = tagged.select(F.col("blk").alias("qb"), fan.alias("rb"), "id", "x")
-    refs = tagged.select(fan.alias("qb"), F.col("blk").alias("rb"), "id", "x")
-
-    def block_topk(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or rpdf.empty:
-            return pd.DataFrame({"qid": [], "dist": [], "nb_id": []})
-        q = np.vstack(qpdf["x"].to_numpy())
-        r = np.vstack(rpdf["x"].to_numpy())
-        q_ids, r_ids = qpdf["id"].to_numpy(np.int64), rpdf["id"].to_numpy(np.int64)
-        qi, _, ri, dist = _topk(q_ids, q, r_ids, r, k)
-        return pd.DataFrame({"qid": qi, "dist": dist, "nb_id": ri})
-
-    cands = queries.groupBy("qb", "rb").cogroup(refs.groupBy("qb", "rb")).applyInPandas(
-        block_topk, "qid long, dist double, nb_id long")
-    best = cands.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nb_id"))), 1, k)
-                                    .alias("nbs"))
-    return best.select("qid", F.posexplode("nbs").alias("nb_rank", "nb")).select(
-        "qid", F.col("nb_rank").cast("int"), F.col("nb.nb_id").alias("nb_id"))
-
-
-def smote(df: DataFrame, id_col: str, label_col: str, features_col: str, k: int = config.SMOTE_NEIGHBOURS,
-          seed: int = config.SEED, budget_bytes: int = BROADCAST_BUDGET_BYTES,
-          n_blocks: int | None = None) -> DataFrame:
-    """Original rows plus synthetic minority rows up to the majority count.
-    Output columns: ``id_col, label_col, features_col``; synthetic ids are negative."""
-    base = df.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col), F.col(features_col))
-    counts = {r[label_col]: r["c"] for r in base.groupBy(label_col).agg(F.count(F.lit(1)).alias("c")).collect()}
+def synthetic_rows(df: DataFrame, id_col: str, label_col: str, features_col: str, k: int = config.SMOTE_NEIGHBOURS,
+                   seed: int = config.SEED) -> DataFrame | None:
+    """The new minority rows: ``s`` (0, 1, ...), ``label_col``, ``base_id``, ``nb_id``, ``u`` and ``x``, the point
+    at share u of the way from the base to its neighbour; None where there is nothing to add."""
+    counts = {r[label_col]: r["c"] for r in df.groupBy(label_col).agg(F.count(F.lit(1)).alias("c")).collect()}
     if len(counts) < 2:
-        return base
+        return None
     minority = min(counts, key=lambda c: (counts[c], c))
     n_min, n_maj = counts[minority], max(counts.values())
     n_new = n_maj - n_min
     if n_new <= 0 or n_min < 2:
-        return base
+        return None
     kk = min(k, n_min - 1)
-    mins = base.where(F.col(label_col) == minority)
-    knn = minority_knn(mins, id_col, features_col, kk, budget_bytes, n_blocks)
-    ordered = ordinal_within_group(mins.select(id_col), [], [id_col], out_col="base_ord")
-    spark = df.sparkSession
-    synth = spark.range(n_new).select(F.col("id").alias("s"))
+    mins = df.where(F.col(label_col) == minority).select(F.col(id_col).cast("long").alias("base_id"),
+                                                         F.col(features_col).alias("v"))
+    ordered = ordinal_within_group(mins.select("base_id"), [], ["base_id"], out_col="base_ord")
     pick = F.floor(uniform01(random_key("s", seed, salt="smote_pick")) * F.lit(n_min * kk)).cast("long")
-    synth = synth.select("s", (pick / kk).cast("long").alias("__p"), (pick % kk).cast("int").alias("nb_rank"),
-                         uniform01(random_key("s", seed, salt="smote_step")).alias("u"))
-    synth = synth.withColumn("base_ord", F.col("__p") + 1).drop("__p")
-    arrs = mins.select(F.col(id_col).alias("aid"), vector_to_array(F.col(features_col)).alias("ax"))
+    synth = df.sparkSession.range(n_new).select(F.col("id").alias("s")).select(
+        "s", ((pick / kk).cast("long") + 1).alias("base_ord"), (pick % kk).cast("int").alias("nb_rank"),
+        uniform01(random_key("s", seed, salt="smote_step")).alias("u"))
+    arrs = mins.select("base_id", vector_to_array("v").alias("bx"))
     rows = (synth.join(ordered, "base_ord")
-            .join(knn.withColumnRenamed("qid", id_col), [id_col, "nb_rank"])
-            .join(arrs.withColumnRenamed("aid", id_col).withColumnRenamed("ax", "bx"), id_col)
-            .join(arrs.withColumnRenamed("aid", "nb_id").withColumnRenamed("ax", "nx"), "nb_id"))
-    new = rows.select(
-        (-(F.col("s") + 1)).alias(id_col), F.lit(minority).cast(df.schema[label_col].dataType).alias(label_col),
-        array_to_vector(F.zip_with("bx", "nx", lambda a, b: a + F.col("u") * (b - a))).alias(features_col))
-    return base.unionByName(new)
+            .join(neighbours(mins, "base_id", "v", kk).withColumnRenamed("qid", "base_id"), ["base_id", "nb_rank"])
+            .join(arrs, "base_id")
+            .join(arrs.withColumnRenamed("base_id", "nb_id").withColumnRenamed("bx", "nx"), "nb_id"))
+    return rows.select("s", F.lit(minority).cast(df.schema[label_col].dataType).alias(label_col), "base_id", "nb_id", "u",
+                       F.zip_with("bx", "nx", lambda a, b: a + F.col("u") * (b - a)).alias("x"))
+
+
+def smote(df: DataFrame, id_col: str, label_col: str, features_col: str, k: int = config.SMOTE_NEIGHBOURS,
+          seed: int = config.SEED) -> DataFrame:
+    """Original rows plus synthetic minority rows up to the majority count.
+    Output columns: ``id_col, label_col, features_col``; synthetic ids are negative."""
+    base = df.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col), F.col(features_col))
+    new = synthetic_rows(base, id_col, label_col, features_col, k, seed)
+    if new is None:
+        return base
+    return base.unionByName(new.select((-(F.col("s") + 1)).alias(id_col), label_col, array_to_vector("x").alias(features_col)))
 
 
 class SmoteClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasSeed):

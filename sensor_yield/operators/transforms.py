@@ -154,7 +154,7 @@ class MedianImputer(Estimator, _FeatureStage, DefaultParamsReadable, DefaultPara
 
 
 class MissingIndicatorFiller(Estimator, _FeatureStage, DefaultParamsReadable, DefaultParamsWritable):
-    """M04 support: for trees that cannot take missing values, add ``<c>_missing``
+    """For learners that cannot take missing values: add ``<c>_missing``
     indicators and fill NULL below the fit-rows minimum (``min - 1``), so a split
     can still route missing values to their own side."""
 
@@ -209,17 +209,21 @@ class StandardScaler(Estimator, _FeatureStage, DefaultParamsReadable, DefaultPar
 
 class FeatureAssembler(Transformer, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Assembles every surviving ``feature_`` column (and missing indicators) into
-    a vector; the set is fixed by the fitted stages before it."""
+    a vector; the set is fixed by the fitted stages before it. Missing values are an error,
+    or NaN with ``keepMissing``."""
+
+    keepMissing = Param(Params._dummy(), "keepMissing", "missing values become NaN", TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, outputCol: str = "features"):
+    def __init__(self, outputCol: str = "features", keepMissing: bool = False):
         super().__init__()
-        self._setDefault(outputCol="features")
+        self._setDefault(outputCol="features", keepMissing=False)
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         cols = [c for c in df.columns if c.startswith(config.FEATURE_PREFIX)]
-        return VectorAssembler(inputCols=cols, outputCol=self.getOutputCol(), handleInvalid="error").transform(df)
+        return VectorAssembler(inputCols=cols, outputCol=self.getOutputCol(),
+                               handleInvalid="keep" if self.getOrDefault(self.keepMissing) else "error").transform(df)
 
 
 def base_stages(missing_threshold: float = config.MODELING_MISSING_THRESHOLD, use_scaler: bool = False) -> list:
@@ -234,8 +238,8 @@ def base_stages(missing_threshold: float = config.MODELING_MISSING_THRESHOLD, us
 
 
 def native_missing_stages(missing_threshold: float = config.MODELING_MISSING_THRESHOLD) -> list:
-    """Boosting path: missing-ratio drop -> NaN-tolerant sample-variance dropper ->
-    indicator + below-minimum fill (no imputation) -> assembly."""
+    """Boosting path: missing-ratio drop -> NaN-tolerant sample-variance dropper -> assembly with
+    missing values left in (no imputation; the trees learn a side for them)."""
     return [MissingRatioDropper(threshold=missing_threshold),
             VarianceFilter(threshold=config.LOW_VARIANCE_THRESHOLD, ddof=1, inclusive=True),
-            MissingIndicatorFiller(), FeatureAssembler()]
+            FeatureAssembler(keepMissing=True)]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sensor_yield import config
 from sensor_yield.operators import evaluation as ev
-from sensor_yield.operators.importance import permutation_importance, rank_features
+from sensor_yield.operators.importance import feature_importance, rank_features
 from sensor_yield.operators.models import Candidate, build_candidates, positive_probability
 from sensor_yield.operators.splits import stratified_folds, stratified_split
 from sensor_yield.session import cut_lineage
@@ -103,12 +103,13 @@ def run_training(df: DataFrame, id_col: str = config.ROW_ID_COL, label_col: str
                  feature_cols: list[str] | None = None, candidates: list[Candidate] | None = None,
                  n_iter: int = config.N_RANDOM_SEARCH_ITER, k: int = config.CV_FOLDS, seed: int = config.SEED,
                  importance_repeats: int = config.PERMUTATION_REPEATS, parallelism: int = 4,
-                 select_on: str = "test") -> dict[str, Any]:
+                 select_on: str = "test", importance_method: str = "permutation_importance") -> dict[str, Any]:
     """Entry 1 as Spark jobs. Returns DataFrames and the final report dict.
 
     ``select_on='test'`` picks the final model by held-out PR-AUC (the
     reference's rule, which also tunes on the test split); ``'cv'`` picks by the
-    mean cross-validated PR-AUC and leaves the test split untouched by selection."""
+    mean cross-validated PR-AUC and leaves the test split untouched by selection.
+    ``importance_method``: see ``feature_importance``."""
     feature_cols = feature_cols or [c for c in df.columns if c.startswith(config.FEATURE_PREFIX)]
     # the split's staged rows are already checkpointed inside the distributed
     # ordinal; the offset join on top is a broadcast, so caching suffices here
@@ -133,8 +134,8 @@ def run_training(df: DataFrame, id_col: str = config.ROW_ID_COL, label_col: str
     best_name = ev.best_row(comparison, sel_metric, "Model").first()["Model"]
     best = {r.name: r for r in results}[best_name]
     recs = ev.recommend_thresholds(thresholds.where(F.col("model") == best_name).drop("model"))
-    imp = rank_features(permutation_importance(best.model, test, id_col, label_col, feature_cols,
-                                               importance_repeats, seed))
+    imp = rank_features(feature_importance(best.model, test, id_col, label_col, feature_cols, importance_method,
+                                           importance_repeats, seed))
     counts = split.groupBy("dataset_split").agg(F.count(F.lit(1)).alias("n"),
                                                 F.avg(F.col(label_col).cast("double")).alias("rate")).collect()
     sizes = {r["dataset_split"]: (r["n"], r["rate"]) for r in counts}
@@ -148,7 +149,7 @@ def run_training(df: DataFrame, id_col: str = config.ROW_ID_COL, label_col: str
         "cross_validation_summary": best.cv_summary,
         "threshold_recommendations": {r["strategy"]: {k2: v for k2, v in r.asDict().items() if k2 != "strategy"}
                                       for r in recs.collect()},
-        "importance_method": "permutation_importance",
+        "importance_method": importance_method,
         "n_train": sizes.get("train", (0, None))[0], "n_test": sizes.get("test", (0, None))[0],
         "train_fail_rate": sizes.get("train", (0, None))[1], "test_fail_rate": sizes.get("test", (0, None))[1],
         "all_models_cv_summary": {r.name: r.cv_summary for r in results},

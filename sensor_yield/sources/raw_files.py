@@ -198,9 +198,10 @@ def parse_label_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
 
 
 def load_features(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless whitespace matrix, in file order."""
+    """Headerless whitespace matrix: the sensors, then ``row_id`` in file order."""
     lines = spark.read.text(path).where(F.trim(F.col("value")) != "")
-    return parse_feature_lines(with_file_order(lines))
+    rows = parse_feature_lines(with_file_order(lines))
+    return rows.select(*[c for c in rows.columns if c != config.ROW_ID_COL], config.ROW_ID_COL)
 
 
 def load_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -215,8 +216,8 @@ def load_two_file_layout(spark: SparkSession, features_path: str, labels_path: s
     labs = load_labels(spark, labels_path)
     n_f, n_l = feats.count(), labs.count()
     if n_f != n_l:
-        raise ValueError(f"Row count mismatch: {features_path} has {n_f} rows but {labels_path} has {n_l}: rows are matched by place, "
-                         "so the two must be equal")
+        raise ValueError(f"files are matched by place and must be equally long. Row count mismatch: {n_f} in {features_path}, "
+                         f"{n_l} in {labels_path}")
     merged = labs.join(feats, config.ROW_ID_COL, "inner")
     merged = convert_labels(merged)
     names = [c for c in feats.columns if c.startswith(config.FEATURE_PREFIX)]

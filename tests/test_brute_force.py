@@ -75,13 +75,13 @@ def test_missing_indicator_fill(spark):
 def test_minority_knn_matches_numpy(spark):
     from pyspark.ml.feature import VectorAssembler
 
-    from sensor_yield.operators.resample import minority_knn
+    from sensor_yield.operators.knn import neighbours
     rng = np.random.default_rng(12)
     x = rng.normal(size=(40, 3))
     pdf = pd.DataFrame(x, columns=["a", "b", "c"])
     pdf["row_id"] = np.arange(40)
     df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(spark.createDataFrame(pdf))
-    got = minority_knn(df, "row_id", "features", 4).toPandas().sort_values(["qid", "nb_rank"])
+    got = neighbours(df, "row_id", "features", 4).toPandas().sort_values(["qid", "nb_rank"])
     d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
     exp = np.argsort(d, axis=1, kind="stable")[:, :4]

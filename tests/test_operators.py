@@ -211,7 +211,8 @@ def test_monotonic_check(spark):
 def test_smote_balances_and_interpolates(spark):
     from pyspark.ml.feature import VectorAssembler
 
-    from sensor_yield.operators.resample import minority_knn, smote
+    from sensor_yield.operators.knn import neighbours
+    from sensor_yield.operators.resample import smote
     rng = np.random.default_rng(7)
     n = 120
     x = rng.normal(size=(n, 3))
@@ -239,8 +240,8 @@ def test_smote_balances_and_interpolates(spark):
                         ok = True
         assert ok
     mins_df = df.where("Pass_Fail = 1")
-    a = minority_knn(mins_df, "row_id", "features", 5).toPandas().sort_values(["qid", "nb_rank"])
-    b = minority_knn(mins_df, "row_id", "features", 5, n_blocks=3).toPandas().sort_values(["qid", "nb_rank"])
+    a = neighbours(mins_df, "row_id", "features", 5).toPandas().sort_values(["qid", "nb_rank"])
+    b = neighbours(mins_df, "row_id", "features", 5, block_rows=3, pivots=4).toPandas().sort_values(["qid", "nb_rank"])
     assert a[["qid", "nb_rank", "nb_id"]].values.tolist() == b[["qid", "nb_rank", "nb_id"]].values.tolist()
 
 

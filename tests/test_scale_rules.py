@@ -114,17 +114,21 @@ def test_embedding_width_is_checked(spark, tmp_path):
 
 
 def test_neighbours_of_duplicates_do_not_depend_on_row_order(spark):
-    from sensor_yield.operators.resample import _topk, minority_knn
+    from pyspark.ml.linalg import Vectors
+
+    from sensor_yield.operators.knn import nearest, neighbours
 
     rng = np.random.default_rng(4)
     x = np.repeat(rng.normal(size=(40, 3)), 4, axis=0)
     ids = np.arange(len(x), dtype=np.int64)
     want = [sorted(((x[i] - x[j]) @ (x[i] - x[j]), j) for j in range(len(x)) if j != i)[:5] for i in range(len(x))]
     for order in (ids, ids[::-1], rng.permutation(ids)):
-        q, rank, near, _ = _topk(order, x[order], order, x[order], 5)
-        assert {(a, b): c for a, b, c in zip(q, rank, near, strict=True)} == {
-            (i, r): j for i, w in enumerate(want) for r, (_, j) in enumerate(w)}
-    from pyspark.ml.linalg import Vectors
+        q, _, near = nearest(order, x[order], order, x[order], 6)
+        got = {}
+        for a, b in zip(q, near, strict=True):
+            got.setdefault(a, []).extend([b] if a != b else [])
+        assert {i: near[:5] for i, near in got.items()} == {i: [j for _, j in w] for i, w in enumerate(want)}
     df = spark.createDataFrame([(int(i), Vectors.dense(x[i])) for i in ids], ["id", "v"])
-    whole, blocked = (minority_knn(df, "id", "v", 5, n_blocks=b).orderBy("qid", "nb_rank").collect() for b in (None, 3))
-    assert whole == blocked
+    for block_rows, pivots in ((2048, 32), (7, 5), (10, 1)):
+        rows = neighbours(df, "id", "v", 5, block_rows, pivots).orderBy("qid", "nb_rank").collect()
+        assert [(r.qid, r.nb_rank, r.nb_id) for r in rows] == [(i, k, j) for i, w in enumerate(want) for k, (_, j) in enumerate(w)]
