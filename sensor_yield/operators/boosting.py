@@ -5,8 +5,9 @@ Second-order boosting of the logistic loss on histograms:
 1. candidate thresholds per feature: all distinct values where there are at most ``maxBins``, else
    quantiles; a row becomes one binary column of bin numbers, 0 for a missing value;
 2. per tree level one job: every task adds its rows' gradients and hessians into (node, feature, bin) sums
-   with numpy, Spark adds these up, and running sums over a (node, feature)'s bins give the gain of every
-   threshold with the missing rows on the right and on the left. The driver sees one best split per node;
+   with numpy; these are dealt by feature, added up, and running sums over the bins give the gain of every
+   threshold with the missing rows on the right and on the left. The driver sees one best split per node
+   and task;
 3. the children's sums are their leaf values, so a tree of depth d takes d jobs. Margins are recomputed from
    the trees since they were last written (every ``REFRESH`` trees).
 
@@ -29,7 +30,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensor_yield import config
@@ -41,6 +42,8 @@ REFRESH = 25
 #: Rows that a task adds at once; their sums stay exact in double.
 CHUNK = 4096
 HISTOGRAM = "node int, feature int, bin int, g bigint, h bigint, n bigint"
+SPLITS = ("node int, feature int, bin int, missing_left boolean, gain double, g_left double, h_left double, g_right double, "
+          "h_right double, n_left bigint, n_right bigint")
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -136,39 +139,39 @@ def _histogram(trees: list[Tree], tree: Tree, active: list[int], d: int, width:
     return fold
 
 
-def split_gains(histogram: DataFrame, scale: float, reg_lambda: float, min_child_weight: float) -> DataFrame:
-    """Every admissible split: node, feature, bin (the last one on the left), missing_left, gain and the sums of both
-    sides. ``histogram`` holds whole (node, feature, bin) sums; a window covers one feature of one node."""
-    w = Window.partitionBy("node", "feature")
-    up_to = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = {c: (F.sum(c).over(w), F.sum(F.when(F.col("bin") == 0, F.col(c)).otherwise(0)).over(w), F.sum(c).over(up_to))
-            for c in ("g", "h", "n")}
-    rows = histogram.select("node", "feature", "bin", *[
-        x.alias(f"{c}_{name}") for c, parts in sums.items() for name, x in zip(("all", "missing", "upto"), parts)])
-
-    def side(missing_left: bool):
-        left = {c: F.col(f"{c}_upto") - (F.lit(0) if missing_left else F.col(f"{c}_missing")) for c in sums}
-        return F.struct(F.lit(missing_left).alias("missing_left"), *[left[c].alias(f"{c}_left") for c in sums],
-                        *[(F.col(f"{c}_all") - left[c]).alias(f"{c}_right") for c in sums])
-
-    # a feature without missing values has the same two sides twice
-    both = F.when(F.col("n_missing") > 0, F.array(side(False), side(True))).otherwise(F.array(side(False)))
-    rows = (rows.where("bin > 0").select("node", "feature", "bin", F.explode(both).alias("s"))
-            .select("node", "feature", "bin", "s.*").where("n_left > 0 AND n_right > 0"))
-    real = {c: F.col(c) / F.lit(scale) for c in ("g_left", "h_left", "g_right", "h_right")}
-    score = lambda g, h: g * g / (h + F.lit(reg_lambda))
-    gain = 0.5 * (score(real["g_left"], real["h_left"]) + score(real["g_right"], real["h_right"])
-                  - score(real["g_left"] + real["g_right"], real["h_left"] + real["h_right"]))
-    return rows.select("node", "feature", "bin", "missing_left", gain.alias("gain"), "n_left", "n_right",
-                       *[x.alias(c) for c, x in real.items()]).where(
-        (F.col("h_left") >= min_child_weight) & (F.col("h_right") >= min_child_weight))
-
-
-def best_splits(gains: DataFrame) -> DataFrame:
-    """The best split of every node."""
-    rank = F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"), (~F.col("missing_left")).alias("r"))
-    return gains.groupBy("node").agg(F.max_by(F.struct(*[c for c in gains.columns if c != "node"]), rank).alias("s")) \
-        .select("node", "s.*")
+def _splits(nodes: int, d: int, width: int, scale: float, reg_lambda: float, min_child_weight: float, best_only: bool):
+    """Admissible splits of the features whose (node, feature, bin) sums come to this task, or each node's best."""
+    def find(batches):
+        sums = np.zeros((3, nodes * d * width), np.int64)
+        for batch in batches:
+            node, feature, bin_ = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+            for i in range(3):
+                np.add.at(sums[i], (node * d + feature) * width + bin_, batch.column(3 + i).to_numpy())
+        cells = sums.reshape(3, nodes, d, width)
+        whole, missing = cells.sum(axis=3, keepdims=True), cells[..., :1]
+        up_to = np.cumsum(cells[..., 1:], axis=3)
+        # the last axis: missing values on the right, on the left
+        left = np.stack([up_to, up_to + missing], axis=-1)
+        right = whole[..., None] - left
+        (gl, hl, nl), (gr, hr, nr) = ((x[0] / scale, x[1] / scale, x[2]) for x in (left, right))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = 0.5 * (gl * gl / (hl + reg_lambda) + gr * gr / (hr + reg_lambda)
+                          - (gl + gr) ** 2 / (hl + hr + reg_lambda))
+        able = (cells[2, ..., 1:, None] > 0) & (nl > 0) & (nr > 0) & (hl >= min_child_weight) & (hr >= min_child_weight)
+        able[..., 1] &= missing[2] > 0  # else both sides are the same
+        if best_only:
+            flat = np.where(able, gain, -np.inf).reshape(nodes, -1)
+            best = flat.argmax(axis=1)  # the first of equals
+            at = np.ravel_multi_index((np.arange(nodes), best), flat.shape)[np.isfinite(flat.max(axis=1))]
+        else:
+            at = np.flatnonzero(able)
+        node, feature, bin_, side = np.unravel_index(at, able.shape)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(x.astype(np.int32)) for x in (node, feature, bin_ + 1)), pa.array(side == 1),
+             *(pa.array(x.ravel()[at]) for x in (gain, gl, hl, gr, hr, nl, nr))],
+            names=["node", "feature", "bin", "missing_left", "gain", "g_left", "h_left", "g_right", "h_right", "n_left", "n_right"])
+
+    return find
 
 
 class HistogramBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
@@ -224,7 +227,7 @@ class HistogramBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, Default
         width = 2 + max(map(len, cuts), default=0)
         if not d or not n:
             return self._model([], cuts)
-        data = binned(rows, cuts).withColumn("margin", F.lit(0.0)).persist()
+        data = cut_lineage(binned(rows, cuts).withColumn("margin", F.lit(0.0))).persist()
         trees: list[Tree] = []
         written = 0
         try:
@@ -238,11 +241,13 @@ class HistogramBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, Default
             data.unpersist()
         return self._model(trees, cuts)
 
-    def histogram(self, data: DataFrame, trees: list[Tree], tree: Tree, active: list[int], round_: int, d: int, width: int,
-                  scale: float) -> DataFrame:
+    def splits(self, data: DataFrame, trees: list[Tree], tree: Tree, active: list[int], round_: int, d: int, width: int,
+               scale: float, best_only: bool) -> DataFrame:
+        """Splits of the ``active`` leaves of ``tree`` after ``trees``: all, or the best ones of each task."""
         seed = self.getSeed() * 1_000_003 + round_
         parts = data.mapInArrow(_histogram(trees, tree, active, d, width, scale, self._get("subsamplingRate"), seed), HISTOGRAM)
-        return parts.groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+        find = _splits(len(active), d, width, scale, self._get("regLambda"), self._get("minChildWeight"), best_only)
+        return parts.repartition("feature").mapInArrow(find, SPLITS)
 
     def root_splits(self, df: DataFrame) -> DataFrame:
         """Every admissible split of the first tree's first node; ``threshold`` is NULL where all present values go left."""
@@ -250,8 +255,7 @@ class HistogramBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, Default
         cuts = threshold_candidates(rows, self._get("maxBins"))
         scale, width = self.scale_of(n, most), 2 + max(map(len, cuts), default=0)
         data = binned(rows, cuts).withColumn("margin", F.lit(0.0))
-        gains = split_gains(self.histogram(data, [], new_tree(), [0], 0, len(cuts), width, scale), scale,
-                            self._get("regLambda"), self._get("minChildWeight"))
+        gains = self.splits(data, [], new_tree(), [0], 0, len(cuts), width, scale, False)
         # at most maxBins thresholds per feature
         names = df.sparkSession.createDataFrame([(f, b, c) for f, each in enumerate(cuts) for b, c in enumerate(each, 1)],
                                                 "feature int, bin int, threshold double")
@@ -262,9 +266,12 @@ class HistogramBoosting(Estimator, HasFeaturesCol, HasLabelCol, HasSeed, Default
         tree, active = new_tree(), [0]
         lam, eta = self._get("regLambda"), self._get("stepSize")
         for _ in range(self._get("maxDepth")):
-            gains = split_gains(self.histogram(data, trees, tree, active, round_, d, width, scale), scale, lam,
-                                self._get("minChildWeight"))
-            best = {r.node: r for r in best_splits(gains).collect()}  # one row per open node
+            best: dict = {}
+            for r in self.splits(data, trees, tree, active, round_, d, width, scale, True).collect():  # per open node and task
+                key = (-r.gain, r.feature)
+                if r.node not in best or key < best[r.node][0]:
+                    best[r.node] = (key, r)
+            best = {node: r for node, (_, r) in best.items()}
             grown = []
             for i, node in enumerate(active):
                 s = best.get(i)
