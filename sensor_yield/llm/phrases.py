@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,6 @@ SHARD_BYTES = 14 << 20
 FILTER_BITS = 1 << 28
 BITS_PER_PHRASE = 16
 PROBES = 4
-#: Rows of a part when the first ones of a language are taken.
-PART_ROWS = 100_000
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = bytes.maketrans(bytes(range(65, 91)) + BREAKS + b"\t", bytes(range(97, 123)) + b"\n" * len(BREAKS) + b" ")
@@ -188,7 +187,11 @@ class Filter:
 def _counted(k: int, filters: dict[int, Filter]):
     """Phrases of ``k`` words with their counts in each shard, by word numbers of all shards."""
     def allowed(words: np.ndarray) -> np.ndarray:
-        held = filters.get(words.shape[1] - 1)
+        """Whether phrases may be frequent: by their own filter, else by that of their first and last words."""
+        size = words.shape[1]
+        if size in filters and len(words):
+            return filters[size].holds(words)
+        held = filters.get(size - 1)
         if held is None or not len(words):
             return np.ones(len(words), bool)
         ok = held.holds(words[:, :-1])
@@ -323,8 +326,9 @@ def _in_words(level: DataFrame, k: int, words: DataFrame) -> DataFrame:
 
 
 def first_of(rows: DataFrame, group: str, order: list[Column], tie: str, top: int) -> DataFrame:
-    """The first ``top`` rows of each group with their ``rank``: in parts by hash first, so that no group meets in a task."""
-    parts = max(1, -(-rows.count() // PART_ROWS))
+    """The first ``top`` rows of each group with their ``rank``: in parts by hash first, then the parts' first ones. With
+    sqrt(rows / top) parts both steps hold sqrt(rows x top) rows of a group at most."""
+    parts = max(1, isqrt(rows.count() // top))
     salted = rows.withColumn("__part", F.pmod(F.xxhash64(tie), F.lit(parts)))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     inside = salted.withColumn("rank", rank(group, "__part")).where(F.col("rank") <= top).drop("rank", "__part")
