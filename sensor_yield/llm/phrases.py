@@ -39,8 +39,8 @@ from sensor_yield.llm.files import resolve, text_bytes
 from sensor_yield.llm.phrase_index import BidirectionalIndex
 from sensor_yield.operators.ordering import ordinal_within_group
 
-#: Bytes of text in a shard: some two million words.
-SHARD_BYTES = 14 << 20
+#: Bytes of text in a shard: some million words.
+SHARD_BYTES = 7 << 20
 FILTER_BITS = 1 << 28
 BITS_PER_PHRASE = 16
 PROBES = 4
@@ -180,8 +180,11 @@ class Filter:
         return cache[key]
 
     def holds(self, words: np.ndarray) -> np.ndarray:
-        at, bits = probes(words, self.bits), self.array()
-        return ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
+        bits, out = self.array(), np.ones(len(words), bool)
+        for s in range(0, len(words), 1 << 16):
+            at = probes(words[s:s + (1 << 16)], self.bits)
+            out[s:s + (1 << 16)] = ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
+        return out
 
 
 def _counted(k: int, filters: dict[int, Filter]):
