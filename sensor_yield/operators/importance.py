@@ -1,11 +1,12 @@
 """Permutation importance, attributions and feature ranking.
 
 importance(f) = AP(baseline) - mean over repeats of AP(scores with column f
-permuted), on held-out rows. All (feature, repeat) pairs of a batch are scored by
-ONE ``model.transform`` over a replicated table: rows x batch copies, each copy
-with its feature replaced by the value found at its md5-shuffled position. Batches
-are sized so that rows x batch stays under a bound. Columns that the fitted
-pipeline drops cannot change a score; they get importance 0 without scoring.
+permuted), on held-out rows. Rows are numbered once; a keyed bijection of their
+positions (``functions.bijection``, one key per feature and repeat) says where a row's
+value goes, so a repeat needs no sort. Only (position, value) pairs are shuffled; they
+come back as one array per row, and the copies that one ``model.transform`` scores are
+made next to it and not moved. Batches keep rows x batch under a bound. Columns that
+the fitted pipeline drops cannot change a score; they get importance 0 without scoring.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensor_yield import config
+from sensor_yield.functions.bijection import bijection, code_of
 from sensor_yield.operators.boosting import HistogramBoostingModel
 from sensor_yield.operators.evaluation import ranking_metrics
 from sensor_yield.operators.models import positive_probability
@@ -27,6 +29,8 @@ from sensor_yield.operators.splits import sample_rows
 from sensor_yield.operators.trees import attributions, expected_value, spark_trees
 
 MAX_REPLICATED_ROWS = 50_000_000
+#: (feature, repeat) pairs scored together: the length of a row's array of incoming values.
+MAX_BATCH = 256
 
 
 def used_features(model: PipelineModel, cols: Sequence[str]) -> list[str]:
@@ -54,27 +58,22 @@ def permutation_importance(model: PipelineModel, df: DataFrame, id_col: str, lab
     n_rows = base.count()
     active = used_features(model, cols)
     pairs = [(f, r) for f in active for r in range(repeats)]
-    batch = max(1, min(len(pairs), max_rows // max(n_rows, 1)))
-
-    natural = ordinal_within_group(base.select(id_col), [], [id_col], out_col="__pos")
-    nat_long = (base.select(id_col, *[F.col(c).cast("double").alias(c) for c in active])
-                .unpivot([id_col], active, "__f", "__v").join(natural, id_col).select("__f", "__pos", "__v")) \
-        if active else None
+    batch = max(1, min(len(pairs), MAX_BATCH, max_rows // max(n_rows, 1)))
+    numbered = ordinal_within_group(base, [], [id_col], out_col="__pos").withColumn("__pos", F.col("__pos") - 1)
     results = []
     for s in range(0, len(pairs), batch):
-        # each row is copied once per (feature, repeat) of the batch (bounded by max_rows)
-        copies = F.explode(F.array(*[F.struct(F.lit(f).alias("__f"), F.lit(r).alias("__r"))
-                                     for f, r in pairs[s:s + batch]])).alias("__p")
-        rep = base.select("*", copies).select(*base.columns, "__p.__f", "__p.__r")
-        keyed = rep.select(id_col, "__f", "__r", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__f"),
-                                                                   F.col("__r").cast("string"),
-                                                                   F.col(id_col).cast("string"))).alias("__key"))
-        shuffled = ordinal_within_group(keyed, ["__f", "__r"], ["__key", id_col], out_col="__pos")
-        moved = shuffled.join(nat_long, ["__f", "__pos"]).select(id_col, "__f", "__r", "__v")
-        swapped = rep.join(moved, [id_col, "__f", "__r"])
-        swapped = swapped.select(id_col, label_col, "__f", "__r", *[
-            F.when(F.col("__f") == c, F.col("__v")).otherwise(F.col(c).cast("double")).alias(c) for c in cols])
-        scored = model.transform(swapped).select("__f", "__r", label_col, score)
+        part = pairs[s:s + batch]
+        entries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(code_of(seed, f, r)).alias("code"),
+                                     F.col(f).cast("double").alias("v")) for i, (f, r) in enumerate(part)])
+        sent = (numbered.select("__pos", F.explode(entries).alias("e"))
+                .select(bijection(F.col("__pos"), F.col("e.code"), n_rows).alias("__pos"), "e.i", "e.v"))
+        swaps = sent.groupBy("__pos").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("__swaps"))
+        index = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for f, r in part])
+        copies = (numbered.join(swaps, "__pos").select(*base.columns, F.explode("__swaps").alias("__s"))
+                  .select(*base.columns, F.col("__s.v").alias("__v"), index[F.col("__s.i")].alias("__p"))
+                  .select(label_col, F.col("__p.f").alias("__f"), F.col("__p.r").alias("__r"), id_col, *[
+                      F.when(F.col("__p.f") == c, F.col("__v")).otherwise(F.col(c).cast("double")).alias(c) for c in cols]))
+        scored = model.transform(copies).select("__f", "__r", label_col, score)
         results.append(ranking_metrics(scored, label_col, "__score", ["__f", "__r"]))
     names = spark.createDataFrame([(c,) for c in cols], "feature_name string")
     if not results:

@@ -3,8 +3,8 @@ P05-P12, W01, J02-J05, U01).
 
 The scored set is the events table with the fixed ``ValueRatioScore`` rule as the
 model (an ``ExpressionScorer`` stage), an exact stratified split, and the master
-table built from them. Only ``feature_000`` feeds the rule, so it is the only
-feature whose permutation importance is computed (the others are exactly 0).
+table built from them. Permutation importance is that of a second rule that reads three
+sensors (the others are exactly 0).
 Views that show chosen sensors take the sensor list as an explicit input, as
 the dashboard's sensor selector does.
 """
@@ -15,6 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from sensor_yield import config
+from sensor_yield.functions.bijection import bijection_ctes, code_of
 from sensor_yield.operators import dashboard as db
 from sensor_yield.operators import evaluation as ev
 from sensor_yield.operators.importance import permutation_importance, rank_features
@@ -28,6 +29,18 @@ from sensor_yield.sources import driver_tables as D
 EV = D.EVENT_FEATURES
 MODEL = D.EVENT_MODEL_NAME
 SCORE_EXPR = "floor(feature_000) / (floor(feature_000) + 50.0)"
+#: The rule whose importances are shown: value, hour and whether a third sensor is missing.
+RULE_COLS = ["feature_000", "feature_002", "feature_003"]
+RULE_SUM = "(floor({feature_000}) + 3 * {feature_002} + CASE WHEN {feature_003} IS NULL THEN 0 ELSE 100 END)"
+
+
+def rule_sql(**columns: str) -> str:
+    total = RULE_SUM.format(**{c: columns.get(c, c) for c in RULE_COLS})
+    return f"CAST({total} AS DOUBLE) / ({total} + 150.0)"
+
+
+def importance_model() -> PipelineModel:
+    return PipelineModel(stages=[ExpressionScorer(expression=rule_sql(), usedCols=RULE_COLS)])
 
 
 def event_model() -> PipelineModel:
@@ -55,7 +68,7 @@ def event_kpis(spark, sf_dir):
 def event_importance(spark, sf_dir):
     b = event_split(spark, sf_dir)
     test = b.where(F.col("dataset_split") == "test")
-    return rank_features(permutation_importance(event_model(), test, config.ROW_ID_COL, config.LABEL_COL, EV))
+    return rank_features(permutation_importance(importance_model(), test, config.ROW_ID_COL, config.LABEL_COL, EV))
 
 
 def event_summary(spark, sf_dir):
@@ -94,19 +107,17 @@ def _lv(name: str, src: str, group: str | None = None) -> str:
 
 
 _FEATURE_VALUES = ", ".join(f"('{c}')" for c in EV)
+_CODES = ", ".join(f"('{f}', {r}, {code_of(config.SEED, f, r)}::BIGINT)" for f in RULE_COLS for r in range(config.PERMUTATION_REPEATS))
+_SWAPPED = {c: f"CASE WHEN moved.f = '{c}' THEN src.{c} ELSE dst.{c} END" for c in RULE_COLS}
 _IMPORTANCE = [
-    "test AS (SELECT * FROM split WHERE dataset_split = 'test')",
-    "tscore AS (SELECT Pass_Fail, fail_probability AS score FROM test)",
+    "test AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM split WHERE dataset_split = 'test')",
+    f"tscore AS (SELECT Pass_Fail, {rule_sql()} AS score FROM test)",
     _lv("base_ap", "tscore"),
-    "nat AS (SELECT feature_000 AS v, row_number() OVER (ORDER BY row_id) AS pos FROM test)",
-    f"""perm AS (SELECT t.r, s.Pass_Fail,
-        row_number() OVER (PARTITION BY t.r ORDER BY md5('{config.SEED}:feature_000:' || CAST(t.r AS VARCHAR) || ':'
-                                                          || CAST(s.row_id AS VARCHAR)), s.row_id) AS pos
-        FROM test s, range({config.PERMUTATION_REPEATS}) t(r))""",
-    "pscore AS (SELECT perm.r, perm.Pass_Fail, floor(nat.v) / (floor(nat.v) + 50.0) AS score "
-    "FROM perm JOIN nat USING (pos))",
-    _lv("perm_ap", "pscore", "r"),
-    "imp0 AS (SELECT 'feature_000' AS feature_name, (SELECT ap FROM base_ap) - avg(ap) AS importance FROM perm_ap)",
+    *bijection_ctes("SELECT count(*) FROM test", f"SELECT * FROM (VALUES {_CODES}) c(f, r, code)", "f, r"),
+    f"""pscore AS (SELECT moved.f, moved.r, dst.Pass_Fail, {rule_sql(**_SWAPPED)} AS score
+        FROM moved JOIN test src ON src.pos = moved.x JOIN test dst ON dst.pos = moved.p)""",
+    _lv("perm_ap", "pscore", "f, r"),
+    "imp0 AS (SELECT f AS feature_name, (SELECT ap FROM base_ap) - avg(ap) AS importance FROM perm_ap GROUP BY f)",
     f"allf AS (SELECT f AS feature_name FROM (VALUES {_FEATURE_VALUES}) t(f))",
     "imp1 AS (SELECT allf.feature_name, coalesce(imp0.importance, 0.0) AS importance "
     "FROM allf LEFT JOIN imp0 USING (feature_name))",
@@ -123,7 +134,7 @@ def _profile_ctes() -> list[str]:
 
 
 def _base(*extra: str) -> str:
-    return with_ctes(S.EVENT_SCORES, _SPLIT, *extra)
+    return with_ctes(S.EVENT_SCORES, _SPLIT, *extra).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 _MASTER_COLS = ", ".join(
