@@ -148,6 +148,20 @@ def q_duplicate_conversation_rows(spark, sf_dir):
     return prof.duplicate_rows(D.load_table(spark, sf_dir, "conversations"), ["role", "text"])
 
 
+_COARSE = "CASE WHEN CAST(x AS DOUBLE) > 0.25 THEN NULL ELSE round(CAST(x AS DOUBLE) * 2) END"
+
+
+@register("duplicate_embedding_rows", f"""
+SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicate_rows, CAST(count(*) AS BIGINT) AS n_distinct_rows
+FROM (SELECT count(*) AS c FROM (SELECT list_transform(embedding, lambda x: {_COARSE}) AS v FROM embeddings) GROUP BY v)""")
+def q_duplicate_embedding_rows(spark, sf_dir):
+    """A04 over whole feature vectors: every embedding value coarsened to few values, the largest missing."""
+    df = D.embedding_sensors(spark, sf_dir)
+    cols = [c for c in df.columns if c.startswith(config.FEATURE_PREFIX)]
+    coarse = df.select(*[F.expr(_COARSE.replace("x", c)).alias(c) for c in cols])
+    return prof.duplicate_rows(coarse, cols)
+
+
 @register("duplicate_event_rows", """
 SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicate_rows, CAST(count(*) AS BIGINT) AS n_distinct_rows
 FROM (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY user_id, event_type)""")
