@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sensor_yield import config
 from sensor_yield.operators.profile import column_stats, feature_profile
-from sensor_yield.operators.quantiles import exact_medians
+from sensor_yield.operators.quantiles import approximate_medians, exact_medians
 
 
 def _feature_cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
@@ -138,16 +138,21 @@ class FillModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
 class MedianImputer(Estimator, _FeatureStage, DefaultParamsReadable, DefaultParamsWritable):
     """Exact median per column on the fit rows (mean of the middle pair for
-    even counts); a column with no values is dropped."""
+    even counts), or with ``approximate`` the median of a bounded sketch, in one scan;
+    a column with no values is dropped."""
+
+    approximate = Param(Params._dummy(), "approximate", "median of a bounded sketch", TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, inputCols: list[str] | None = None):
+    def __init__(self, inputCols: list[str] | None = None, approximate: bool = False):
         super().__init__()
+        self._setDefault(approximate=False)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> FillModel:
         cols = self._inputs(df)
-        med = {r["feature_name"]: r["median"] for r in exact_medians(df, cols).collect()}
+        medians = approximate_medians if self.getOrDefault(self.approximate) else exact_medians
+        med = {r["feature_name"]: r["median"] for r in medians(df, cols).collect()}
         have = [c for c in cols if med.get(c) is not None]
         return FillModel(cols=have, values=[float(med[c]) for c in have],
                          droppedCols=[c for c in cols if c not in have])

@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,7 @@ from sensor_yield.operators import evaluation as ev
 from sensor_yield.operators.importance import feature_importance, rank_features
 from sensor_yield.operators.models import Candidate, build_candidates, positive_probability
 from sensor_yield.operators.splits import stratified_folds, stratified_split
+from sensor_yield.plans.shared_fits import SharedFits
 from sensor_yield.session import cut_lineage
 
 SCORE = "fail_probability"
@@ -52,28 +53,23 @@ def score_rows(model, df: DataFrame, id_col: str = config.ROW_ID_COL) -> DataFra
 
 def random_search(cand: Candidate, train: DataFrame, id_col: str, label_col: str = config.LABEL_COL,
                   n_iter: int = config.N_RANDOM_SEARCH_ITER, k: int = config.CV_FOLDS,
-                  seed: int = config.SEED, parallelism: int = 4) -> SearchResult:
-    """Settings x folds fits; the fold-level preprocessing is fitted once per
-    fold and its outputs cached (it does not depend on the classifier settings);
+                  seed: int = config.SEED, parallelism: int = 4, fits: SharedFits | None = None) -> SearchResult:
+    """Settings x folds fits; preprocessing is fitted once per fold (it does not depend on the
+    classifier settings) and, with ``fits`` over the same folds, once for all candidates that begin alike;
     all fold scores are evaluated in one grouped plan; the best setting by mean
     CV PR-AUC (first setting wins ties) is refitted on the whole training set."""
+    if fits is None:
+        own = shared_fits(train, id_col, label_col, k, seed)
+        try:
+            return random_search(cand, train, id_col, label_col, n_iter, k, seed, parallelism, own)
+        finally:
+            own.close()
     settings = cand.settings(n_iter, seed)
-    folded = stratified_folds(train, id_col, label_col, k, seed)
-    cached = []
 
     def run_fold(f: int) -> list[DataFrame]:
-        fit_rows = folded.where(F.col("fold") != f).drop("fold")
-        val_rows = folded.where(F.col("fold") == f).drop("fold")
-        pre = Pipeline(stages=cand.pre()).fit(fit_rows)
-        tr = pre.transform(fit_rows).cache()
-        va = pre.transform(val_rows).cache()
-        cached.extend([tr, va])
-        parts = []
-        for i, p in enumerate(settings):
-            m = cand.clf(p).fit(tr)
-            parts.append(_score(m, va, id_col, label_col).withColumn("setting", F.lit(i))
-                         .withColumn("fold", F.lit(f)))
-        return parts
+        _, tr, va = fits.prepared(f, cand.pre())
+        return [_score(cand.clf(p).fit(tr), va, id_col, label_col).withColumn("setting", F.lit(i)).withColumn("fold", F.lit(f))
+                for i, p in enumerate(settings)]
 
     # folds are independent: their fits run as concurrent Spark jobs
     with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism))) as pool:
@@ -84,8 +80,6 @@ def random_search(cand: Candidate, train: DataFrame, id_col: str, label_col: str
     fold_metrics = ev.metrics_at_threshold(scores, label_col, SCORE, config.DEFAULT_DECISION_THRESHOLD,
                                            ["setting", "fold"])
     summary = ev.cv_summary(fold_metrics, ["setting"], list(METRICS)).collect()
-    for c in cached:
-        c.unpersist()
     table: dict[int, dict[str, dict[str, float]]] = {}
     for r in summary:
         table.setdefault(r["setting"], {})[r["metric"]] = {"mean": r["mean"], "std": r["std"]}
@@ -95,10 +89,17 @@ def random_search(cand: Candidate, train: DataFrame, id_col: str, label_col: str
         return (-(m if m is not None else float("-inf")), i)
 
     best = min(range(len(settings)), key=key)
-    model = cand.build(settings[best]).fit(train)
+    models, whole, _ = fits.prepared(None, cand.pre())
+    model = PipelineModel(stages=[*models, cand.clf(settings[best]).fit(whole)])
     return SearchResult(cand.name, settings[best], table.get(best, {}), model, settings)
 
 
+def shared_fits(train: DataFrame, id_col: str, label_col: str = config.LABEL_COL, k: int = config.CV_FOLDS,
+                seed: int = config.SEED) -> SharedFits:
+    """Stratified folds of the training rows, assigned once, with the fits made on them."""
+    return SharedFits(cut_lineage(stratified_folds(train, id_col, label_col, k, seed)))
+
+
 def run_training(df: DataFrame, id_col: str = config.ROW_ID_COL, label_col: str = config.LABEL_COL,
                  feature_cols: list[str] | None = None, candidates: list[Candidate] | None = None,
                  n_iter: int = config.N_RANDOM_SEARCH_ITER, k: int = config.CV_FOLDS, seed: int = config.SEED,
@@ -118,10 +119,14 @@ def run_training(df: DataFrame, id_col: str = config.ROW_ID_COL, label_col: str
     test = split.where(F.col("dataset_split") == "test").drop("dataset_split")
     candidates = candidates or build_candidates(seed)
 
-    # candidates are independent: their searches run as concurrent Spark jobs
-    with ThreadPoolExecutor(max_workers=max(1, min(len(candidates), parallelism))) as pool:
-        results = list(pool.map(lambda c: random_search(c, train, id_col, label_col, n_iter, k, seed, parallelism),
-                                candidates))
+    fits = shared_fits(train, id_col, label_col, k, seed)
+    try:
+        # candidates are independent: their searches run as concurrent Spark jobs
+        with ThreadPoolExecutor(max_workers=max(1, min(len(candidates), parallelism))) as pool:
+            results = list(pool.map(lambda c: random_search(c, train, id_col, label_col, n_iter, k, seed, parallelism, fits),
+                                    candidates))
+    finally:
+        fits.close()
     test_scores = None
     for r in results:
         s = _score(r.model, test, id_col, label_col).withColumn("model", F.lit(r.name))
