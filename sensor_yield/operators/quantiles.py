@@ -11,9 +11,10 @@ groups of every size:
    inside or above the bracket; a grouped count keeps one row for all below, one
    for all above (with their nearest value) and one per distinct value inside.
 
-Running counts over that table are exact ranks, so the order statistics are read
-off it. Inside a bracket lie about ``4 n / accuracy`` values of a group of n. Ranks
-that a bracket misses (beyond its neighbours) are counted, and only then are the
+Running counts over that table are exact ranks, in two steps: a bracket is cut into
+``CELLS`` cells of equal width, whose counts say which cell holds a rank, and only that
+cell's values are put in order. So no task orders a bracket (about ``4 n / accuracy`` values
+of a group of n), only its cells and the values of one. Ranks that a bracket misses (beyond its neighbours) are counted, and only then are the
 brackets widened, at last to the whole range.
 """
 
@@ -30,6 +31,7 @@ DEFAULT_ACCURACY = 10000
 #: Half widths of the brackets tried in turn, in sketch errors; the last is the whole range.
 WIDENINGS = (2.0, 16.0, None)
 BELOW, INSIDE, ABOVE = 0, 1, 2
+CELLS = 1024
 
 
 def exact_quantiles(df: DataFrame, value_col: str, group_cols: Sequence[str], probs: Sequence[float],
@@ -52,20 +54,32 @@ def _quantiles(vals: DataFrame, probs: list[float], accuracy: int, band: float |
     """g, n, q (array in the order of ``probs``, NULL where a bracket missed a rank)."""
     ends = [x for p in probs for x in ((0.0, 1.0) if band is None else (max(0.0, p - band), min(1.0, p + band)))]
     sketch = vals.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ends, accuracy).alias("e"))
-    brackets = sketch.select("g", "n", F.array(*[
+    brackets = sketch.select(F.col("g").alias("bg"), "n", F.array(*[
         F.struct(F.lit(i).alias("i"), F.element_at("e", 2 * i + 1).alias("lo"), F.element_at("e", 2 * i + 2).alias("hi"),
                  ((F.col("n") - 1) * F.lit(p)).alias("h")) for i, p in enumerate(probs)]).alias("b"))
-    placed = vals.join(brackets.select(F.col("g").alias("bg"), "b"), F.col("g").eqNullSafe(F.col("bg")))
-    side = F.when(F.col("v") < F.col("b.lo"), BELOW).when(F.col("v") > F.col("b.hi"), ABOVE).otherwise(INSIDE)
-    table = (placed.select("g", "v", F.explode("b").alias("b"))
-             .select("g", "v", "b.i", side.alias("side"))
-             .groupBy("g", "i", "side", F.when(F.col("side") == INSIDE, F.col("v")).alias("inside"))
+    placed = (vals.join(brackets, F.col("g").eqNullSafe(F.col("bg"))).select("g", "v", "n", F.explode("b").alias("b"))
+              .select("g", "v", "n", "b.*"))
+    side = F.when(F.col("v") < F.col("lo"), BELOW).when(F.col("v") > F.col("hi"), ABOVE).otherwise(INSIDE)
+    width = F.col("hi") - F.col("lo")
+    cell = F.when((F.col("side") == INSIDE) & (width > 0) & (width < float("inf")),
+                  F.floor((F.col("v") - F.col("lo")) / width * CELLS)).otherwise(F.lit(0).cast("bigint"))
+    rank_of = ["g", "n", "i", "h"]
+    place = ["side", "cell"]
+    table = (placed.withColumn("side", side).withColumn("cell", cell)
+             .groupBy(*rank_of, *place, F.when(F.col("side") == INSIDE, F.col("v")).alias("inside"))
              .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most")))
-    order = Window.partitionBy("g", "i").orderBy("side", "inside").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = table.withColumn("end", F.sum("c").over(order)).withColumn("start", F.col("end") - F.col("c"))
-    wanted = brackets.select(F.col("g").alias("bg"), "n", F.explode("b").alias("b")).select("bg", "n", "b.i", "b.h")
-    joined = ranked.join(wanted.withColumnRenamed("i", "bi"),
-                         F.col("g").eqNullSafe(F.col("bg")) & (F.col("i") == F.col("bi")))
+    up_to = lambda part, order: F.sum("c").over(
+        Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    cells = (table.groupBy(*rank_of, *place).agg(F.sum("c").alias("c")).withColumn("stop", up_to(rank_of, place))
+             .withColumn("before", F.col("stop") - F.col("c")))
+    holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("stop"))
+    wanted = cells.where(holds(F.floor("h")) | holds(F.ceil("h"))).select(
+        *[F.col(c).alias(f"w_{c}") for c in ("g", "i", *place)], "before")
+    ranked = (table.join(wanted, F.col("g").eqNullSafe(F.col("w_g")) & (F.col("i") == F.col("w_i"))
+                         & (F.col("side") == F.col("w_side")) & (F.col("cell") == F.col("w_cell")))
+              .repartition("g", "n")  # few rows by now: all further steps share this partitioning
+              .withColumn("end", F.col("before") + up_to([*rank_of, *place], ["inside"]))
+              .withColumn("start", F.col("end") - F.col("c")))
 
     def at(rank):
         """The value at a 0-based rank: inside the bracket, or its neighbour on either side."""
@@ -73,7 +87,7 @@ def _quantiles(vals: DataFrame, probs: list[float], accuracy: int, band: float |
                      .when((F.col("side") == BELOW) & (rank == F.col("end") - 1), F.col("most"))
                      .when((F.col("side") == ABOVE) & (rank == F.col("start")), F.col("least")))
 
-    picks = joined.groupBy("g", "i", "n", "h").agg(at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"))
+    picks = ranked.groupBy(*rank_of).agg(at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"))
     q = picks.select("g", "n", "i", (F.col("a") + (F.col("h") - F.floor("h")) * (F.col("b") - F.col("a"))).alias("q"))
     return q.groupBy("g", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
 
