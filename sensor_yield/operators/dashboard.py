@@ -134,22 +134,27 @@ def value_histogram(values: DataFrame, col: str, bins: int = config.MISSING_HIST
         (lo + (hi - lo) * (F.col("bin") + 1) / bins).alias("bin_end"), "n")
 
 
-def box_stats(rows: DataFrame, value_col: str, class_col: str = config.LABEL_TEXT_COL) -> DataFrame:
-    """Quartiles (linear), whiskers at 1.5 IQR (most extreme values
-    inside the fences) and outlier counts, per class."""
-    q = exact_quantiles(rows.select(F.col(class_col).alias("class"), F.col(value_col).alias("v")), "v",
-                        ["class"], [0.25, 0.5, 0.75])
-    q = q.select("class", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+def grouped_boxes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Box statistics of the column ``v`` per group: quartiles (linear), whiskers at 1.5 IQR (most extreme
+    values inside the fences) and outlier counts."""
+    keys = list(keys)
+    values = rows.select(*keys, F.col("v").cast("double").alias("v")).where(F.col("v").isNotNull())
+    q = exact_quantiles(values, "v", keys, [0.25, 0.5, 0.75])
+    q = q.select(*keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = rows.select(F.col(class_col).alias("class"), F.col(value_col).cast("double").alias("v")) \
-        .where(F.col("v").isNotNull()).join(q, "class")
+    j = values.join(q, keys)
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
-    w = j.groupBy("class").agg(
+    w = j.groupBy(*keys).agg(
         F.min(F.when(F.col("v") >= lo_f, F.col("v"))).alias("whisker_low"),
         F.max(F.when(F.col("v") <= hi_f, F.col("v"))).alias("whisker_high"),
         F.count_if((F.col("v") < lo_f) | (F.col("v") > hi_f)).cast("bigint").alias("n_outliers"))
-    return q.join(w, "class")
+    return q.join(w, keys)
+
+
+def box_stats(rows: DataFrame, value_col: str, class_col: str = config.LABEL_TEXT_COL) -> DataFrame:
+    """Box statistics of one sensor per class."""
+    return grouped_boxes(rows.select(F.col(class_col).alias("class"), F.col(value_col).alias("v")), ["class"])
 
 
 def confusion_text(rows: DataFrame) -> DataFrame:

@@ -49,4 +49,5 @@ def with_ctes(*ctes: str) -> str:
 
 
 # Importing the query modules fills the registries.
-from sensor_yield.plans import queries_eval, queries_load, queries_marts, queries_ml, queries_profile, queries_trees  # noqa: E402,F401
+from sensor_yield.plans import (queries_charts, queries_eval, queries_load, queries_marts, queries_ml,  # noqa: E402,F401
+                                queries_profile, queries_trees)

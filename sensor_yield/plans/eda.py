@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from sensor_yield import config
 from sensor_yield.operators import correlation as corr
@@ -54,3 +54,23 @@ def eda_summary(df: DataFrame, order_col: str = config.ROW_ID_COL, feature_cols:
     data.unpersist()
     return doc
 
+
+
+def document_rows(spark: SparkSession, doc: dict[str, Any]) -> DataFrame:
+    """The document's numbers as rows ``path, value``: nested names joined by dots; entries of a threshold list go
+    by their threshold, of other lists by their place."""
+    rows: list[tuple[str, float]] = []
+
+    def walk(path: str, value: Any) -> None:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                walk(f"{path}.{k}" if path else str(k), v)
+        elif isinstance(value, (list, tuple)):
+            for i, v in enumerate(value):
+                named = isinstance(v, dict) and "threshold" in v
+                walk(f"{path}.{v['threshold'] if named else i}", {k: x for k, x in v.items() if k != "threshold"} if named else v)
+        elif value is not None and not isinstance(value, str):
+            rows.append((path, float(value)))
+
+    walk("", doc)
+    return spark.createDataFrame(rows, "path string, value double")
