@@ -134,9 +134,11 @@ def sample_rows(df: DataFrame, id_col: str, n: int = config.ATTRIBUTION_SAMPLE_R
 
 def permute_column(df: DataFrame, id_col: str, col: str, salt: str, seed: int = config.SEED) -> DataFrame:
     """``col`` shuffled across rows: the value at natural position i (by id)
-    moves to the row whose md5 rank is i. Two distributed ordinals, one join."""
-    natural = ordinal_within_group(df.select(id_col, col), [], [id_col], out_col="__rank")
-    keyed = df.withColumn("__key", random_key(id_col, seed, salt=salt))
-    shuffled = ordinal_within_group(keyed.drop(col), [], ["__key", id_col], out_col="__rank")
-    moved = natural.select(F.col("__rank"), F.col(col))
-    return shuffled.join(moved, "__rank", "inner").drop("__rank", "__key")
+    moves to the row whose md5 rank is i. Ids, keys and the one column are ranked; whole rows
+    only meet their new value, by id."""
+    narrow = df.select(id_col, F.col(col).alias("__value"))
+    natural = ordinal_within_group(narrow, [], [id_col], out_col="__rank").select("__rank", "__value")
+    keyed = df.select(id_col, random_key(id_col, seed, salt=salt).alias("__key"))
+    shuffled = ordinal_within_group(keyed, [], ["__key", id_col], out_col="__rank").select(id_col, "__rank")
+    moved = shuffled.join(natural, "__rank").select(id_col, F.col("__value").alias(col))
+    return df.drop(col).join(moved, id_col)

@@ -70,6 +70,22 @@ def q_parsed_label_lines_iso(spark, sf_dir):
     return convert_labels(parse_label_lines(label_lines(spark, sf_dir, "yyyy-MM-dd HH:mm:ss"))).select(*_ORDER)
 
 
+#: Layouts besides the known ones; the first says only by its values that the month comes first.
+LAYOUTS = {"month_first": "MM/dd/yyyy HH:mm:ss", "dotted": "d.M.yyyy H:mm:ss", "named": "dd MMM yyyy hh:mm:ss a"}
+
+
+@register("inferred_time_layouts", " UNION ALL ".join(f"""
+SELECT '{name}' AS layout, event_id AS row_id, CASE WHEN event_id % 25 = 0 OR event_id % 31 = 0 THEN NULL
+       ELSE date_trunc('second', ts) END AS "Time" FROM events""" for name in LAYOUTS))
+def q_inferred_time_layouts(spark, sf_dir):
+    """times in three layouts that no known format reads; one format is learned for each column."""
+    out = None
+    for name, fmt in LAYOUTS.items():
+        times = parse_label_lines(label_lines(spark, sf_dir, fmt)).select(F.lit(name).alias("layout"), config.ROW_ID_COL, config.TIME_COL)
+        out = times if out is None else out.unionByName(times)
+    return out
+
+
 @register("joined_raw_layout", with_ctes(S.EMBEDDING_LONG) + f"""
 SELECT vec_id AS row_id, CAST(CASE WHEN vec_id % 4 = 0 THEN 1 ELSE -1 END AS INTEGER) AS Pass_Fail_Raw,
        CASE WHEN vec_id % 4 = 0 THEN 'Fail' ELSE 'Pass' END AS Pass_Fail_Label, count(v) AS n_present, {R('sum(v)')} AS total
