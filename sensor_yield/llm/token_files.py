@@ -8,8 +8,8 @@ Documents are ordered by id over range partitions; each partition writes one fil
     trailer  offset of the index, number of documents and of tokens, magic
 
 A reader needs the trailer, the index and the named dictionary to fetch any one document.
-The dictionary is trained on the serialized ids of ``sample_docs`` documents of at most
-``SAMPLE_CHARS`` characters, picked by hash: a bounded sample that concerns compression only.
+The dictionary is trained on the serialized ids of slices of ``SAMPLE_CHARS`` characters from ``sample_docs``
+documents of any length, picked by hash: a bounded sample that concerns compression only.
 
 Ids are computed per run of characters between ASCII white space and remembered, which gives
 the tokenizer's own ids wherever no token spans white space; ``encoder`` refuses tokenizers
@@ -46,8 +46,9 @@ TRAILER, TRAILER_BYTES = "<QQQ8s", 32
 DICTIONARY_BYTES = 32 << 10
 SAMPLE_CHARS = 8192
 SPAN_BYTES = 4 << 20
-#: Remembered runs per Python process, in each of two generations (some 100 MB).
-MEMORY_RUNS = 400_000
+#: Remembered runs per Python process, in each of two generations, and their greatest length: 100 MB for words,
+#: 150 MB where all are as long as that.
+MEMORY_RUNS, MEMORY_BYTES = 400_000, 64
 #: Signs that may follow a word: with a letter or digit before them they are a piece of their own.
 TAIL = ".,;:!?#$%&*"
 #: Letters before this one have one form and simple lower case.
@@ -76,14 +77,17 @@ def encoder(tokenizer_path: str) -> tuple[Callable[[list[bytes]], list[bytes]],
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
     def of_core(core: str) -> bytes:
-        if core not in held["cores"]:
+        ids = held["cores"].get(core)
+        if ids is None:
             if core.isalpha() and max(core) < LATIN:
                 # lower-case Latin letters are one piece, of which only the bytes are renamed
                 renamed = core if core.isascii() else core.translate(held["names"])
-                held["cores"][core] = np.array([t.id for t in tokenizer.model.tokenize(renamed)], kind).tobytes()
+                ids = np.array([t.id for t in tokenizer.model.tokenize(renamed)], kind).tobytes()
             else:
-                held["cores"][core] = plain(core)
-        return held["cores"][core]
+                ids = plain(core)
+            if len(core) <= MEMORY_BYTES:
+                held["cores"][core] = ids
+        return ids
 
     def of_run(run: bytes) -> bytes:
         text = run.decode()
@@ -99,10 +103,13 @@ def encoder(tokenizer_path: str) -> tuple[Callable[[list[bytes]], list[bytes]],
         out = []
         for text in texts:
             runs = text.split()
-            known, before = held["runs"], held["before"]
+            known, before, long = held["runs"], held["before"], {}
             for run in set(runs).difference(known):
-                known[run] = before[run] if run in before else of_run(run)
-            out.append(b"".join(map(known.__getitem__, runs)))
+                if len(run) > MEMORY_BYTES:  # unbroken text (Chinese, base64, minified code) is not remembered
+                    long[run] = of_run(run)
+                else:
+                    known[run] = before[run] if run in before else of_run(run)
+            out.append(b"".join([long[r] if r in long else known[r] for r in runs] if long else map(known.__getitem__, runs)))
             if len(known) > MEMORY_RUNS:  # what came up lately is kept for another turn
                 held.update(runs={}, before=known, cores={})
         return out
@@ -111,7 +118,7 @@ def encoder(tokenizer_path: str) -> tuple[Callable[[list[bytes]], list[bytes]],
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_docs: int = 512) -> bytes:
-    """The shared dictionary, trained in one task on a bounded sample."""
+    """The shared dictionary, trained in one task on slices of a bounded sample of documents."""
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, width = encoder(tokenizer_path)
         end = end_id.to_bytes(width, "little")
@@ -122,8 +129,11 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_d
             data = b"".join(samples)[-DICTIONARY_BYTES:].ljust(64, b"\0")
         yield pa.RecordBatch.from_pydict({"data": [data]})
 
-    sample = (docs.where(F.length("text") <= SAMPLE_CHARS).select("text", F.xxhash64("doc_id", "text").alias("pick"))
-              .orderBy("pick").limit(sample_docs).select("text"))
+    # a slice from anywhere in the text: documents of every length teach the dictionary, in bounded memory
+    last = F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))
+    piece = F.substring("text", (F.pmod(F.xxhash64("text"), last) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    sample = (docs.select("text", F.xxhash64("doc_id", "text").alias("pick")).orderBy("pick").limit(sample_docs)
+              .select(piece.alias("text")))
     found = sample.coalesce(1).mapInArrow(train, "data binary").first()
     return bytes(found[0]) if found else b"\0" * 64
 

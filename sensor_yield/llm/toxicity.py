@@ -44,7 +44,8 @@ MAX_TERMS = 4_000
 LEAST_RATIO = 20.0
 SHORTEST, LONGEST = 3, 9
 WINDOW = 6
-MEMORY_WORDS = 300_000
+#: Remembered words per Python process, their greatest length, and states of an automaton.
+MEMORY_WORDS, MEMORY_LETTERS, MEMORY_STATES = 300_000, 32, 100_000
 # fixed values: words of reporting and of address in four languages, and quotation marks
 REPORTING = frozenset("said says wrote called quoted quote dit écrit sagte schrieb nannte dijo escribió llamó".split())
 ADDRESS = frozenset("you your you're u ur du dein dich dir tu ton toi te vous votre tú usted eres".split())
@@ -109,6 +110,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, number) of the nearest term, if one is near enough."""
+        if len(self.next) > MEMORY_STATES:
+            self.next.clear()
         state = self.start
         for letter in word:
             known = self.next.setdefault(state, {})
@@ -148,10 +151,16 @@ class Matcher:
         distinct = set(WORD.findall(lowered))
         if len(self.known) > MEMORY_WORDS:
             self.known.clear()
-        known = self.known
-        for word in distinct.difference(known):
-            known[word] = self.lookup(word)
-        marked = {w for w in distinct if known[w]}
+        known, marked = self.known, {}
+        for word in distinct:
+            if word in known:
+                hit = known[word]
+            else:
+                hit = self.lookup(word)
+                if len(word) <= MEMORY_LETTERS:  # what is remembered stays bounded in bytes, too
+                    known[word] = hit
+            if hit:
+                marked[word] = hit
         if not marked:
             return len(distinct), []
         found, spans = [], list(WORD.finditer(lowered))
@@ -162,7 +171,7 @@ class Matcher:
                 before = lowered[spans[max(0, i - WINDOW)].start():spans[i].start()]
                 after = lowered[spans[i].end():spans[min(len(spans) - 1, i + WINDOW)].end()]
                 inside = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
-                found.append((*known[word], inside or not REPORTING.isdisjoint(near), not ADDRESS.isdisjoint(near)))
+                found.append((*marked[word], inside or not REPORTING.isdisjoint(near), not ADDRESS.isdisjoint(near)))
         return len(distinct), found
 
 
