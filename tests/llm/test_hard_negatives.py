@@ -6,7 +6,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sensor_yield.llm import hard_negatives as hn
 
