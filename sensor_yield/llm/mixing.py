@@ -143,39 +143,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return taken.unionByName(empty)
 
 
-def _within(rows: DataFrame, repeated: DataFrame, out: str) -> DataFrame:
-    """``rows`` with their place among those of the same ``key``: 0 for keys that occur once; the rows of
-    ``repeated`` keys are ranked over all tasks, so a row that repeats often fills no task of its own."""
-    ranked, _ = numbered(rows.join(repeated, "key", "left_semi"), ["key"], "__rank")
-    first = ranked.groupBy("key").agg(F.min("__rank").alias("__first"))
-    many = ranked.join(first, "key").withColumn(out, F.col("__rank") - F.col("__first")).drop("__rank", "__first")
-    return rows.join(repeated, "key", "left_anti").withColumn(out, F.lit(0).cast("bigint")).unionByName(many)
-
-
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-               n_slots: int = 1 << 16, seed: int = 9) -> DataFrame:
-    """The mix as whole documents with their own columns, in slot order, taken once or twice: a pass over a source
-    takes the documents of which at least half lies before the target, and a document stands in the slot of the
-    block that holds its middle word. Rows alike are interchangeable: of c rows with one key, taken t times in
-    all, the k-th taking goes to row k mod c. Empty documents, of which the mix takes nothing, go. ``docs`` is
-    read from files."""
+               seed: int = 9) -> DataFrame:
+    """The mix as whole documents with their own columns, taken documents once or twice: a pass
+    over a source takes the documents of which at least half lies before the target. As
+    positions follow the shuffle key, each pass is one cut of that key per source, so texts do
+    not move. Where rows alike share the key of a cut, as many of them are taken as the pass has
+    room for: only such rows are ranked, over all tasks. Empty documents, of which the mix takes
+    nothing, go. ``docs`` is read from files."""
     sized = stored(sized_rows(docs, id_col, text_col, source_col, seed).where("size > 0"), "mix-sizes")
     targets = stored(source_targets(sized), "mix-targets")
-    total = targets.agg(F.max("total")).first()[0] or 1
-    block_words = max(1, -(-int(total) // n_slots))
-    slots = schedule(targets, block_words, -(-int(total) // block_words))
-    placed = stored(_placed(sized, targets), "mix-places")
-    begin = F.col("begin") + F.col("pass") * F.col("source_size")
-    taken = (placed.withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1))))
-             .where(begin * 2 + F.col("size") <= F.col("words") * 2)
-             .select("source", "key", F.call_function("div", begin + F.call_function("div", F.col("size") - 1, F.lit(2)),
-                                                      F.lit(block_words).cast("bigint")).alias("block")))
-    picks = stored(taken.alias("t").join(slots.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))
-                                         & (F.col("t.block") == F.col("s.block"))).select("t.key", "s.slot"), "mix-picks")
-    counts = stored(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "mix-repeated")
-    takings = _within(picks, counts.select("key"), "k").join(counts, "key", "left").select(
-        "key", "slot", (F.col("k") % F.coalesce("n", F.lit(1))).alias("row"))
-    rows = docs.select(F.struct("*").alias("doc"), word_count(F.col(text_col)).alias("size"),
-                       shuffle_key(id_col, source_col, text_col, seed).alias("key")).where("size > 0").drop("size")
-    mixed = _within(rows, counts.select("key"), "row").join(takings, ["key", "row"])
-    return mixed.repartitionByRange("slot", "key").sortWithinPartitions("slot", "key").select("doc.*")
+    half = F.col("begin") * 2 + F.col("size")
+    fits = [half + 2 * r * F.col("source_size") <= 2 * F.col("words") for r in (0, 1)]
+    keys = _placed(sized, targets).groupBy("source", "key").agg(
+        F.count(F.lit(1)).alias("all"), *[F.count_if(f).alias(f"room{r}") for r, f in enumerate(fits)])
+    cuts = stored(keys.groupBy("source").agg(*[
+        F.max(F.when(F.col(f"room{r}") > 0, F.struct("key", F.col(f"room{r}").alias("room"), "all"))).alias(f"__cut{r}")
+        for r in (0, 1)]).withColumnRenamed("source", "__source"), "mix-cuts")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(source_col).alias("source"),
+                       word_count(F.col(text_col)).alias("size"),
+                       shuffle_key(id_col, source_col, text_col, seed).alias("key"))
+    rows = rows.where("size > 0").join(cuts, F.col("source").eqNullSafe(F.col("__source"))).select(
+        "doc", "key", "__cut0", "__cut1")
+    at = [F.coalesce(F.col("key") == F.col(f"__cut{r}.key"), F.lit(False)) for r in (0, 1)]
+    short = [a & (F.col(f"__cut{r}.room") < F.col(f"__cut{r}.all")) for r, a in enumerate(at)]
+    ranked, _ = numbered(rows.where(short[0] | short[1]), ["key"], "__rank")
+    first = ranked.groupBy("key").agg(F.min("__rank").alias("__first"))
+    some = ranked.join(first, "key").withColumn("__nth", F.col("__rank") - F.col("__first")).select(*rows.columns, "__nth")
+    every = rows.where(~(short[0] | short[1])).withColumn("__nth", F.lit(0).cast("bigint")).unionByName(some)
+    copies = sum(F.when((F.col("key") < F.col(f"__cut{r}.key")) | (at[r] & (F.col("__nth") < F.col(f"__cut{r}.room"))), 1)
+                 .otherwise(0) for r in (0, 1))
+    return every.select("doc", F.explode(F.array_repeat(F.lit(1), copies))).select("doc.*")

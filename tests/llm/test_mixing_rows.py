@@ -1,4 +1,4 @@
-"""The mixing stage: amounts with rows that repeat, slot order, the schedule itself."""
+"""The mixing stage: amounts with rows that repeat, further columns."""
 
 from __future__ import annotations
 
@@ -33,21 +33,6 @@ def test_one_row_repeated_600_times(spark, tmp_path, doc_id):
     assert all(n <= 2 * have[r] for r, n in Counter((r.doc_id, r.text, r.source) for r in got).items())
 
 
-def test_rows_come_in_slot_order(spark, tmp_path, monkeypatch):
-    """Sources alternate as the schedule has them, and the schedule is asked."""
-    rows = [(i, "a b c d", s) for i, s in enumerate(["p", "q"] * 200)]
-    path = str(tmp_path / "docs")
-    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(path)
-    asked = []
-    schedule = mixing.schedule
-    monkeypatch.setattr(mixing, "schedule", lambda *a: asked.append(a) or schedule(*a))
-    got = [r.source for r in mixing.mixed_rows(spark.read.parquet(path), n_slots=600).collect()]
-    assert len(asked) == 1 and set(got) == {"p", "q"}
-    share = got.count("p") / len(got)
-    for s in range(0, len(got) - 60, 60):
-        assert abs(got[s:s + 60].count("p") / 60 - share) < 0.1
-
-
 def test_further_columns_stay(spark, tmp_path):
     path = str(tmp_path / "docs")
     rows = [(1, "a b", "s", 7), (1, "a b", "s", 8), (2, None, "s", 9), (None, "c", None, 1)]
