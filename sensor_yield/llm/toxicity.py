@@ -45,7 +45,7 @@ LEAST_RATIO = 20.0
 SHORTEST, LONGEST = 3, 9
 WINDOW = 6
 #: Remembered words per Python process, their greatest length, and states of an automaton.
-MEMORY_WORDS, MEMORY_LETTERS, MEMORY_STATES = 300_000, 32, 100_000
+MEMORY_WORDS, MEMORY_LETTERS, MEMORY_STATES = 300_000, 32, 500_000
 # fixed values: words of reporting and of address in four languages, and quotation marks
 REPORTING = frozenset("said says wrote called quoted quote dit écrit sagte schrieb nannte dijo escribió llamó".split())
 ADDRESS = frozenset("you your you're u ur du dein dich dir tu ton toi te vous votre tú usted eres".split())
@@ -151,16 +151,12 @@ class Matcher:
         distinct = set(WORD.findall(lowered))
         if len(self.known) > MEMORY_WORDS:
             self.known.clear()
-        known, marked = self.known, {}
-        for word in distinct:
-            if word in known:
-                hit = known[word]
-            else:
-                hit = self.lookup(word)
-                if len(word) <= MEMORY_LETTERS:  # what is remembered stays bounded in bytes, too
-                    known[word] = hit
-            if hit:
-                marked[word] = hit
+        known, long = self.known, {}
+        for word in distinct.difference(known):
+            # long words are not remembered: what is stays bounded in bytes, too
+            (known if len(word) <= MEMORY_LETTERS else long)[word] = self.lookup(word)
+        marked = {w: known[w] for w in (distinct.difference(long) if long else distinct) if known[w]}
+        marked.update((w, hit) for w, hit in long.items() if hit)
         if not marked:
             return len(distinct), []
         found, spans = [], list(WORD.finditer(lowered))
