@@ -132,8 +132,8 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_d
     # a slice from anywhere in the text: documents of every length teach the dictionary, in bounded memory
     last = F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))
     piece = F.substring("text", (F.pmod(F.xxhash64("text"), last) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    sample = (docs.select("text", F.xxhash64("doc_id", "text").alias("pick")).orderBy("pick").limit(sample_docs)
-              .select(piece.alias("text")))
+    sample = (docs.select(piece.alias("text"), F.xxhash64("doc_id", "text").alias("pick"))
+              .orderBy("pick").limit(sample_docs).select("text"))
     found = sample.coalesce(1).mapInArrow(train, "data binary").first()
     return bytes(found[0]) if found else b"\0" * 64
 
