@@ -129,11 +129,13 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_d
             data = b"".join(samples)[-DICTIONARY_BYTES:].ljust(64, b"\0")
         yield pa.RecordBatch.from_pydict({"data": [data]})
 
-    # a slice from anywhere in the text: documents of every length teach the dictionary, in bounded memory
+    # picked by the hash of the id alone, so the first scan reads no texts; then a slice from anywhere in the text:
+    # documents of every length teach the dictionary, in bounded memory
+    pick = F.xxhash64("doc_id")
+    cut = docs.select(pick.alias("pick")).orderBy("pick").limit(sample_docs).agg(F.max("pick")).first()[0]
     last = F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))
     piece = F.substring("text", (F.pmod(F.xxhash64("text"), last) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    sample = (docs.select(piece.alias("text"), F.xxhash64("doc_id", "text").alias("pick"))
-              .orderBy("pick").limit(sample_docs).select("text"))
+    sample = docs.where(pick <= F.lit(cut).cast("bigint")).select(piece.alias("text")).limit(sample_docs)
     found = sample.coalesce(1).mapInArrow(train, "data binary").first()
     return bytes(found[0]) if found else b"\0" * 64
 
