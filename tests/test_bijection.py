@@ -42,3 +42,9 @@ def test_swaps_keep_the_column(spark):
     got = run()
     assert got["feature_000"] > 0.6 and got["feature_001"] == pytest.approx(0.0, abs=1e-9) and got["feature_002"] == 0.0
     assert run(max_rows=600) == got  # one pair at a time
+
+
+def test_first_round_is_compiled(spark):
+    """Rows that land inside on the first try pass no interpreted lambda: it stands in the last branch only."""
+    plan = spark.range(1000).select(bijection(F.col("id"), F.lit(5), 1000).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN" in plan and "lambda" not in plan[:plan.index("ELSE aggregate(")]
