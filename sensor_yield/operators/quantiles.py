@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensor_yield.session import cut_lineage
+from sensor_yield.session import cut_lineage, settled
 
 DEFAULT_ACCURACY = 10000
 #: Half widths of the brackets tried in turn, in sketch errors; the last is the whole range.
@@ -57,7 +57,8 @@ def _quantiles(vals: DataFrame, probs: list[float], accuracy: int, band: float |
     brackets = sketch.select(F.col("g").alias("bg"), "n", F.array(*[
         F.struct(F.lit(i).alias("i"), F.element_at("e", 2 * i + 1).alias("lo"), F.element_at("e", 2 * i + 2).alias("hi"),
                  ((F.col("n") - 1) * F.lit(p)).alias("h")) for i, p in enumerate(probs)]).alias("b"))
-    placed = (vals.join(brackets, F.col("g").eqNullSafe(F.col("bg"))).select("g", "v", "n", F.explode("b").alias("b"))
+    # one row per group: sent to the rows, which would else meet by group, few groups in as few tasks
+    placed = (vals.join(settled(brackets), F.col("g").eqNullSafe(F.col("bg"))).select("g", "v", "n", F.explode("b").alias("b"))
               .select("g", "v", "n", "b.*"))
     side = F.when(F.col("v") < F.col("lo"), BELOW).when(F.col("v") > F.col("hi"), ABOVE).otherwise(INSIDE)
     width = F.col("hi") - F.col("lo")

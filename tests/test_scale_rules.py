@@ -132,3 +132,23 @@ def test_neighbours_of_duplicates_do_not_depend_on_row_order(spark):
     for block_rows, pivots in ((2048, 32), (7, 5), (10, 1)):
         rows = neighbours(df, "id", "v", 5, block_rows, pivots).orderBy("qid", "nb_rank").collect()
         assert [(r.qid, r.nb_rank, r.nb_id) for r in rows] == [(i, k, j) for i, w in enumerate(want) for k, (_, j) in enumerate(w)]
+
+
+def _checkpointed_plans(build, monkeypatch) -> list[str]:
+    from sensor_yield.session import cut_lineage
+    plans = []
+    monkeypatch.setattr(quantiles, "cut_lineage", lambda df, *a: plans.append(df) or cut_lineage(df, *a))
+    build()
+    return [p._jdf.queryExecution().optimizedPlan().toString() for p in plans]
+
+
+def test_values_do_not_meet_by_group(spark, monkeypatch):
+    """Brackets and quartiles, one row per group, are sent to the values: no value moves to its group."""
+    from sensor_yield.operators.dashboard import grouped_boxes
+    df = spark.range(5_000).select(F.lit("a").alias("k"), F.pmod(F.col("id") * 7919, F.lit(5_000)).cast("double").alias("v"))
+    out = []
+    texts = _checkpointed_plans(lambda: out.append(grouped_boxes(df, ["k"])), monkeypatch)
+    assert texts and all("strategy=broadcast" in t for t in texts)
+    assert "strategy=broadcast" in out[0]._jdf.queryExecution().optimizedPlan().toString()
+    row = out[0].first()
+    assert (row.q1, row.median, row.q3, row.n_outliers) == pytest.approx((1249.75, 2499.5, 3749.25, 0))
