@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import random
+import zipfile
 
 import public_tokenizers
 import pytest
@@ -244,6 +246,20 @@ def test_exact_dedup_keeps_its_state(spark, tmpdir_path):
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True)}
 
 
+def test_exact_dedup_sets_no_disk_aside(spark, tmpdir_path):
+    path, state = f"{tmpdir_path}/docs", f"{tmpdir_path}/state"
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id bigint, text string").write.parquet(path)
+    before = {name: spark.conf.get(name, None) for name in exact_dedup.STORE}
+    assert exact_dedup.dedup_files(spark, path, state_dir=state).count() == 3
+    assert {name: spark.conf.get(name, None) for name in exact_dedup.STORE} == before
+    said = []
+    for snapshot in glob.glob(f"{state}/state/0/*/*.zip"):
+        with zipfile.ZipFile(snapshot) as files:
+            said += [line.strip() for name in files.namelist() if "OPTIONS" in name
+                     for line in files.read(name).decode().splitlines() if "allow_fallocate" in line]
+    assert said and set(said) == {"allow_fallocate=false"}
+
+
 def test_byte_check_resolves_a_digest_with_two_texts(spark, tmpdir_path, monkeypatch):
     plain = exact_dedup._rows
 
