@@ -152,3 +152,15 @@ def test_values_do_not_meet_by_group(spark, monkeypatch):
     assert "strategy=broadcast" in out[0]._jdf.queryExecution().optimizedPlan().toString()
     row = out[0].first()
     assert (row.q1, row.median, row.q3, row.n_outliers) == pytest.approx((1249.75, 2499.5, 3749.25, 0))
+
+
+def test_medians_of_the_exploration_document_do_not_meet_by_feature(spark, monkeypatch):
+    """The imputer's medians: the values of six columns are not sorted by feature in as few tasks."""
+    from sensor_yield.plans.eda import eda_summary
+    i = F.col("id")
+    df = spark.range(2_000).select(i.alias("row_id"), (i % 5 == 0).cast("int").alias("Pass_Fail"),
+                                   (i * 7919 % 2_000).cast("double").alias("feature_000"), (i % 7).cast("double").alias("feature_001"))
+    docs = []
+    texts = _checkpointed_plans(lambda: docs.append(eda_summary(df)), monkeypatch)
+    assert texts and all("strategy=broadcast" in t for t in texts)
+    assert docs[0]["n_rows"] == 2_000 and docs[0]["fail_rate"] == pytest.approx(0.2)
