@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import random
+import time
 import zipfile
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sensor_yield.llm import substring_dedup, zip_ranges
+from sensor_yield.llm import common, substring_dedup, zip_ranges
 from sensor_yield.llm.decontaminate import Windows, words_of
 from sensor_yield.llm.near_dedup import BANDS, Shingler, Signer
 from sensor_yield.llm.substring_dedup import LEAST, CompactWindows
@@ -107,6 +109,42 @@ def test_compact_windows_are_the_cartesian_tree():
                 assert (l == 0 or h[l - 1] < v) and (r == n - 1 or h[r + 1] < v)
 
 
+def test_texts_of_a_batch_are_scanned_as_each_alone():
+    """Texts one after the other: no shingle, minimum or window reaches from one into the next."""
+    rng, shingle, compact = random.Random(3), Shingler(), CompactWindows()
+    texts = [b"", b" \n\t ", b"a b", b"one two three four five", "w\u00e9 ".encode() * 90, b"x" * 300 + b" y" * 49, b"\x0b\x0c q " * 60]
+    texts += [" ".join(f"{rng.randrange(40)}" for _ in range(n)).encode() for n in (49, 50, 51, 300, 700)]
+    rng.shuffle(texts)
+    found, counts = shingle.shingles_of(texts)
+    alone = [shingle.shingles(t) if len(t.split()) >= 5 else np.zeros(0, np.uint64) for t in texts]
+    assert counts.tolist() == [len(x) for x in alone] and np.array_equal(found, np.concatenate(alone))
+    got = substring_dedup.windows_of(compact, np.arange(len(texts)), found, counts)
+    want = [substring_dedup.windows_of(compact, key, x) for key, x in enumerate(alone)]
+    assert sorted(zip(*[c.tolist() for c in got], strict=True)) == sorted(
+        row for w in want for row in zip(*[np.asarray(c).tolist() for c in w], strict=True))
+    assert len(got[0]) > 100 and [len(c) for c in substring_dedup.values_of(compact, np.arange(1), *shingle.shingles_of([b"a"]))] == [0, 0]
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    said = spark.conf.get(name)
+    kept = []
+    with common.shuffles_freed(spark):
+        kept.append(spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 1000).alias("k")).count())
+        assert common.stored(kept[0], "freed").count() == 1000
+    assert spark.conf.get(name) == said
+    for _ in range(100):  # files are deleted beside the work
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+
+
 def test_passages_that_touch_in_one_text_only():
     p, q, far = ([f"{c}{i}" for i in range(60)] for c in "pqz")
     shingle = Shingler()
