@@ -11,8 +11,8 @@ A reader needs the trailer, the index and the named dictionary to fetch any one
 The dictionary is trained on the serialized ids of slices of ``SAMPLE_CHARS`` characters from ``sample_docs``
 documents of any length, picked by hash: a bounded sample that concerns compression only.
 
-Ids are computed per run of characters between ASCII white space and remembered, which gives
-the tokenizer's own ids wherever no token spans white space; ``encoder`` refuses tokenizers
+Ids are computed once per distinct run of characters between ASCII white space in a block of texts, which
+gives the tokenizer's own ids wherever no token spans white space; ``encoder`` refuses tokenizers
 outside that family, told by their normalizer and pre-tokenizer.
 
 Defined cases: null text is empty (one token, the end id); a null id comes first and is read
@@ -25,12 +25,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,13 +49,39 @@ TRAILER, TRAILER_BYTES = "<QQQ8s", 32
 DICTIONARY_BYTES = 32 << 10
 SAMPLE_CHARS = 8192
 SPAN_BYTES = 4 << 20
-#: Remembered runs per Python process, in each of two generations, and their greatest length: 100 MB for words,
-#: 150 MB where all are as long as that.
-MEMORY_RUNS, MEMORY_BYTES = 400_000, 64
+#: Remembered pieces of each kind per Python process, and their greatest length.
+MEMORY_RUNS, MEMORY_BYTES = 100_000, 64
 #: Signs that may follow a word: with a letter or digit before them they are a piece of their own.
 TAIL = ".,;:!?#$%&*"
 #: Letters before this one have one form and simple lower case.
 LATIN = "\u0250"
+#: A word of such letters, and the signs after it. Letters count here whose lower case Arrow and Python agree on.
+WORDS = "^(?P<core>[{}]+)(?P<tail>[{}]*)$".format("".join(
+    c for c in map(chr, range(ord(LATIN))) if c.isalpha() and [c.lower()] == pc.utf8_lower(pa.array([c])).to_pylist()), TAIL)
+#: Bytes of text encoded at once, and where longer texts may be cut.
+BLOCK_BYTES, BLANK = 8 << 20, re.compile(rb"\s")
+
+
+def blocks(rows: Iterable, size: Callable) -> Iterator[list]:
+    """Neighbouring rows of together about ``BLOCK_BYTES``, by the size of each."""
+    block, held = [], 0
+    for row in rows:
+        block.append(row)
+        held += size(row)
+        if held >= BLOCK_BYTES:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+def at_blanks(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about ``BLOCK_BYTES``, cut at white space."""
+    at = 0
+    while len(text) - at > BLOCK_BYTES and (blank := BLANK.search(text, at + BLOCK_BYTES)):
+        yield text[at:blank.start()]
+        at = blank.start()
+    yield text[at:] if at else text
 
 
 def encoder(tokenizer_path: str) -> tuple[Callable[[list[bytes]], list[bytes]], int]:
@@ -68,51 +97,89 @@ def encoder(tokenizer_path: str) -> tuple[Callable[[list[bytes]], list[bytes]],
     held = process_cache().setdefault(("encoder", tokenizer_path), {})
     if not held:
         rename = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        held.update(tokenizer=Tokenizer.from_file(tokenizer_path), runs={}, before={}, cores={},
+        held.update(tokenizer=Tokenizer.from_file(tokenizer_path), runs={}, others={}, cores={},
                     names={c: rename(chr(c))[0][0] for c in range(128, ord(LATIN))})
     tokenizer = held["tokenizer"]
     kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
+    tokenize = tokenizer.model.tokenize
+
     def plain(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
-    def of_core(core: str) -> bytes:
-        ids = held["cores"].get(core)
-        if ids is None:
-            if core.isalpha() and max(core) < LATIN:
-                # lower-case Latin letters are one piece, of which only the bytes are renamed
-                renamed = core if core.isascii() else core.translate(held["names"])
-                ids = np.array([t.id for t in tokenizer.model.tokenize(renamed)], kind).tobytes()
-            else:
-                ids = plain(core)
-            if len(core) <= MEMORY_BYTES:
-                held["cores"][core] = ids
-        return ids
+    def of_letters(words: list[str]) -> list[bytes]:
+        # lower-case Latin letters are one piece, of which only the bytes are renamed
+        pieces = [[t.id for t in tokenize(w if w.isascii() else w.translate(held["names"]))] for w in words]
+        raw = np.fromiter(chain.from_iterable(pieces), kind).tobytes()
+        ends = [kind.itemsize * n for n in accumulate(map(len, pieces), initial=0)]
+        return [raw[lo:hi] for lo, hi in zip(ends, ends[1:])]
 
-    def of_run(run: bytes) -> bytes:
-        text = run.decode()
+    def of_run(text: str) -> bytes:
         if "<" in text:  # special tokens begin so, and are told from their letters' case
             return plain(text)
-        text = text.lower() if text.isascii() or max(text) < LATIN else text
+        text = text.lower() if text.isascii() or max(text, default="") < LATIN else text
         core = text.rstrip(TAIL)
         if core and core[-1].lower()[-1].isalnum():  # signs after a letter or digit are a piece of their own
-            return of_core(core) + (of_core(text[len(core):]) if len(core) < len(text) else b"")
-        return of_core(text)
+            return remembered("runs", [core], of_pieces)[0] + remembered("runs", [text[len(core):]], of_pieces)[0]
+        return plain(text)
+
+    def of_pieces(texts: list[str]) -> list[bytes]:
+        return [plain(x) for x in texts]
+
+    def remembered(name: str, texts: list[str], of: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        known = held[name]
+        ids = [known.get(x) for x in texts]
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new = [texts[i] for i in missing]
+        for i, text, found in zip(missing, new, of(new), strict=True):
+            ids[i] = found
+            if len(text) <= MEMORY_BYTES:  # unbroken text (Chinese, base64, minified code) is not remembered
+                known[text] = found
+        if len(known) > MEMORY_RUNS:
+            held[name] = {}
+        return ids
+
+    def gather(pieces: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces in this order, one after the other, and where each ends."""
+        sizes = np.array([len(x) for x in pieces], np.int64) // kind.itemsize
+        counts = sizes[order]
+        ends = np.cumsum(counts)
+        shift = (np.cumsum(sizes) - sizes)[order] - ends + counts
+        return np.frombuffer(b"".join(pieces), kind)[np.repeat(shift, counts) + np.arange(counts.sum())], ends
+
+    def of_block(texts: list[bytes]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        words = split.values.dictionary_encode()
+        runs = words.dictionary
+        # a run is a word of Latin letters with signs after it, or else something else as a whole
+        told = pc.extract_regex(runs, WORDS)
+        core, tail = (column.dictionary_encode() for column in told.flatten())
+        other = np.flatnonzero(told.is_null())
+        lower = pc.utf8_lower(core.dictionary).dictionary_encode()
+        pieces = [*remembered("cores", lower.dictionary.to_pylist(), of_letters),
+                  *remembered("runs", tail.dictionary.to_pylist(), of_pieces),
+                  *remembered("others", runs.take(pa.array(other)).to_pylist(), lambda x: [of_run(y) for y in x]), b""]
+        n_core, n_tail = len(lower.dictionary), len(tail.dictionary)
+        order = np.full((len(runs), 2), len(pieces) - 1)
+        simple = np.flatnonzero(told.is_valid())
+        order[simple, 0] = lower.indices.to_numpy()[core.indices.drop_null().to_numpy()]
+        order[simple, 1] = tail.indices.drop_null().to_numpy() + n_core
+        order[other, 0] = np.arange(len(other)) + n_core + n_tail
+        flat, ends = gather(pieces, order.ravel())
+        cuts = np.append(0, ends[1::2] * kind.itemsize).tolist()
+        raw = flat.tobytes()
+        flat, ends = gather([raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])], words.indices.to_numpy())
+        cuts = (np.append(0, ends)[split.offsets.to_numpy()] * kind.itemsize).tolist()
+        raw = flat.tobytes()
+        return [raw[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
 
     def by_runs(texts: list[bytes]) -> list[bytes]:
-        out = []
-        for text in texts:
-            runs = text.split()
-            known, before, long = held["runs"], held["before"], {}
-            for run in set(runs).difference(known):
-                if len(run) > MEMORY_BYTES:  # unbroken text (Chinese, base64, minified code) is not remembered
-                    long[run] = of_run(run)
-                else:
-                    known[run] = before[run] if run in before else of_run(run)
-            out.append(b"".join([long[r] if r in long else known[r] for r in runs] if long else map(known.__getitem__, runs)))
-            if len(known) > MEMORY_RUNS:  # what came up lately is kept for another turn
-                held.update(runs={}, before=known, cores={})
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        pieces = [(i, piece) for i, text in enumerate(texts) for piece in at_blanks(text)]
+        for block in blocks(pieces, lambda x: len(x[1])):
+            for (i, _), ids in zip(block, of_block([piece for _, piece in block]), strict=True):
+                out[i].append(ids)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
     return by_runs if by_run else lambda texts: [plain(t.decode()) for t in texts], kind.itemsize
 
@@ -158,9 +225,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, ids, nulls, sizes, counts = None, [], [], [], []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        rows = (row for batch in batches
+                for row in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True))
+        for block in blocks(rows, lambda row: len(row[1])):
             if out is None:
                 context = TaskContext.get()
                 path = f"{folder}/ids-{context.partitionId():06d}.bin"
@@ -169,8 +236,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int)
                 end = end_id.to_bytes(width, "little")
                 pack = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(data))
                 out.write(struct.pack(HEADER, MAGIC, digest, width))
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                plain = encode([text])[0] + end
+            for (doc_id, _), plain in zip(block, encode([text for _, text in block]), strict=True):
+                plain += end
                 frame = pack.compress(plain)
                 out.write(frame)
                 ids.append(doc_id or 0)
