@@ -145,6 +145,16 @@ def test_exact_pairs_of_passages(spark):
     assert 20 < len(want) and want <= {tuple(r) for r in got}
 
 
+def test_exact_pairs_of_a_common_line(spark):
+    """Texts that hold a common line once make no pairs with texts that repeat it."""
+    line = " ".join(f"l{i}" for i in range(12))
+    texts = {d: " ".join([f"y{d}_{i}" for i in range(60)] + [line]) for d in range(30)}
+    texts |= {d: " ".join([line] * 6) for d in range(30, 34)}
+    holders = spark.createDataFrame([(d, d, 0, len(t.split()) - 5) for d, t in texts.items()], "text_key bigint, component bigint, l int, r int")
+    got = substring_dedup.exact_pairs(holders, spark.createDataFrame(list(texts.items()), "text_key bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == [(a, b) for a in range(30, 34) for b in range(a + 1, 34)]
+
+
 @pytest.mark.parametrize("block", [1 << 24, 40])
 def test_decontaminate(docs, empty, items, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)  # several passes must agree with one

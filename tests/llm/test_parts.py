@@ -145,6 +145,19 @@ def test_shuffle_files_go_with_their_step(spark):
     assert not files() - before
 
 
+def test_lines_between_other_words_cost_little(monkeypatch):
+    """Texts that share a line, again and again between other words, are told apart without chains."""
+    line, rng = [f"l{i}" for i in range(14)], random.Random(2)
+    texts = [[w for i in range(30) for w in (*line, *(f"{c}{i}_{j}" for j in range(rng.randint(20, 40))))] for c in "pq"]
+    a, b = (Shingler().shingles(" ".join(t).encode()) for t in texts)
+    whole = substring_dedup.Places(a)
+    assert substring_dedup.passages(whole, np.append(b, a)) == substring_dedup.passages(a, np.append(b, a)) != []
+    monkeypatch.setattr(substring_dedup, "_chains", None)
+    assert substring_dedup.passages(whole, b) == []
+    once = Shingler().shingles(" ".join(line * 9).encode())
+    assert substring_dedup.passages(Shingler().shingles(" ".join(line + texts[0][14:99]).encode()), once) == []
+
+
 def test_passages_that_touch_in_one_text_only():
     p, q, far = ([f"{c}{i}" for i in range(60)] for c in "pqz")
     shingle = Shingler()
