@@ -6,10 +6,12 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from sensor_yield.operators import boosting
 from sensor_yield.operators.boosting import HistogramBoosting, HistogramBoostingModel
 from sensor_yield.operators.trees import ensemble_value
 
@@ -145,3 +147,43 @@ def test_saved_model_scores_alike(spark, tmpdir_path):
     assert np.array_equal(margins(back, df), margins(model, df))
     x = np.array([r.x for r in df.orderBy("row_id").select(vector_to_array("features").alias("x")).collect()])
     assert np.allclose(ensemble_value(back.tree_list(), x), margins(model, df))
+
+
+def test_one_task_grows_the_same_trees(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(300, 5)), 2)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] + rng.normal(scale=0.5, size=300) > 0.8).astype(int)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    df = frame(spark, x, y).cache()
+    monkeypatch.setattr(boosting, "REFRESH", 4)
+    clf = HistogramBoosting(maxIter=6, maxDepth=4, stepSize=0.3, subsamplingRate=0.8, scalePos=True)
+    here = clf.fit(df).tree_list()
+    monkeypatch.setattr(boosting, "LOCAL_VALUES", 0)
+    assert here == clf.fit(df).tree_list() and len(here) == 6 and min(len(t["feature"]) for t in here) > 8
+
+
+def test_small_tables_take_no_job_per_level(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(200, 4))
+    df = frame(spark, x, (x[:, 0] + rng.normal(scale=0.3, size=200) > 0.5).astype(int)).cache()
+    df.count()
+    jobs = []
+    for rounds in (3, 60):
+        spark.sparkContext.setJobGroup(f"boosting-{rounds}", "")
+        assert len(HistogramBoosting(maxIter=rounds, maxDepth=5).fit(df).tree_list()) == rounds
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosting-{rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] == jobs[1] < 20
+
+
+def test_one_task_looks_at_few_cells_at_a_time(monkeypatch):
+    rng = np.random.default_rng(11)
+    bins = rng.integers(0, 6, (150, 4)).astype("<u2")
+    bins[:, 3] = bins[:, 0]  # ties go to the first feature
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(150)), pa.array((bins[:, 0] > 2) * 1.0), pa.array(np.ones(150)),
+                                       pa.array([r.tobytes() for r in bins], pa.binary())], names=["key", "y", "w", "bins"])
+    grow = lambda: boosting._local_trees([rows], [1, 2], boosting._growth(3, 1.0, 0.3, 1e-6), 4, 7, 2.0 ** 30, 0.9, 1.0, 0.1)
+    whole = grow()
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", 1)
+    monkeypatch.setattr(boosting, "CHUNK", 16)
+    assert grow() == whole and whole[0]["feature"][0] == 0

@@ -10,6 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from sensor_yield import config
+from sensor_yield.operators import resample
 from sensor_yield.operators.models import build_candidates
 from sensor_yield.operators.quantiles import approximate_medians, exact_medians, median_sketches, training_medians
 from sensor_yield.operators.transforms import MedianImputer
@@ -47,6 +48,23 @@ def test_each_preprocessing_is_fitted_once_per_fold(spark):
     fits.close()
 
 
+def test_rows_are_resampled_once_per_fold(spark, monkeypatch):
+    """All settings of a search are fitted on the same new rows, which stand in as many partitions as the fold's."""
+    made, smote = [], resample.smote
+    monkeypatch.setattr(resample, "smote", lambda df, *args: made.append(df) or smote(df, *args))
+    cand = {c.name: c for c in build_candidates(grids={
+        config.MODEL_FOREST_SMOTE: {"n_estimators": [2, 3], "max_depth": [2, 3], "min_samples_leaf": [1]}})}[config.MODEL_FOREST_SMOTE]
+    df = rows(spark).repartition(2)
+    fits = training.shared_fits(df, "row_id", k=2)
+    found = training.random_search(cand, df, "row_id", k=2, fits=fits)
+    assert len(made) == 3 and len(found.all_settings) == 4 and found.cv_summary["pr_auc"]["mean"] > 0.5
+    train = fits.prepared(0, cand.pre())[1]
+    more = cand.clf({}).resampled(train)
+    assert more.rdd.getNumPartitions() == train.rdd.getNumPartitions()
+    assert [r["count"] for r in more.groupBy("Pass_Fail").count().collect()] == [more.count() // 2] * 2
+    fits.close()
+
+
 def test_failed_fits_are_told_to_all(spark):
     fits = training.shared_fits(rows(spark, 60), "row_id", k=2)
 
